@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidecue.llm import bpe
-from tidecue.llm.common import table
+from tidecue.llm import bpe, langid, quality, toxicity, warc
+from tidecue.llm.common import held_out, shared_folder, table
 
 
 def tokenizer_path() -> str:
@@ -16,13 +17,78 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def language_model(docs: DataFrame) -> langid.LanguageModel:
+    """Learned from the documents that are not held out."""
+    return langid.fit(docs.where(~held_out()))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, language_model(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    forest = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return quality.score(docs, forest).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = warc.mark_revisits(table(spark, sf_dir, "pages"))
+    folder = shared_folder(spark, "warc")
+    warc.write_warc(marked, folder)
+    found = warc.read_warc(spark, folder, payloads=False).where("kind <> 'gap'")
+    return found.select(
+        warc.page_of(F.col("record_id")).alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("kind").alias("record_type"),
+        warc.page_of(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+OP7_SQL = """
+with p as (
+  select page_id, coalesce(html, '') as html from pages
+), d as (
+  select page_id, cast(strlen(html) as bigint) as payload_bytes, sha1(html) as h from p
+), b as (
+  select page_id, payload_bytes,
+    list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + cast((cast('0x' || substr(h, 1 + 5 * (i // 4), 5) as bigint) >> (15 - 5 * (i % 4))) & 31 as int), 1)),
+      'string_agg', '') as payload_digest
+  from d
+), m as (
+  select *, max(page_id) over (partition by payload_digest) as last_id from b
+)
+select page_id, payload_bytes, payload_digest,
+  case when page_id = last_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> last_id then last_id end as refers_to
+from m
+"""
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    languages = language_model(docs)
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()), languages)
+    return toxicity.score(docs, net, languages).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_bpe": op6_bpe}
+    return {
+        "op4_langid": op4_langid,
+        "op5_quality": op5_quality,
+        "op6_bpe": op6_bpe,
+        "op7_warc": op7_warc,
+        "op9_toxicity": op9_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc": OP7_SQL}
