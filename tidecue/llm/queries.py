@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecue.llm import bpe, langid, quality, toxicity, warc
+from tidecue.llm import bpe, chat, decontam, langid, linedup, quality, toxicity, warc
 from tidecue.llm.common import held_out, shared_folder, table
 
 
@@ -73,6 +73,41 @@ from m
 """
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = chat.echo_pairs(table(spark, sf_dir, "conversations"))
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    found = chat.format_preferences(pairs, "conv_id")
+    return found.select("conv_id", "n_prompt_turns", "prompt", "chosen", "rejected", spans("chosen_mask").alias("chosen_mask"), spans("rejected_mask").alias("rejected_mask"))
+
+
+OP8_SQL = """
+with t as (
+  select conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} order by turn, coalesce(role, ''), coalesce(text, '')) as a
+  from conversations where conv_id is not null group by conv_id
+), l as (
+  select *, list_max(list_transform(a, lambda x, i: case when x.role = 'assistant' then i else 0 end)) as k from t
+), r as (
+  select conv_id, a, list_transform(a, lambda x, i: case when i = k
+    then {'role': x.role, 'text': case when i = 1 then '' else a[i - 1].text end} else x end) as b from l
+), p as (
+  select *, coalesce(list_min(list_filter(list_transform(a, lambda x, i: case when x = b[i] then null else i end), lambda y: y is not null)) - 1, len(a)) as n from r
+), q as (
+  select conv_id, n, a[1:n] as s, a[n + 1:] as c, b[n + 1:] as d from p
+)
+select conv_id, cast(n as int) as n_prompt_turns,
+  coalesce(array_to_string(list_transform(s, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), ''), '') as prompt,
+  coalesce(array_to_string(list_transform(c, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), ''), '') as chosen,
+  coalesce(array_to_string(list_transform(d, lambda x: '<|im_start|>' || x.role || chr(10) || x.text || '<|im_end|>' || chr(10)), ''), '') as rejected,
+  coalesce(array_to_string(list_filter(list_transform(c, lambda x, i: case when x.role = 'assistant' then
+      (coalesce(list_sum(list_transform(c[1:i - 1], lambda y: 24 + length(y.role) + length(y.text))), 0) + 13 + length(x.role))::bigint || '-' ||
+      (coalesce(list_sum(list_transform(c[1:i - 1], lambda y: 24 + length(y.role) + length(y.text))), 0) + 23 + length(x.role) + length(x.text))::bigint end), lambda z: z is not null), ','), '') as chosen_mask,
+  coalesce(array_to_string(list_filter(list_transform(d, lambda x, i: case when x.role = 'assistant' then
+      (coalesce(list_sum(list_transform(d[1:i - 1], lambda y: 24 + length(y.role) + length(y.text))), 0) + 13 + length(x.role))::bigint || '-' ||
+      (coalesce(list_sum(list_transform(d[1:i - 1], lambda y: 24 + length(y.role) + length(y.text))), 0) + 23 + length(x.role) + length(x.text))::bigint end), lambda z: z is not null), ','), '') as rejected_mask
+from q
+"""
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     languages = language_model(docs)
@@ -80,15 +115,78 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, net, languages).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_QUOTED = lambda words: ", ".join(f"'{w}'" for w in words)
+_TEMPLATE_SQL = f"""case
+  when substr(x, 1, 1) < ':' and regexp_matches(lower(rtrim(x, '.,;:!?"'')')), '^[-+$]?[0-9][0-9.,]*(%|st|nd|rd|th)?$')
+    or lower(rtrim(x, '.,;:!?"'')')) in ({_QUOTED(decontam.NUMBER_WORDS)}) then '<number>'
+  when lower(rtrim(x, '.,;:!?"'')')) in ({_QUOTED(decontam.UNITS)}) then '<unit>'
+  when i > 1 and substr(x, 1, 1) between 'A' and 'Z' and not regexp_matches(w[i - 1], '[.!?:]$') and regexp_matches(x, '^[A-Z][a-z]+[.,;:!?"'')]*$') then '<name>'
+  else lower(rtrim(x, '.,;:!?"'')')) end"""
+_SPLIT_SQL = "string_split_regex(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\\x20\\x09-\\x0D]+')"
+
+OP10_SQL = f"""
+with b as (select distinct item_id, {_SPLIT_SQL} as w from benchmark),
+bt as (select item_id, w, list_transform(w, lambda x, i: {_TEMPLATE_SQL}) as t from b),
+bw as (select item_id, w, t, unnest(range(1, len(t) - 6)) as p from bt),
+bk as (select item_id, p, array_to_string(t[p:p + 7], ' ') as k, w, t from bw
+  where len(list_filter(t[p:p + 7], lambda x: x not in ('<number>', '<unit>', '<name>'))) >= 5),
+n as (select item_id, count(distinct p) as item_windows from bk group by 1),
+d as (select doc_id, {_SPLIT_SQL} as w from documents where doc_id is not null and text is not null),
+dt as (select doc_id, w, list_transform(w, lambda x, i: {_TEMPLATE_SQL}) as t from d),
+dw as (select doc_id, w, t, unnest(range(1, len(t) - 6)) as q from dt),
+dk as (select doc_id, q, array_to_string(t[q:q + 7], ' ') as k, w from dw),
+h as (select distinct doc_id, item_id, p, q, q - p as run, dk.w as dw, bk.w as bw, bk.t as t from dk join bk using (k)),
+s as (select doc_id, item_id, run, p + o as bp, q + o as dp, lower(rtrim(bw[p + o], '.,;:!?"'')')) as v, lower(rtrim(dw[q + o], '.,;:!?"'')')) as u
+  from h, (select unnest(range(0, 8)) as o) where t[p + o] in ('<number>', '<unit>', '<name>')),
+c as (select doc_id, item_id, run, v, count(distinct u) as n, bool_or(u <> v) as other from s group by all),
+r as (select doc_id, item_id, run, max(n) as n, bool_or(other) as other from c group by all),
+g as (select h.doc_id, h.item_id, h.p, coalesce(bool_or(r.other), false) as other from h left join r using (doc_id, item_id, run) where r.n is null or r.n = 1 group by all)
+select doc_id, item_id, count(*) as n_windows, item_windows, bool_or(other) as reparameterised
+from g join n using (item_id) group by doc_id, item_id, item_windows having count(*) >= item_windows * 0.2
+"""
+
+
+def op3_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linedup.line_counts(table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
+
+
+OP3_SQL = """
+with x as (select doc_id, string_split(text, chr(10)) as x from documents where doc_id is not null and text is not null),
+l as (select doc_id, cast(unnest(range(0, len(x))) as int) as no, trim(lower(unnest(x)), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t from x),
+w as (select doc_id, no, case when t = '' then [] else list_sort(list_distinct(string_split_regex(t, '[\\x20\\x09-\\x0D]+'))) end as s from l),
+f as (select s, len(s) as n, min(row(doc_id, no)) as f from w where len(s) > 0 group by s),
+i as (select row_number() over (order by f) as id, * from f),
+u as (select id, n, unnest(s) as word from i),
+c as (select word, count(*) as c from u group by word),
+p as (select id, word from (select id, n, word, row_number() over (partition by id order by c, word) as k from u join c using (word)) where k <= n - (n * 90 + 99) // 100 + 1),
+q as (select distinct a.id as a, b.id as b from p a join p b on a.word = b.word and a.id < b.id),
+m as (select distinct q.b as id from q join i x on x.id = q.a join i y on y.id = q.b
+  where len(list_intersect(x.s, y.s)) * 100 >= (x.n + y.n - len(list_intersect(x.s, y.s))) * 90),
+k as (select f from i where id not in (select id from m)),
+r as (select doc_id, no, len(s) > 0 and k.f is null as removed from (select distinct * from w) w left join k on k.f = row(w.doc_id, w.no))
+select doc_id, count(*) as n_lines, count(*) filter (removed) as n_removed,
+  coalesce(string_agg(cast(no as varchar), ',' order by no) filter (removed), '') as removed
+from r group by doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_linedup": op3_linedup,
         "op4_langid": op4_langid,
         "op5_quality": op5_quality,
         "op6_bpe": op6_bpe,
         "op7_warc": op7_warc,
+        "op8_chat": op8_chat,
         "op9_toxicity": op9_toxicity,
+        "op10_decontam": op10_decontam,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7_SQL}
+    return {"op3_linedup": OP3_SQL, "op7_warc": OP7_SQL, "op8_chat": OP8_SQL, "op10_decontam": OP10_SQL}
