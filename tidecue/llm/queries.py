@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecue.llm import bpe, chat, decontam, langid, linedup, quality, toxicity, warc
+from tidecue.llm import bpe, chat, decontam, langid, linedup, minhash, quality, toxicity, warc
 from tidecue.llm.common import held_out, shared_folder, table
 
 
@@ -73,6 +73,26 @@ from m
 """
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = """
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), s as (
+  select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) end as s from w
+), u as (select doc_id, len(s) as n, unnest(s) as x from s),
+p as (select a.doc_id as a, b.doc_id as b, a.n as na, b.n as nb, count(*) as c from u a join u b on a.x = b.x and a.doc_id < b.doc_id group by all),
+e as (select a, b from p where 100 * c >= 75 * (na + nb - c)),
+l as (select a, b from e union all select b, a from e),
+r as (select doc_id as node, doc_id as seen from documents union select r.node, l.b from r join l on l.a = r.seen),
+m as (select node, min(seen) as component_id from r group by node)
+select doc_id, len(s) as n_shingles, component_id, doc_id = component_id as kept from s join m on node = doc_id
+"""
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = chat.echo_pairs(table(spark, sf_dir, "conversations"))
     spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -177,6 +197,7 @@ from r group by doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_minhash": op2_minhash,
         "op3_linedup": op3_linedup,
         "op4_langid": op4_langid,
         "op5_quality": op5_quality,
@@ -189,4 +210,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_linedup": OP3_SQL, "op7_warc": OP7_SQL, "op8_chat": OP8_SQL, "op10_decontam": OP10_SQL}
+    return {"op2_minhash": OP2_SQL, "op3_linedup": OP3_SQL, "op7_warc": OP7_SQL, "op8_chat": OP8_SQL, "op10_decontam": OP10_SQL}

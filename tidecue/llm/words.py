@@ -136,10 +136,8 @@ def shingles(hashes: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np
         if b - a >= width:
             out.append(np.unique(rolled[a : b - width + 1]))
         elif b > a:
-            whole = np.uint64(b - a)
-            for h, step in zip(hashes[a:b], _STEPS, strict=False):
-                whole = whole + h * step
-            out.append(mix(np.array([whole], np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+            whole = (hashes[a:b] * _STEPS[: b - a]).sum(keepdims=True) + np.array([b - a], np.uint64)
+            out.append(mix(whole ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
