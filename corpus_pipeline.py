@@ -1,22 +1,60 @@
-"""A training-corpus pipeline over ``documents``; each stage is written and read again before the next."""
+"""A training-corpus pipeline over ``documents``; each stage is written and read again before the next.
+
+Every stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``: documents
+whose language is not recognised go, repeated lines go, one document of each group of near copies stays,
+documents that hold benchmark items go, and the rest is tokenized.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidecue.llm import bpe
+from tidecue.llm import bpe, decontam, langid, linedup, minhash
 from tidecue.llm.common import settle, table
-from tidecue.llm.queries import tokenizer_path
+from tidecue.llm.queries import language_model, tokenizer_path
+
+#: A document whose best language has a lower posterior than this is rejected.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language identification: documents without letters or without a clear language go (operator 4).
+
+    lang becomes the predicted language.
+    """
+    found = langid.label(docs, language_model(docs))
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: lines that repeat an earlier one go (operator 3), and n_chars follows the text.
+
+    Documents left without any word go: nothing of them is new.
+    """
+    kept = linedup.remove_lines(docs).where(F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup: of each group of near copies the smallest id stays (operator 2)."""
+    return minhash.keep_one(docs)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents that hold an item go (operator 10)."""
+    return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode and decode every text (operator 6): one row of digests per document."""
+    """Encode and decode every text: one row of digests per document (operator 6)."""
     return bpe.round_trip(docs, tokenizer_path())
 
 
-STAGES = [("tokens", tokens)]
+STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("leaks", leaks), ("tokens", tokens)]
 
-#: SQL cannot express the stages; tests compare the pipeline with a plain model.
+#: SQL cannot express the classifier and the tokenizer; tests compare the pipeline with a plain model.
 ORACLE_SQL = None
 
 

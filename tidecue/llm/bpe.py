@@ -194,8 +194,8 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids")
     Null and empty texts give an empty array. Whole texts are encoded, whatever their length.
     """
     small_batches(df.sparkSession)
-    schema = f"{df.drop(out).select('*')._jdf.schema().toDDL()}, `{out}` array<int>"
     columns = [c for c in df.columns if c != out]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out), f"`{out}` array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
@@ -206,14 +206,14 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids")
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), lists], [*columns, out])
 
-    return df.select(*[f"`{c}`" for c in {*columns, text}]).mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add the text of a column of token ids; null ids give an empty text, special tokens are kept."""
     small_batches(df.sparkSession)
     columns = [c for c in df.columns if c != out]
-    schema = f"{df.select(*[f'`{c}`' for c in columns])._jdf.schema().toDDL()}, `{out}` string"
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out), f"`{out}` string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)

@@ -128,3 +128,20 @@ def predict(df: DataFrame, model: LanguageModel, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(best, pa.string()), pa.array(score)], [key, "lang_pred", "score"])
 
     return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
+
+
+def label(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """All columns of every row, with lang_pred and lang_score from the whole text; see ``predict``."""
+    spark = df.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            best, score = m.predict(b.column(text).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "lang_score"])
+
+    kept = df.drop("lang_pred", "lang_score")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return kept.mapInArrow(run, f"{kinds}, lang_pred string, lang_score double")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecue.llm import bpe, chat, decontam, langid, linedup, minhash, quality, toxicity, warc
+from tidecue.llm import ann, bpe, chat, decontam, langid, linedup, minhash, quality, toxicity, warc
 from tidecue.llm.common import held_out, shared_folder, table
 
 
@@ -73,6 +73,11 @@ from m
 """
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -197,6 +202,7 @@ from r group by doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": op1_ann,
         "op2_minhash": op2_minhash,
         "op3_linedup": op3_linedup,
         "op4_langid": op4_langid,
