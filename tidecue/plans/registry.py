@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidecue.functions import text as tx
@@ -40,11 +40,6 @@ def query(name: str, *views: str, sql: str | None = None, recursive: bool = Fals
     return register
 
 
-def flat(column: Column | str, fields: list[str]) -> Column:
-    """An array of structs as text, for results that any engine can compare."""
-    return F.array_join(F.transform(column, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields])), ",")
-
-
 _TIME = "printf('%02d:%02d:%02d,%03d', {x} // 3600000, ({x} % 3600000) // 60000, ({x} % 60000) // 1000, {x} % 1000)"
 _MS = "cast(round_even({s} * 1000, 0) as bigint)"
 
@@ -361,3 +356,415 @@ def b10_job_report(job_events):
 @query("b11_passthrough_translation", "cues", sql="select job_id, idx, text as translated_text from cues")
 def b11_passthrough_translation(cues):
     return ck.passthrough_translation(cues).select("job_id", "idx", "translated_text")
+
+
+# --- ordered operators
+
+
+_FRAGMENTS = """
+  o as (select job_id, row_number() over (partition by job_id order by idx, pos) as n, start, "end", text from words),"""
+
+
+def _fragments(cues: DataFrame) -> DataFrame:
+    words = words_of(cues)
+    return words.select("job_id", (c("idx") * 1_000_000 + c("pos")).alias("idx"), c("start").alias("start_s"), c("end").alias("end_s"), "text", F.lit(None).cast("string").alias("speaker"))
+
+
+def _merge_sql(gap: str, duration: str, chars: int) -> str:
+    return f"""
+  with {_WORDS},{_FRAGMENTS}
+  m as (
+    select job_id, n, 0 as idx, start as start_s, "end" as end_s, text from o where n = 1
+    union all
+    select o.job_id, o.n,
+      case when o.start - m.end_s >= 0 and o.start - m.end_s <= {gap} and o."end" - m.start_s <= {duration} and length(m.text || ' ' || o.text) <= {chars} and not regexp_matches(m.text, '[.!?。！？]$') then m.idx else m.idx + 1 end,
+      case when o.start - m.end_s >= 0 and o.start - m.end_s <= {gap} and o."end" - m.start_s <= {duration} and length(m.text || ' ' || o.text) <= {chars} and not regexp_matches(m.text, '[.!?。！？]$') then m.start_s else o.start end,
+      o."end",
+      case when o.start - m.end_s >= 0 and o.start - m.end_s <= {gap} and o."end" - m.start_s <= {duration} and length(m.text || ' ' || o.text) <= {chars} and not regexp_matches(m.text, '[.!?。！？]$') then m.text || ' ' || o.text else o.text end
+    from m join o on o.job_id = m.job_id and o.n = m.n + 1)
+  select job_id, idx, arg_max(start_s, n) as start_s, arg_max(end_s, n) as end_s, arg_max(text, n) as text from m group by job_id, idx"""
+
+
+@query("d1_merge_fragments", "cues", sql=_merge_sql("45e-2", "12e0", 180), recursive=True)
+def d1_merge_fragments(cues):
+    return od.merge_fragments(_fragments(cues)).drop("speaker").withColumn("idx", c("idx").cast("int"))
+
+
+@query("d1_merge_fragments_tight", "cues", sql=_merge_sql("45e-2", "4e0", 40), recursive=True)
+def d1_merge_fragments_tight(cues):
+    return od.merge_fragments(_fragments(cues), max_duration=4.0, max_chars=40).drop("speaker").withColumn("idx", c("idx").cast("int"))
+
+
+@query("d2_divide_overlaps", "overlapping", recursive=True, sql="""
+  with x as (select job_id, idx, start_s, end_s, row_number() over w as n, lead(start_s) over w as nx, min(end_s) over (partition by job_id order by idx rows between current row and unbounded following) as f
+    from overlapping window w as (partition by job_id order by idx)),
+  r as (
+    select job_id, idx, n, greatest(start_s, 0e0) as s, case when nx < end_s then (greatest(start_s, 0e0, nx) + f) / 2 else end_s end as e from x where n = 1
+    union all select x.job_id, x.idx, x.n, greatest(x.start_s, r.e), case when x.nx < x.end_s then (greatest(x.start_s, r.e, x.nx) + x.f) / 2 else x.end_s end from r join x on x.job_id = r.job_id and x.n = r.n + 1)
+  select job_id, idx, s as start_s, e as end_s, bool_and(e > s) over (partition by job_id) as job_ok from r""")
+def d2_divide_overlaps(overlapping):
+    return od.divide_overlaps(overlapping)
+
+
+@query("d3_split_sentences", "cues")
+def d3_split_sentences(cues):
+    return od.split_sentences(cues)
+
+
+_PIECES = f"""
+  l as (select job_id, idx, speaker, start_s, end_s, string_split(trim(text, {_BLANKS}), chr(10)) as l from cues),
+  p as (select job_id, idx, speaker, start_s, end_s, cast(unnest(range(0, len(l))) as int) as ordinal, unnest(l) as piece from l),
+  pieces as (select *, regexp_matches(piece, '[.!?]$') and length(piece) % 3 <> 0 as closes from p)"""
+
+
+def _pieces(cues: DataFrame) -> DataFrame:
+    lines = F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), "\n")
+    rows = cues.select("job_id", "idx", "speaker", "start_s", "end_s", F.posexplode(lines).alias("ordinal", "piece"))
+    return rows.withColumn("closes", c("piece").rlike("[.!?]$") & (F.length("piece") % 3 != 0))
+
+
+@query("d4_allocate_time", "cues", sql=f"""
+  with {_PIECES},
+  w as (select *, greatest(1, length({_SPOKEN.format(x='piece')})) as weight from pieces),
+  e as (select *, start_s + (end_s - start_s) * sum(weight) over (partition by job_id, idx order by ordinal) / sum(weight) over (partition by job_id, idx) as part_end from w)
+  select job_id, idx, ordinal, weight, coalesce(lag(part_end) over (partition by job_id, idx order by ordinal), start_s) as part_start, part_end from e""")
+def d4_allocate_time(cues):
+    return od.allocate_time(od.weighted(_pieces(cues)), ["job_id", "idx"], "ordinal").select("job_id", "idx", "ordinal", "weight", "part_start", "part_end")
+
+
+@query("d4_estimate_bounds", "cues", sql=f"""
+  with {_PIECES},
+  w as (select *, greatest(1, length({_SPOKEN.format(x='piece')})) as weight, least(end_s, start_s + idx * 2 / 64e0) as e from pieces),
+  s as (select *, row_number() over (partition by job_id, idx order by ordinal desc) as k, start_s + (e - start_s) * sum(weight) over (partition by job_id, idx order by ordinal) / sum(weight) over (partition by job_id, idx) as pe from w),
+  b as (select *, case when k = 1 then e else pe end as part_end from s),
+  t as (select *, coalesce(lag(pe) over (partition by job_id, idx order by ordinal), start_s) as part_start from b),
+  g as (select *, bool_and(e > start_s and part_end - part_start >= 1e-3) over (partition by job_id, idx) as ok from t)
+  select job_id, idx, ordinal, case when ok then part_start end as part_start, case when ok then part_end end as part_end from g""")
+def d4_estimate_bounds(cues):
+    rows = od.weighted(_pieces(cues)).withColumn("speech_end", c("start_s") + c("idx") * 2 / F.lit(64.0))
+    return od.estimate_bounds(rows, ["job_id", "idx"], "ordinal").select("job_id", "idx", "ordinal", "part_start", "part_end")
+
+
+_UTTERANCES = f"""{_PIECES},
+  n as (select *, case when coalesce(lag(closes) over w, true) or speaker is distinct from lag(speaker) over w then 1 else 0 end as fresh from pieces window w as (partition by job_id order by idx, ordinal)),
+  ut as (select *, cast(sum(fresh) over (partition by job_id order by idx, ordinal) - 1 as bigint) as utterance from n)"""
+
+
+@query("d5_group_utterances", "cues", sql=f"with {_UTTERANCES} select job_id, idx, ordinal, utterance from ut")
+def d5_group_utterances(cues):
+    return od.group_utterances(_pieces(cues)).select("job_id", "idx", "ordinal", "utterance")
+
+
+@query("d6_place_on_timeline", "clips", recursive=True, sql="""
+  with x as (select job_id, idx, cast(greatest(0, round_even(start_s * 24000, 0)) as bigint) as f, cast(floor(audio_s * 24000) as bigint) as n, cast(ceil((job_id % 40) * 24000e0) as bigint) as t, row_number() over (partition by job_id order by idx) as k from clips),
+  r as (
+    select job_id, idx, k, f, n, t, 0::bigint as c0, greatest(0::bigint, f) as cur from x where k = 1
+    union all
+    select x.job_id, x.idx, x.k, x.f, x.n, x.t, r.cur + least(r.n - least(greatest(0, r.c0 - r.f), r.n), greatest(0, r.t - r.cur)), greatest(x.f, r.cur + least(r.n - least(greatest(0, r.c0 - r.f), r.n), greatest(0, r.t - r.cur)))
+    from r join x on x.job_id = r.job_id and x.k = r.k + 1),
+  s as (select *, least(greatest(0, c0 - f), n) as skipped, cur - c0 as silence from r),
+  v as (select *, least(n - skipped, greatest(0, t - cur)) as written from s)
+  select job_id, idx, f as start_frame, silence, skipped, written, greatest(0, max(t) over (partition by job_id) - max(cur + written) over (partition by job_id)) as closing_silence from v""")
+def d6_place_on_timeline(clips):
+    rows = clips.select("job_id", "idx", "start_s", F.floor(c("audio_s") * 24_000).alias("n_frames"), (c("job_id") % 40).cast("double").alias("total_s"))
+    return od.place_on_timeline(rows).select("job_id", "idx", "start_frame", "silence", "skipped", "written", "closing_silence")
+
+
+@query("d7_smooth_levels", "frames", recursive=True, sql="""
+  with r as (
+    select job_id, frame_no, level as smooth from frames where frame_no = 0
+    union all
+    select f.job_id, f.frame_no, r.smooth + case when f.level < r.smooth then 64e-2 else 25e-2 end * (f.level - r.smooth) from r join frames f on f.job_id = r.job_id and f.frame_no = r.frame_no + 1)
+  select job_id, frame_no, smooth from r""")
+def d7_smooth_levels(frames):
+    return od.smooth_levels(frames.select("job_id", "frame_no", "level")).drop("level")
+
+
+@query("d8_stage_history", "job_events", sql="""
+  with m as (select *, case when status = 'failed' then lag(status) over w end as failed_stage, last_value(case when status <> 'failed' then status end ignore nulls) over w as last_stage,
+    row_number() over (partition by job_id order by ts desc, event_id desc) as k, count(*) over (partition by job_id) as n_events from job_events window w as (partition by job_id order by ts, event_id))
+  select job_id, status, failed_stage, last_stage, n_events from m where k = 1""")
+def d8_stage_history(job_events):
+    return od.stage_history(job_events)
+
+
+@query("d9_dense_frames", "frames", sql="""
+  with s as (select job_id, job_id % 90 as size from frames group by job_id), g as (select job_id, unnest(range(0, size)) as frame_no from s)
+  select g.job_id, g.frame_no, coalesce(f.level, 0e0) as level from g left join (select * from frames where frame_no % 4 <> 1) f on f.job_id = g.job_id and f.frame_no = g.frame_no""")
+def d9_dense_frames(frames):
+    sizes = frames.select("job_id", (c("job_id") % 90).alias("size")).distinct()
+    return od.dense_frames(frames.where("frame_no % 4 <> 1"), sizes)
+
+
+@query("d10_interpolate_series", "frames", sql="""
+  with k as (select job_id, frame_no as tick, (frame_no * 2 + 1) / 64e0 as t from frames), l as (select job_id, max(frame_no) as m from frames group by job_id),
+  x as (select k.job_id, tick, t, t / 5e-2 - 5e-1 as x, m from k join l using (job_id)),
+  y as (select *, least(greatest(cast(floor(x) as bigint), 0), m) as f from x)
+  select y.job_id, tick, t, a.level + least(greatest(x - f, 0e0), 1e0) * (coalesce(b.level, a.level) - a.level) as level
+  from y join frames a on a.job_id = y.job_id and a.frame_no = f left join frames b on b.job_id = y.job_id and b.frame_no = f + 1""")
+def d10_interpolate_series(frames):
+    clock = frames.select("job_id", c("frame_no").alias("tick"), ((c("frame_no") * 2 + 1) / F.lit(64.0)).alias("t"))
+    return od.interpolate_series(frames, clock)
+
+
+@query("d12_batch_rows", "cues", sql="select job_id, idx, cast((row_number() over (partition by job_id order by idx) - 1) // 3 as int) as batch from cues")
+def d12_batch_rows(cues):
+    return ag.batch_rows(cues, 3).select("job_id", "idx", "batch")
+
+
+# --- joins
+
+
+_FAULTS = f"""
+  y as (select d.*, k.job_id is not null as known, row_number() over (partition by d.job_id, d.id order by pos) as n from drafts d left join cues k on k.job_id = d.job_id and k.idx = d.id),
+  z as (select job_id, pos, id, case when not known then 'unknown' when n > 1 then 'duplicate' when trim(text, {_BLANKS}) = '' then 'blank' end as reason from y),
+  faults as (select job_id, pos, id, reason from z where reason is not null union all
+    select job_id, null, idx, 'missing' from cues where (job_id, idx) not in (select job_id, id from z where reason is null))"""
+
+
+@query("e1_audit_translations", "cues", "drafts", sql=f"with {_FAULTS} select job_id, pos, id, reason from faults")
+def e1_audit_translations(cues, drafts):
+    return jn.audit_translations(cues, drafts)
+
+
+@query("e1_first_faults", "cues", "drafts", sql=f"""
+  with {_FAULTS} select job_id, count(*) as n_faults, first(reason order by pos is null, pos, id) as first_reason from faults group by job_id""")
+def e1_first_faults(cues, drafts):
+    return jn.first_faults(jn.audit_translations(cues, drafts))
+
+
+@query("e2_apply_translations", "cues", "drafts", sql=f"""
+  with {_FAULTS} select c.job_id, c.idx, trim(d.text, {_BLANKS}) as translated_text from cues c join drafts d on d.job_id = c.job_id and d.id = c.idx where c.job_id not in (select job_id from faults)""")
+def e2_apply_translations(cues, drafts):
+    return jn.apply_translations(cues, drafts).select("job_id", "idx", "translated_text")
+
+
+@query("e3_bilingual_audit", "cues", "drafts", "langs", sql=f"""
+  with {_FAULTS}, e as (select job_id, split_part(replace(lower(coalesce(nullif(detected, ''), requested, '')), '_', '-'), '-', 1) = 'en' as en from langs)
+  select c.job_id, c.idx, text as english_text from cues c join e using (job_id) where en
+  union all select c.job_id, c.idx, trim(d.text, {_BLANKS}) from cues c join e using (job_id) join drafts d on d.job_id = c.job_id and d.id = c.idx where not en and c.job_id not in (select job_id from faults)""")
+def e3_bilingual_audit(cues, drafts, langs):
+    known = langs.select("job_id", ck.is_english(c("detected"), c("requested")).alias("is_english"))
+    found = jn.bilingual_audit(cues.withColumn("source_text", c("text")), drafts.withColumn("en", c("text")), known)
+    return found.select("job_id", "idx", "english_text")
+
+
+_LAST_WORDS = f"{_WORDS}, lw as (select job_id, idx, max(\"end\") as e, arg_max(text, pos) as w from words group by job_id, idx)"
+
+
+def _utterances(cues: DataFrame) -> DataFrame:
+    cut = F.when(c("idx") % 3 == 1, F.concat("text", F.lit(" extra"))).otherwise(F.concat("text", F.lit("»")))
+    return cues.select("job_id", c("idx").alias("utterance_id"), "idx", "start_s", "end_s", cut.alias("translated_text"))
+
+
+@query("c9_speech_tails", "cues", sql=f"with {_LAST_WORDS} select job_id, idx as utterance_id, e as word_end from lw where idx % 3 <> 1 and length(regexp_replace(w, '[^\\p{{L}}\\p{{N}}_]', '', 'g')) > 0")
+def c9_speech_tails(cues):
+    return jn.speech_tails(_utterances(cues), words_of(cues).withColumnRenamed("idx", "utterance_id"))
+
+
+@query("e6_measured_speech", "cues", sql=f"""
+  with {_LAST_WORDS}, cl as (select job_id, idx, end_s + (idx % 4) / 8e0 as f from cues)
+  select job_id, idx as utterance_id, case when idx % 3 <> 1 and length(regexp_replace(w, '[^\\p{{L}}\\p{{N}}_]', '', 'g')) > 0 and e > 0 and e < f - 18e-2 then e + 18e-2 else f end as audio_s from cl join lw using (job_id, idx)""")
+def e6_measured_speech(cues):
+    utterances = _utterances(cues)
+    clips = utterances.select("job_id", "utterance_id", (c("end_s") + (c("idx") % 4) / F.lit(8.0)).alias("file_s"))
+    tails = jn.speech_tails(utterances, words_of(cues).withColumnRenamed("idx", "utterance_id"))
+    return jn.measured_speech(utterances, clips, tails).select("job_id", "utterance_id", "audio_s")
+
+
+@query("e5_place_words", "cues", sql=f"""
+  with {_WORDS}, s as (select job_id, idx, start_s, end_s, 1 + (idx % 3) / 4e0 as tempo, (end_s - start_s) * 75e-2 as duration from cues),
+  j as (select w.job_id, w.idx, pos, text, s.start_s + w.start / tempo as st, least(least(s.end_s, s.start_s + duration), s.start_s + w."end" / tempo) as en, least(s.end_s, s.start_s + duration) as speech_end from words w join s using (job_id, idx))
+  select job_id, idx as utterance_id, pos, st as start, en as "end", text, speech_end from j where st < speech_end""")
+def e5_place_words(cues):
+    slots = cues.select("job_id", c("idx").alias("utterance_id"), "start_s", "end_s", (1 + (c("idx") % 3) / F.lit(4.0)).alias("tempo"), ((c("end_s") - c("start_s")) * 0.75).alias("duration"))
+    return jn.place_words(words_of(cues).withColumnRenamed("idx", "utterance_id"), slots)
+
+
+@query("e7_overflow_to_cues", "clips", sql="""
+  with o as (select job_id, idx // 3 as utterance_id, list_distinct(list(idx order by idx)) as l from clips group by 1, 2),
+  v as (select distinct job_id, idx // 3 as utterance_id from clips where audio_s / greatest(5e-2, slot_s) > 18e-1)
+  select job_id, utterance_id, list_min(l) as id, case when len(l) > 1 then array_to_string(list_sort(l), ',') end as cue_ids from v join o using (job_id, utterance_id)""")
+def e7_overflow_to_cues(clips):
+    rows = clips.withColumn("utterance_id", F.floor(c("idx") / 3))
+    over = rows.where(c("audio_s") / F.greatest(F.lit(0.05), c("slot_s")) > 1.8).select("job_id", "utterance_id").distinct()
+    fragments = rows.select("job_id", "utterance_id", c("idx").alias("frag_no"), c("idx").alias("cue_index"))
+    return jn.overflow_to_cues(over, fragments).withColumn("cue_ids", F.array_join(c("cue_ids").cast("array<string>"), ","))
+
+
+@query("e8_synthesis_worklist", "documents", sql=f"""
+  with u as (select doc_id as idx, case when doc_id % 50 = 1 then ' ' else text end as t from documents)
+  select idx, case when trim(t, {_BLANKS}) = '' then 'blank text' else 'to synthesize' end as reason from u where not (idx % 3 = 0 and idx % 4 <> 0)""")
+def e8_synthesis_worklist(documents):
+    text = F.when(c("doc_id") % 50 == 1, " ").otherwise(c("text"))
+    rows = documents.select(c("doc_id").alias("idx"), text.alias("translated_text"), tx.speech_key("m1", "v7", 1.0, text).alias("key"))
+    clips = rows.where("idx % 3 = 0").select("idx", "key", F.lit(1).alias("channels"), F.lit(2).alias("sample_bytes"), F.lit(24000).alias("rate"), (c("idx") % 4).alias("n_frames"), F.lit(True).alias("complete"))
+    return jn.synthesis_worklist(rows, clips).select("idx", "reason")
+
+
+_SIZES = "s as (select job_id, max(frame_no) + 1 as size from frames group by job_id)"
+
+
+def _sizes(frames: DataFrame) -> DataFrame:
+    return frames.groupBy("job_id").agg((F.max("frame_no") + 1).alias("size"))
+
+
+@query("e9_mark_frames", "frames", "intervals", sql="""
+  select f.job_id, f.frame_no, exists (select 1 from intervals i where i.job_id = f.job_id and f.frame_no >= floor(i.start_s / 5e-2) and f.frame_no < ceil(i.end_s / 5e-2)) as active from frames f""")
+def e9_mark_frames(frames, intervals):
+    return jn.mark_frames_in_intervals(frames.select("job_id", "frame_no"), intervals, _sizes(frames))
+
+
+@query("e10_crossfade_levels", "frames", "intervals", sql="""
+  select f.job_id, f.frame_no, coalesce(max(least(greatest(least((f.frame_no + 5e-1) * 5e-2 - i.start_s, i.end_s - (f.frame_no + 5e-1) * 5e-2) / 3e-1, 0e0), 1e0)), 0e0) as fade
+  from frames f left join intervals i on i.job_id = f.job_id group by 1, 2""")
+def e10_crossfade_levels(frames, intervals):
+    return jn.crossfade_levels(frames.select("job_id", "frame_no"), intervals, _sizes(frames))
+
+
+_MIX = """
+  fa as (select f.job_id, f.frame_no, coalesce(max(least(greatest(least((f.frame_no + 5e-1) * 5e-2 - i.start_s, i.end_s - (f.frame_no + 5e-1) * 5e-2) / 3e-1, 0e0), 1e0)), 0e0) as fade,
+    coalesce(bool_or(f.frame_no >= floor(i.start_s / 5e-2) and f.frame_no < ceil(i.end_s / 5e-2)), false) as m from frames f left join intervals i on i.job_id = f.job_id group by 1, 2),
+  fx as (select f.job_id, f.frame_no, level / 64e0 as voice, level / 4e0 as bed, fade, m and f.frame_no % 3 = 0 as inn, event_type in ('view', 'click') as ss, event_type in ('click', 'error') as bs from frames f join fa using (job_id, frame_no)),
+  fn as (select *, inn or voice > 14e-3 as narration, ss and bs as suspected from fx),
+  fl as (select *, least(case when narration then 42e-2 else 7e-1 end * case when suspected then 22e-2 else 1e0 end, case when narration then least(greatest(voice * 38e-2, 19e-3), 42e-3) else 73e-3 end / greatest(bed, 1e-5)) as lv,
+    case when narration then 1e-1 else 85e-2 end * fade as raw from fn)"""
+
+
+def _mix(frames: DataFrame, intervals: DataFrame) -> DataFrame:
+    sizes = _sizes(frames)
+    rows = jn.crossfade_levels(jn.mark_frames_in_intervals(frames, intervals, sizes, "m"), intervals, sizes)
+    return rows.select("job_id", "frame_no", (c("level") / 64).alias("voice_rms"), (c("level") / 4).alias("bed_rms"), "fade", (c("m") & (c("frame_no") % 3 == 0)).alias("in_narration"), c("event_type").isin("view", "click").alias("source_speech"), c("event_type").isin("click", "error").alias("bed_speech"))
+
+
+@query("e11_background_gain", "frames", "intervals", recursive=True, sql=f"""
+  with {_MIX},
+  r as (
+    select job_id, frame_no, fade, narration, lv as g, raw as h from fl where frame_no = 0
+    union all
+    select f.job_id, f.frame_no, f.fade, f.narration, r.g + case when f.lv < r.g then 64e-2 else 25e-2 end * (f.lv - r.g), r.h + case when f.raw < r.h then 64e-2 else 25e-2 end * (f.raw - r.h)
+    from r join fl f on f.job_id = r.job_id and f.frame_no = r.frame_no + 1)
+  select job_id, frame_no, narration, g * (1 - fade) as gain, h as raw_gain from r""")
+def e11_background_gain(frames, intervals):
+    return jn.background_gain(_mix(frames, intervals)).select("job_id", "frame_no", "narration", "gain", "raw_gain")
+
+
+@query("e12_asset_audit", "documents", sql="""
+  with x as (select doc_id, sha256(text) as h from documents)
+  select 'a' || doc_id as name, h as sha256, case when doc_id % 3 = 0 then 'missing' when doc_id % 3 = 1 then 'ok' else 'changed' end as status from x""")
+def e12_asset_audit(documents):
+    expected = documents.select(F.concat(F.lit("a"), "doc_id").alias("name"), F.sha2("text", 256).alias("sha256"))
+    found = documents.where("doc_id % 3 <> 0").select(F.concat(F.lit("/x/a"), "doc_id").alias("path"), F.when(c("doc_id") % 3 == 1, c("text")).otherwise(F.concat("text", F.lit("!"))).cast("binary").alias("content"))
+    return jn.asset_audit(expected, jn.hash_files(found))
+
+
+@query("e13_preview_conformance", "documents", sql="""
+  select doc_id as job_id, case when doc_id % 11 = 5 then 'no preview' else concat_ws(',', case when doc_id % 7 = 3 then 'tracks' end, case when doc_id % 5 = 1 then 'duration' end, case when doc_id % 3 = 1 then 'languages' end,
+    case when doc_id % 2 = 1 or doc_id % 7 = 3 then 'flags' end, case when doc_id % 13 = 4 then 'hash' end) end as failures from documents""")
+def e13_preview_conformance(documents):
+    k = c("doc_id")
+    track = lambda language, flag: F.struct(F.lit("audio").alias("codec_type"), F.struct(language.alias("language")).alias("tags"), F.struct(flag.alias("default")).alias("disposition"))
+    video = F.struct(F.lit("video").alias("codec_type"), F.struct(F.lit(None).cast("string").alias("language")).alias("tags"), F.struct(F.lit(1).alias("default")).alias("disposition"))
+    first, second = track(c("lang"), F.lit(1)), track(F.lit(None).cast("string"), F.lit(0))
+    masters = documents.select(k.alias("job_id"), c("n_chars").cast("double").alias("duration"), F.when(k % 7 == 3, F.array(video, first)).otherwise(F.array(video, first, second)).alias("streams"), F.sha1("text").alias("stream_hash"))
+    changed = track(F.when(k % 3 == 1, F.concat("lang", F.lit("x"))).otherwise(c("lang")), F.when(k % 2 == 1, F.lit(0)).otherwise(F.lit(1)))
+    named = track(F.lit("und"), F.lit(0))
+    previews = documents.where("doc_id % 11 <> 5").select(k.alias("job_id"), (c("n_chars") + F.when(k % 5 == 1, 0.125).otherwise(0.03125)).alias("duration"), F.when(k % 7 == 3, F.array(video, changed)).otherwise(F.array(video, changed, named)).alias("streams"), F.when(k % 13 == 4, "?").otherwise(F.sha1("text")).alias("stream_hash"))
+    return jn.preview_conformance(masters, previews).withColumn("failures", F.array_join("failures", ","))
+
+
+def _planned(cues: DataFrame) -> DataFrame:
+    """Fragments of utterances, as the retiming takes them, from the pieces of cues."""
+    shared = od.allocate_time(od.weighted(_pieces(cues)), ["job_id", "idx"], "ordinal")
+    shared = od.group_utterances(shared)
+    whole = Window.partitionBy("job_id", "utterance")
+    number = F.row_number().over(whole.orderBy("idx", "ordinal"))
+    return shared.select("job_id", c("utterance").alias("utterance_id"), number.alias("frag_no"), c("idx").alias("cue_index"), c("piece").alias("text"), c("part_start").alias("plan_start"), c("part_end").alias("plan_end"), F.min("part_start").over(whole).alias("start_s"), F.max("part_end").over(whole).alias("end_s"))
+
+
+def _heard(planned: DataFrame) -> DataFrame:
+    """Words of fragments with an even share of the fragment's time; every fifth utterance is heard wrongly."""
+    parts = F.split("text", " +")
+    rows = planned.select("job_id", "utterance_id", "frag_no", "plan_start", "plan_end", F.size(parts).alias("n"), F.posexplode(parts).alias("k", "word"))
+    share = lambda k: c("plan_start") + (c("plan_end") - c("plan_start")) * k / c("n") * 0.9
+    text = F.when(c("utterance_id") % 5 == 3, F.lit("xxxx")).otherwise(c("word"))
+    number = F.row_number().over(Window.partitionBy("job_id", "utterance_id").orderBy("frag_no", "k"))
+    return rows.select("job_id", "utterance_id", number.alias("pos"), share(c("k")).alias("start"), share(c("k") + 1).alias("end"), text.alias("text"))
+
+
+@query("d11_align_words", "cues")
+def d11_align_words(cues):
+    planned = _planned(cues)
+    return jn.align_words_to_text(planned, _heard(planned))
+
+
+@query("e4_retime_cues", "cues")
+def e4_retime_cues(cues):
+    planned = _planned(cues)
+    ends = planned.groupBy("job_id", "utterance_id").agg((F.max("end_s") * 0.5 + F.max("start_s") * 0.5).alias("speech_end"))
+    return jn.retime_cues(planned, _heard(planned), ends)
+
+
+# --- aggregates
+
+
+@query("g1_overflow_report", "clips", sql="""
+  with t as (select job_id, idx, slot_s, audio_s, audio_s / greatest(5e-2, slot_s) as tempo from clips)
+  select job_id, count(*) as n_overflows, string_agg(idx || ':' || printf('%.3f', round(tempo, 3)), ',' order by idx) as overflows from t where tempo > 18e-1 group by job_id""")
+def g1_overflow_report(clips):
+    rows = F.transform("overflows", lambda x: F.concat_ws(":", x["id"].cast("string"), F.format_string("%.3f", x["required_tempo"])))
+    return ag.overflow_report(clips).withColumn("overflows", F.array_join(rows, ","))
+
+
+@query("g1_fitting_clips", "clips", sql="select job_id, idx from clips where job_id not in (select job_id from clips where audio_s / greatest(5e-2, slot_s) > 18e-1)")
+def g1_fitting_clips(clips):
+    return ag.fitting_clips(clips).select("job_id", "idx")
+
+
+@query("g2_translation_requests", "cues", sql="""
+  with b as (select *, cast((row_number() over (partition by job_id order by idx) - 1) // 3 as int) as batch from cues)
+  select job_id, batch, count(*) as n_segments, case when job_id % 2 = 0 then '{"job":"' || job_id || '"}' else '{}' end as glossary,
+    string_agg(idx || ':' || greatest(4, cast(trunc(greatest(5e-2, end_s - start_s) * 45e-1) as int)) || ':' || length(text), ',' order by idx) as digest from b group by job_id, batch""")
+def g2_translation_requests(cues):
+    terms = cues.where("job_id % 2 = 0").select("job_id", F.lit("job").alias("term"), c("job_id").cast("string").alias("translation"))
+    found = ag.translation_requests(cues.withColumn("source_text", c("text")), ck.TARGET_LANGUAGE, 3, terms)
+    rows = F.from_json("payload", "array<struct<id:bigint,max_zh_chars:int,text:string>>")
+    digest = F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x["id"].cast("string"), x["max_zh_chars"].cast("string"), F.length(x["text"]).cast("string"))), ",")
+    return found.select("job_id", "batch", "n_segments", "glossary", digest.alias("digest"))
+
+
+@query("g3_frame_rms", "frames", sql="select job_id, event_type as track, frame_no // 16 as frame_no, sqrt(avg(level * level)) as rms from frames group by 1, 2, 3")
+def g3_frame_rms(frames):
+    return ag.frame_rms(frames.select("job_id", c("event_type").alias("track"), c("frame_no").alias("n"), c("level").alias("x")), 16)
+
+
+@query("g3_frame_array_rms", "frames", sql="select job_id, sqrt(sum(level * level) / count(*)) as rms from frames group by job_id")
+def g3_frame_array_rms(frames):
+    rows = frames.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_no", "level"))), lambda x: x["level"]).alias("samples"))
+    return ag.frame_array_rms(rows).select("job_id", "rms")
+
+
+@query("g4_soundtrack_measures", "frames", "intervals", sql=f"""
+  with {_MIX}
+  select job_id, round(count(*) filter (ss) * 5e-2, 2) as source_speech_seconds, round(count(*) filter (ss and bs) * 5e-2, 2) as bed_speech_overlap_seconds, round(count(*) filter (narration) * 5e-2, 2) as narration_seconds,
+    coalesce(quantile_cont(bed, 5e-1) filter (narration and fade < 1e-2), 0e0) as median_narration_bed_rms, coalesce(quantile_cont(bed, 95e-2) filter (narration and fade < 1e-2), 0e0) as p95_narration_bed_rms
+  from fl group by job_id""")
+def g4_soundtrack_measures(frames, intervals):
+    rows = _mix(frames, intervals).withColumn("narration", c("in_narration") | (c("voice_rms") > 0.014)).withColumnRenamed("bed_rms", "added_rms")
+    return ag.soundtrack_measures(rows)
+
+
+@query("g5_pack_utterances", "cues", sql=f"""
+  with {_UTTERANCES}, st as (select job_id, max(idx) - min(idx) + 1 as stride from cues group by job_id),
+  q as (select *, trim(piece) as t from ut), v as (select *, lag(t) over (partition by job_id, utterance order by idx, ordinal) as before from q)
+  select job_id, utterance, first(idx + ordinal * stride order by idx, ordinal) as utterance_id, first(start_s order by idx, ordinal) as start_s, last(end_s order by idx, ordinal) as end_s,
+    string_agg(case when regexp_matches(before, '[A-Za-z0-9]$') and regexp_matches(t, '^[A-Za-z0-9]') then ' ' else '' end || t, '' order by idx, ordinal) as text, count(*)::int as n_fragments
+  from v join st using (job_id) group by job_id, utterance""")
+def g5_pack_utterances(cues):
+    pieces = od.group_utterances(_pieces(cues)).withColumn("text", c("piece")).withColumn("source_text", c("piece"))
+    return ag.pack_utterances(pieces, ag.index_stride(cues)).drop("source_text", "speaker")
+
+
+@query("g6_index_stride", "faulty_cues", sql="select job_id, max(idx) - min(idx) + 1 as stride, count(*) = count(distinct idx) as unique_ids from faulty_cues group by job_id")
+def g6_index_stride(faulty_cues):
+    return ag.index_stride(faulty_cues)
