@@ -50,14 +50,11 @@ def template(word: Column, before: Column) -> Column:
     """
     p = plain(word)
     first = F.substring(word, 1, 1)
-    # cheap tests on the first character come first: few words reach a pattern
-    number = (first < ":") & p.rlike("^[-+$]?[0-9][0-9.,]*(%|st|nd|rd|th)?$") | p.isin(NUMBER_WORDS)
+    # most words fail one look-up and two tests of the first character, and meet no pattern
+    number = (first < ":") & p.rlike("^[-+$]?[0-9][0-9.,]*(%|st|nd|rd|th)?$")
     name = first.between("A", "Z") & before.isNotNull() & ~before.rlike("[.!?:]$") & word.rlike("^[A-Z][a-z]+[.,;:!?\"')]*$")
-    return F.when(number, "<number>").when(p.isin(UNITS), "<unit>").when(name, "<name>").otherwise(p)
-
-
-def templates(tokens: Column) -> Column:
-    return F.transform(tokens, lambda w, i: template(w, F.get(tokens, i - 1)))
+    listed = F.when(p.isin(UNITS), "<unit>").otherwise("<number>")
+    return F.when(p.isin(*NUMBER_WORDS, *UNITS), listed).when(number, "<number>").when(name, "<name>").otherwise(p)
 
 
 def windows(hashed: Column, size: int) -> Column:
@@ -69,7 +66,7 @@ def windows(hashed: Column, size: int) -> Column:
 def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW, literals: int = LITERALS) -> DataFrame:
     """Windows of the items: item, its number of windows, place, hash, and its slots (offset, value)."""
     items = benchmark.where(F.col(key).isNotNull()).select(F.col(key).alias("item"), words(F.col(text)).alias("w")).distinct()
-    items = items.select("item", "w", templates(F.col("w")).alias("t")).withColumn("h", F.transform("t", lambda x: F.xxhash64(x)))
+    items = items.select("item", "w", F.transform("w", lambda w, i: template(w, F.get("w", i - 1))).alias("t")).withColumn("h", F.transform("t", lambda x: F.xxhash64(x)))
     rows = items.select("item", "w", "t", F.posexplode(windows(F.col("h"), window)).alias("at", "hash"))
     own = F.slice("t", F.col("at") + 1, F.lit(window))
     slots = F.filter(F.transform(F.sequence(F.lit(0), F.lit(window - 1)), lambda k: F.when(F.get("t", F.col("at") + k).isin("<number>", "<unit>", "<name>"), F.struct(k.alias("offset"), plain(F.get("w", F.col("at") + k)).alias("value")))), lambda s: s.isNotNull())
@@ -82,8 +79,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """Pairs of document and item: n_windows matched, item_windows, and whether slot values were exchanged."""
     bench = benchmark_windows(benchmark, item_key, "text", window, literals)
     sided = F.broadcast(bench) if bench.count() <= BROADCAST_WINDOWS else bench
-    tokens = words(F.col(text))
-    hashed = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.transform(tokens, lambda w, i: F.xxhash64(template(w, F.get(tokens, i - 1)))).alias("h"))
+    # words are a column of their own: an expression inside the lambda would be split again for every word
+    split = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), words(F.col(text)).alias("w"))
+    hashed = split.select("doc", F.transform("w", lambda w, i: F.xxhash64(template(w, F.get("w", i - 1)))).alias("h"))
     places = hashed.select("doc", F.posexplode(windows(F.col("h"), window)).alias("place", "hash"))
     hits = places.join(sided, "hash").select("doc", "item", "item_windows", "at", "place", "slots").distinct()
     hits = settle(hits.withColumn("run", F.col("place") - F.col("at")), "window-hits")
