@@ -20,7 +20,7 @@ MANIFEST = "id string, source string, status string, progress int, stage_message
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, job_id, content) of text files; the job is the folder's name."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("job_id"), F.col("value").alias("content"))
 
 

@@ -25,7 +25,9 @@ def to_srt(cues: DataFrame, **options) -> DataFrame:
 
 def write_srt(cues: DataFrame, path: str, **options) -> None:
     """Subtitle documents as text files in one folder per job."""
-    to_srt(cues, **options).withColumnRenamed("srt", "value").repartition("job_id").write.partitionBy("job_id").text(path)
+    # the sink ends each value with a line feed, which is the document's own last one
+    documents = to_srt(cues, **options).select("job_id", F.regexp_replace("srt", r"\n\z", "").alias("value"))
+    documents.repartition("job_id").write.partitionBy("job_id").text(path)
 
 
 def segment_arrays(segments: DataFrame) -> DataFrame:
