@@ -79,7 +79,7 @@ def test_ann_recall_and_edges(spark, sf_dir):
 def test_ann_copies_norms_and_bad_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(v) for v in rng.normal(size=6) * (1 + i % 7)], "e") for i in range(300)]
-    rows += [(1000 + i, [3.0, 0, 0, 0, 0, 0], "e") for i in range(100)]
+    rows += [(1000 + i, [3.0, 0.0, 0.0, 0.0, 0.0, 0.0], "e") for i in range(100)]
     rows += [(2000, None, "e"), (2001, [0.0] * 6, "e"), (2002, [float("nan")] * 6, "e"), (2003, [None] + [1.0] * 5, "e"), (2004, [float("inf")] * 6, "e"), (None, [1.0] * 6, "e")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, shard string")
     found = ann.nearest(df, df.where("vec_id in (1050, 3, 2001)"), k=20, shard_rows=100).toPandas()
