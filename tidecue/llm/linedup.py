@@ -33,43 +33,48 @@ BUCKETS = 1 << 16
 #: Pairs whose line ids may be broadcast to fetch their texts; beyond it, a shuffle join fetches them.
 BROADCAST_PAIRS = 500_000
 _SPACE = "[\\x20\\x09-\\x0D]+"
+_EDGE = " \t\n\x0b\x0c\r"
 
 
 def _words(text: Column) -> Column:
     """The distinct lower-cased words of a text."""
-    trimmed = F.btrim(F.lower(text), F.lit(" \t\n\x0b\x0c\r"))
+    trimmed = F.btrim(F.lower(text), F.lit(_EDGE))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(trimmed, _SPACE)))
 
 
-def _bucket(word: Column) -> Column:
-    return F.pmod(F.hash(word), F.lit(BUCKETS))
-
-
 def rarity(docs: DataFrame, text: str = "text") -> Column:
     """A constant array: for each bucket of words a class that grows with the logarithm of their count."""
-    trimmed = F.btrim(F.lower(F.col(text)), F.lit(" \t\n\x0b\x0c\r"))
-    counts = docs.select(F.explode(F.split(trimmed, _SPACE)).alias("w")).groupBy(_bucket(F.col("w")).alias("b")).count()
+    trimmed = F.btrim(F.lower(F.col(text)), F.lit(_EDGE))
+    words = docs.select(F.explode(F.split(trimmed, _SPACE)).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count()
     classes = [0] * BUCKETS
     for b, c in counts.select("b", F.round(4 * F.log2(F.col("count") + 1)).cast("int")).collect():  # at most BUCKETS rows
         classes[b] = c
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<int>")
+    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<long>")
 
 
 def split_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per line: id, line number, text, number of words, set key, parity sketch and prefix."""
     ranks = rarity(docs, text)
     lines = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line"))
-    lines = lines.withColumn("words", _words(F.col("line")))
-    # 23 bits of rarity above 32 bits of hash: sorting codes orders words by rarity, and the hash breaks ties
-    lines = lines.withColumn("codes", F.sort_array(F.transform("words", lambda w: F.shiftleft(F.get(ranks, _bucket(w)).cast("long"), 32).bitwiseOR(F.hash(w).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))))
-    n = F.size("words")
+    trimmed = F.btrim(F.lower(F.col("line")), F.lit(_EDGE))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _SPACE))
+
+    def code(word: Column) -> Column:
+        # the word's rarity above 48 bits of its hash: sorting codes orders words by rarity, and the hash breaks ties
+        h = F.xxhash64(word)
+        rank = F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+        return F.shiftleft(rank, 48).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1)))
+
+    lines = lines.withColumn("codes", F.sort_array(F.array_distinct(F.transform(words, code))))
+    n = F.size("codes")
     prefix = n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1
-    words = F.sort_array("words")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
     return lines.select(
         "doc", "no", "line", n.alias("n"),
-        F.xxhash64(words).alias("k1"), F.xxhash64(words, F.lit(7)).alias("k2"),
-        F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int")))).alias("sketch"),
-        F.when(n > 0, F.transform(F.slice("codes", F.lit(1), prefix), lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))).otherwise(F.array().cast("array<int>")).alias("prefix"),
+        F.xxhash64("codes").alias("k1"), F.xxhash64("codes", F.lit(7)).alias("k2"),
+        F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(bit(c))).alias("sketch"),
+        F.when(n > 0, F.transform(F.slice("codes", F.lit(1), prefix), lambda c: F.shiftright(c, 16).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))).otherwise(F.array().cast("array<int>")).alias("prefix"),
     )
 
 
