@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +32,45 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Folders of the intermediate tables of the operators that are running, innermost last.
+_open: list[list[str]] = []
+
+
 def settle(df: DataFrame, kind: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later stages start there when executors are lost."""
     path = shared_folder(df.sparkSession, kind)
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def tidy(kind: str) -> Callable[[Callable[..., DataFrame]], Callable[..., DataFrame]]:
+    """An operator whose result is written to the shared folder, and whose own intermediate tables then go."""
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(operator)
+        def run(df: DataFrame, *args, **options) -> DataFrame:
+            _open.append([])
+            try:
+                result = operator(df, *args, **options)
+            finally:
+                made = _open.pop()
+            result = settle(result, kind)
+            _delete(df.sparkSession, made)
+            return result
+
+        return run
+
+    return wrap
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a document belongs to the fold that no classifier learns from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))

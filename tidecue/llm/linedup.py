@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecue.llm.common import settle
+from tidecue.llm.common import settle, tidy
 
 PERCENT = 90
 BUCKETS = 1 << 16
@@ -125,6 +125,7 @@ def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
     return lines.select("doc", "no", "n"), kept
 
 
+@tidy("line-counts")
 def line_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per document with lines: its number of lines, of removed lines, and the numbers of the removed ones (from 0)."""
     lines, kept = kept_lines(docs, key, text, percent)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecue.llm.common import settle, small_batches
+from tidecue.llm.common import settle, small_batches, tidy
 from tidecue.llm.components import connected_components
 from tidecue.llm.words import shingles, word_hashes
 
@@ -229,6 +229,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: i
     return settle(_with_both(pairs, sets, ["full"]).select("a", "b", "full_a", "full_b").mapInArrow(check, f"a {kind}, b {kind}"), "links")
 
 
+@tidy("near-duplicates")
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row: the key, n_shingles, component_id (smallest id reachable by links) and kept.
 
