@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecue.llm.common import settle
+from tidecue.llm.common import settle, tidy
 
 WINDOW = 8
 #: A window must have this many words that are not placeholders.
@@ -26,6 +26,8 @@ LITERALS = 5
 SHARE = 0.2
 #: Benchmark windows that may be broadcast: about 100 bytes each.
 BROADCAST_WINDOWS = 300_000
+#: Ids of documents with slots that may be broadcast; beyond it, a shuffle join fetches their texts.
+BROADCAST_IDS = 1_000_000
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _EDGE = " \t\n\x0b\x0c\r"
 _MARKS = ".,;:!?\"')"
@@ -75,6 +77,7 @@ def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "t
     return settle(kept.join(sizes, "item"), "benchmark-windows")
 
 
+@tidy("contaminated")
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", window: int = WINDOW, literals: int = LITERALS, share: float = SHARE) -> DataFrame:
     """Pairs of document and item: n_windows matched, item_windows, and whether slot values were exchanged."""
     bench = benchmark_windows(benchmark, item_key, "text", window, literals)
@@ -86,9 +89,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     hits = places.join(sided, "hash").select("doc", "item", "item_windows", "at", "place", "slots").distinct()
     hits = settle(hits.withColumn("run", F.col("place") - F.col("at")), "window-hits")
     slotted = hits.where(F.size("slots") > 0).select("doc", "item", "run", "place", F.explode("slots").alias("s")).select("doc", "item", "run", (F.col("place") + F.col("s.offset")).alias("at"), F.col("s.value").alias("value"))
-    slotted = slotted.distinct()
+    slotted = settle(slotted.distinct(), "window-slots")
     wanted = slotted.select("doc").distinct()
-    found = docs.select(F.col(key).alias("doc"), words(F.col(text)).alias("w")).join(wanted, "doc", "left_semi")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted  # few: texts are not shuffled
+    found = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).join(wanted, "doc", "left_semi").select("doc", words(F.col("t")).alias("w"))
     values = slotted.join(found, "doc").select("doc", "item", "run", "value", plain(F.get("w", F.col("at"))).alias("own"))
     slots = values.groupBy("doc", "item", "run", "value").agg(F.countDistinct("own").alias("n"), F.max(F.col("own") != F.col("value")).alias("other"))
     slots = slots.groupBy("doc", "item", "run").agg(F.max("n").alias("n"), F.max("other").alias("other"))
