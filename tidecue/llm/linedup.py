@@ -139,6 +139,7 @@ def line_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
 def remove_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents without their removed lines, all columns kept; documents left without text stay, empty."""
     gone = line_counts(docs, key, text, percent).where("n_removed > 0").select(F.col(key).alias("_doc"), F.col("removed").alias("_removed"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_PAIRS else gone  # few: texts are not shuffled
     joined = docs.join(gone, F.col(key) == F.col("_doc"), "left")
     rest = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n")
     return joined.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(rest)).select(docs.columns)

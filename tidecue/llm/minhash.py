@@ -278,4 +278,5 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents without those that a smaller id represents, all columns kept."""
     gone = near_duplicates(docs, key, text, percent).where("not kept").select(key).distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone  # few: texts are not shuffled
     return docs.join(gone, key, "left_anti").select(docs.columns)
