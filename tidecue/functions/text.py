@@ -40,8 +40,10 @@ def subtitle_text(translated: Column, source: Column) -> Column:
 def safe_output_name(title: Column, job_id: Column) -> Column:
     """A file name from a title: at most 80 characters and 200 bytes, and the job's first 8 characters."""
     cleaned = F.left(F.regexp_replace(title, r"(?U)[^\w\x{4e00}-\x{9fff}.-]+", "-"), F.lit(80))
-    fitting = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(80)), lambda n: F.octet_length(F.left(cleaned, n)) <= 200))
-    name = F.nullif(F.regexp_replace(F.left(cleaned, fitting), "^[-._]+|[-._]+$", ""), F.lit(""))
+    fitting = lambda x: F.array_max(F.filter(F.sequence(F.lit(0), F.lit(80)), lambda n: F.octet_length(F.left(x, n)) <= 200))
+    # an element of an array: inside the inner lambda the title would be cleaned again for every length
+    cut = F.get(F.transform(F.array(cleaned), lambda x: F.left(x, fitting(x))), F.lit(0))
+    name = F.nullif(F.regexp_replace(cut, "^[-._]+|[-._]+$", ""), F.lit(""))
     return F.concat(F.coalesce(name, F.lit("translated-video")), F.lit("-"), F.left(job_id, F.lit(8)), F.lit(".mp4"))
 
 

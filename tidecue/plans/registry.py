@@ -83,7 +83,7 @@ def c3_subtitle_text(cues):
   b as (select doc_id, list_max(list_filter(range(0, 81), lambda n: strlen(left(x, n)) <= 200)) as n, x from a)
   select doc_id, coalesce(nullif(trim(left(x, n), '-._'), ''), 'translated-video') || '-' || left(md5(doc_id::varchar), 8) || '.mp4' as name from b""")
 def c4_safe_output_name(documents):
-    return documents.select("doc_id", tx.safe_output_name(F.left("text", F.lit(120)), F.md5(c("doc_id").cast("string"))).alias("name"))
+    return documents.select("doc_id", tx.safe_output_name(c("text"), F.md5(c("doc_id").cast("string"))).alias("name"))
 
 
 _SPOKEN = r"regexp_replace(replace(lower({x}), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]', '', 'g')"
