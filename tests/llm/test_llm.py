@@ -414,6 +414,23 @@ def test_slots_must_be_consistent(spark):
     assert found == {1, 3}
 
 
+def test_items_without_a_window(spark):
+    items = {
+        1: "A train travels 60 km in 2 hours", 2: "What is the capital of Zorland?", 3: "The quick otters swim across muddy rivers daily", 4: "...",
+        5: "60 km 2 hours 60 km 2 hours 5 days 7 weeks", 6: "5 boys and 5 girls", 7: "", 8: "10 cm 20 cm 30 cm 40 cm 50 cm is the length of 60 cm 70 cm",
+    }
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    texts = {
+        1: "we read that A train travels 60 km in 2 hours, and more", 2: "so a train travels 80 km in 3 hours", 3: "say what is the capital of zorland, please", 4: "and The quick otters swim across muddy rivers daily too",
+        5: "it was 60 km 2 hours 60 km 2 hours 5 days 7 weeks", 6: "8 boys and 8 girls", 7: "8 boys and 9 girls", 8: "it was 70 km 2 hours 60 km 2 hours 5 days 7 weeks", 9: "...", 10: "",
+        11: "x 11 cm 20 cm 30 cm 40 cm 50 cm is the length of 60 cm 70 cm", 12: "x 11 cm 20 cm 30 cm 40 cm 50 cm is the length of 60 cm 71 mm", 13: "a train", 14: None, 15: "is the length of 60",
+    }
+    rows = decontam.contaminated(made(spark, texts), bench).collect()
+    found = {(r.doc_id, r.item_id): r.reparameterised for r in rows}
+    assert len(rows) == len(found) and all(r.n_windows == r.item_windows == 1 for r in rows)
+    assert found == {(1, 1): False, (2, 1): True, (3, 2): False, (4, 3): False, (5, 5): False, (6, 6): True, (11, 8): True}
+
+
 def test_held_out_fold(spark):
     rows = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").select("doc_id", held_out().alias("h")).collect()
     assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
