@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidecue.llm.common import small_batches
+from tidecue.llm.common import slices
 
 LONG_WORD = 256
 #: Words kept in a worker's cache; beyond it the cache starts anew.
@@ -193,13 +193,12 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids")
 
     Null and empty texts give an empty array. Whole texts are encoded, whatever their length.
     """
-    small_batches(df.sparkSession)
     columns = [c for c in df.columns if c != out]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out), f"`{out}` array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in batches:
+        for b in slices(batches, text):
             ids = [v.encode(t) for t in b.column(text).to_pylist()]
             offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
@@ -211,13 +210,12 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids")
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Add the text of a column of token ids; null ids give an empty text, special tokens are kept."""
-    small_batches(df.sparkSession)
     columns = [c for c in df.columns if c != out]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out), f"`{out}` string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in batches:
+        for b in slices(batches, ids):
             texts = [v.decode(np.array(x or [], np.int64)) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(texts, pa.string())], [*columns, out])
 
@@ -228,14 +226,14 @@ def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     """Encode every text, decode the ids again, and return a digest of each.
 
     Columns: the key, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the
-    decoded text in UTF-8). Ids and texts stay inside the task, so that only digests leave it.
+    decoded text in UTF-8). Ids and texts stay inside the task, so that only digests leave it. Null and empty texts
+    have no tokens and the digests of empty strings; repeated rows give repeated results; other columns are not read.
     """
-    small_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for b in batches:
+        for b in slices(batches, text):
             counts, id_digests, text_digests = [], [], []
             for t in b.column(text).to_pylist():
                 ids = v.encode(t)

@@ -17,12 +17,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecue.llm.common import bounded_sample, small_batches
+from tidecue.llm.common import bounded_sample, slices
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Characters turned into n-grams at once; longer texts are counted in steps.
 STEP = 1 << 16
+#: Entries of the log-probability matrix that are gathered at once: one text has as many rows as buckets at most.
+CELLS = 1 << 23
 LETTER = regex.compile(r"\p{L}")
 _SALT = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
@@ -62,10 +64,24 @@ class LanguageModel:
         best, score = ["und"] * len(texts), np.zeros(len(texts))
         if not named:
             return best, score
-        sparse = [ngram_counts(texts[i], self.log_prob.shape[0]) for i in named]
-        rows = np.cumsum([0, *(len(at) for at, _ in sparse)])[:-1]
-        at, counts = (np.concatenate([s[k] for s in sparse]) for k in (0, 1))
-        sums = np.add.reduceat(self.log_prob[at] * counts[:, None], rows, axis=0) + self.prior
+        sums = np.zeros((len(named), len(self.languages)))
+        pending: list[tuple[np.ndarray, np.ndarray]] = []
+        room, done = CELLS // len(self.languages), 0
+
+        def flush() -> None:
+            nonlocal pending, done
+            rows = np.cumsum([0, *(len(at) for at, _ in pending)])[:-1]
+            at, counts = (np.concatenate([p[k] for p in pending]) for k in (0, 1))
+            sums[done : done + len(pending)] = np.add.reduceat(self.log_prob[at] * counts[:, None], rows, axis=0)
+            pending, done = [], done + len(pending)
+
+        for i in named:
+            sparse = ngram_counts(texts[i], self.log_prob.shape[0])
+            if pending and sum(len(at) for at, _ in pending) + len(sparse[0]) > room:
+                flush()
+            pending.append(sparse)
+        flush()
+        sums += self.prior
         top = sums.argmax(axis=1)
         odds = np.exp(sums - sums.max(axis=1, keepdims=True))
         for k, i in enumerate(named):
@@ -79,14 +95,13 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     ``max_rows`` bounds the sample that is learned from (chosen by a hash of the key). More than
     ``max_languages`` labels are an error, since the matrix is broadcast.
     """
-    small_batches(labelled.sparkSession)
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sample = bounded_sample(known.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")), "k", max_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
-        for b in batches:
+        for b in slices(batches, "t"):
             for t, label in zip(b.column("t").to_pylist(), b.column("l").to_pylist(), strict=True):
                 at, counts = ngram_counts(t)
                 np.add.at(sums.setdefault(label, np.zeros(BUCKETS, np.int64)), at, counts)
@@ -117,13 +132,12 @@ def predict(df: DataFrame, model: LanguageModel, key: str = "doc_id", text: str
     are not read. Equal likelihoods go to the language that sorts first.
     """
     spark = df.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in slices(batches, text):
             best, score = m.predict(b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(best, pa.string()), pa.array(score)], [key, "lang_pred", "score"])
 
@@ -133,12 +147,11 @@ def predict(df: DataFrame, model: LanguageModel, key: str = "doc_id", text: str
 def label(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """All columns of every row, with lang_pred and lang_score from the whole text; see ``predict``."""
     spark = df.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in slices(batches, text):
             best, score = m.predict(b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "lang_score"])
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecue.llm.common import bounded_sample, small_batches
+from tidecue.llm.common import bounded_sample, slices
 
 FEATURES = (
     "log_bytes", "log_words", "log_lines", "word_bytes", "letters", "upper", "digits", "white", "high",
@@ -126,7 +126,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: fl
 
 def _with_statistics(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, text):
             rows = [statistics(t) for t in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(rows, pa.list_(pa.float64()))], [*keep, "statistics"])
 
@@ -139,9 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
 
     ``max_rows`` bounds the sample (chosen by a hash of the key), so what comes to the driver is bounded.
     """
-    small_batches(docs.sparkSession)
     known = bounded_sample(labels.where(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")), "k", max_rows)
-    joined = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(known, "k")
+    joined = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(known), "k")  # max_rows at most
     rows = _with_statistics(joined, "t", ["k", "y"]).toPandas().sort_values("k", kind="stable")
     x = np.array(rows["statistics"].tolist(), float).reshape(len(rows), len(FEATURES))
     return grow(x, rows["y"].to_numpy(float), **growth)
@@ -153,13 +152,12 @@ def score(df: DataFrame, forest: Forest, threshold: float = 0.3, key: str = "doc
     Null and empty texts are scored like a text of no words; repeated rows give repeated results.
     """
     spark = df.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(forest)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
-        for b in batches:
+        for b in slices(batches, text):
             x = np.array([statistics(t) for t in b.column(text).to_pylist()], float).reshape(-1, len(FEATURES))
             s = f.score(x)
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [key, "score", "predicted"])
