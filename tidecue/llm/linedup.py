@@ -3,22 +3,29 @@
 A line is its set of lower-cased words. A line is removed if an earlier line (smaller document id, then
 smaller line number) has a Jaccard similarity of at least ``percent``/100 with it.
 
-1. Lines with equal word sets form a class; all but the first of a class are removed. From here on, only
-   the first lines are looked at, so copies cost nothing.
+1. Lines with equal word sets form a class, known by two independent 64-bit hashes of the sorted words; all
+   but the first of a class are removed, and from here on only the first lines are looked at. A class key is
+   aggregated before the shuffle, so a line that half of the corpus repeats costs nothing. Lines of so few
+   words that only equal sets are similar enough are done with.
 2. The words of a line are ordered by rarity, and the first n - ceil(t n) + 1 of n words are its prefix:
    two lines that are similar enough share a word of their prefixes. Rarity comes from word counts over
-   all documents, gathered in 65,536 hash buckets, so that the order is a constant of bounded size.
+   all documents, gathered in 65,536 hash buckets, so that the order is a constant of bounded size. Any order
+   is right; with more words than buckets, rare words share counts, but a frequent word still outweighs its
+   bucket and comes late. Words are told apart by 64-bit hashes.
 3. Two lines that share a prefix word must also pass the length filter, the positional filter, and a
    filter by parity sketches: 64 bits, each the parity of the words that hash to it; two sets differ in at
    least as many words as their sketches differ in bits. All three hold for every similar pair, so nothing
    is lost. Filters are part of the join condition: pairs that fail are never emitted.
 4. First each line is compared with the earliest line of each of its words' lists, which settles most of a
    large group of near copies in a number of pairs that is linear in its size; only lines that are still
-   unsettled meet the rest of their lists.
-5. Pairs are verified on the words themselves.
-
-Nulls and empty texts have no lines to remove; blank lines always stay; rows without a document id take no
-part and keep their text. Rows that repeat a document id count as one document.
+   unsettled meet the rest of their lists. Lists are joined with themselves over one exchange, and adaptive
+   execution splits those of hot words.
+5. Pairs are verified on the words themselves, which are split from the texts again: lines are written
+   without their text.
+
+Nulls and empty texts have no lines to remove; blank lines always stay. Rows that repeat an id and its text
+count as one document. Rows without an id, and rows whose id stands for several texts, take no part and keep
+their text.
 """
 
 from __future__ import annotations
@@ -26,64 +33,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecue.llm.common import settle, tidy
+from tidecue.llm.common import counted, settle, tidy, unused
 
 PERCENT = 90
 BUCKETS = 1 << 16
-#: Pairs whose line ids may be broadcast to fetch their texts; beyond it, a shuffle join fetches them.
-BROADCAST_PAIRS = 500_000
+#: Rows of ids and line numbers, or of class keys, that may be broadcast; beyond it, a shuffle join takes them.
+BROADCAST_ROWS = 500_000
 _SPACE = "[\\x20\\x09-\\x0D]+"
-_EDGE = " \t\n\x0b\x0c\r"
 
 
-def _words(text: Column) -> Column:
-    """The distinct lower-cased words of a text."""
-    trimmed = F.btrim(F.lower(text), F.lit(_EDGE))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(trimmed, _SPACE)))
+def _split(text: Column) -> Column:
+    """The words of a text, with empty ones; by a single character where that is all there is."""
+    odd = [F.contains(text, F.lit(x)) for x in "\t\n\x0b\x0c\r"]
+    return F.when(odd[0] | odd[1] | odd[2] | odd[3] | odd[4], F.split(text, _SPACE)).otherwise(F.split(text, " "))
+
+
+def words(text: Column) -> Column:
+    """The distinct words of a text."""
+    return F.array_remove(F.array_distinct(_split(text)), "")
 
 
 def rarity(docs: DataFrame, text: str = "text") -> Column:
-    """A constant array: for each bucket of words a class that grows with the logarithm of their count."""
-    trimmed = F.btrim(F.lower(F.col(text)), F.lit(_EDGE))
-    words = docs.select(F.explode(F.split(trimmed, _SPACE)).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count()
+    """A constant array: for each bucket of words a class that grows with the logarithm of their count, shifted by 48 bits."""
+    spaced = docs.select(F.replace(F.lower(F.col(text)), F.lit("\n"), F.lit(" ")).alias("t"))
+    found = spaced.select(F.explode(_split(F.col("t"))).alias("w"))
+    counts = found.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count()
     classes = [0] * BUCKETS
     for b, c in counts.select("b", F.round(4 * F.log2(F.col("count") + 1)).cast("int")).collect():  # at most BUCKETS rows
-        classes[b] = c
+        classes[b] = c << 48
     return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<long>")
 
 
-def split_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """One row per line: id, line number, text, number of words, set key, parity sketch and prefix."""
-    ranks = rarity(docs, text)
-    lines = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.posexplode(F.split(F.col(text), "\n")).alias("no", "line"))
-    trimmed = F.btrim(F.lower(F.col("line")), F.lit(_EDGE))
-    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _SPACE))
-
-    def code(word: Column) -> Column:
-        # the word's rarity above 48 bits of its hash: sorting codes orders words by rarity, and the hash breaks ties
-        h = F.xxhash64(word)
-        rank = F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
-        return F.shiftleft(rank, 48).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1)))
-
-    lines = lines.withColumn("codes", F.sort_array(F.array_distinct(F.transform(words, code))))
-    n = F.size("codes")
-    prefix = n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1
+def single_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc and text of the rows that take part: those of ids that stand for one text."""
+    rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("text"))
+    repeated = settle(docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("doc")).count().where("count > 1").select("doc"), "repeated-ids")
+    if repeated.isEmpty():
+        return rows
+    several = rows.join(counted(repeated, BROADCAST_ROWS), "doc", "left_semi").select("doc", F.xxhash64("text").alias("h"))
+    several = settle(several.groupBy("doc").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").select("doc"), "several-texts")
+    return rows.join(counted(several, BROADCAST_ROWS), "doc", "left_anti")
+
+
+def split_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row per line of (doc, text): doc, line number, number of words n, class key k1 and k2, parity sketch and prefix."""
+    ranks = rarity(docs)
+    lines = docs.select("doc", F.posexplode(F.split(F.lower("text"), "\n")).alias("no", "line"))
+    lines = lines.select("doc", "no", F.sort_array(words(F.col("line"))).alias("w"))
+    # hashes are a step of their own, so that each is computed once; a code has the word's rarity above 48 bits of its
+    # hash: sorting codes orders words by rarity, and the hash breaks ties
+    hashed = lines.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    codes = F.sort_array(F.transform("h", lambda h: F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1)))))
+    n = F.size("h")
+    prefix = F.when(n * (100 - percent) >= percent, n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1).otherwise(0)
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
-    return lines.select(
-        "doc", "no", "line", n.alias("n"),
-        F.xxhash64("codes").alias("k1"), F.xxhash64("codes", F.lit(7)).alias("k2"),
-        F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a.bitwiseXOR(bit(c))).alias("sketch"),
-        F.when(n > 0, F.transform(F.slice("codes", F.lit(1), prefix), lambda c: F.shiftright(c, 16).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))).otherwise(F.array().cast("array<int>")).alias("prefix"),
+    parity = F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
+    return hashed.select(
+        "doc", "no", n.alias("n"), F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(7), "w").alias("k2"),
+        F.when(prefix > 0, parity).alias("sketch"), F.when(prefix > 0, F.slice(codes, F.lit(1), prefix)).alias("prefix"),
     )
 
 
-def _before(a: str, b: str) -> Column:
-    """Whether line a stands before line b."""
-    c = F.col
-    return (c(f"{a}doc") < c(f"{b}doc")) | ((c(f"{a}doc") == c(f"{b}doc")) & (c(f"{a}no") < c(f"{b}no")))
-
-
 def _may_match(a: str, b: str, percent: int) -> Column:
     """The filters that every pair of similar lines with a common prefix word passes."""
     c = F.col
@@ -95,51 +105,67 @@ def _may_match(a: str, b: str, percent: int) -> Column:
     return length & (before + left >= need) & (F.bit_count(c(f"{a}sketch").bitwiseXOR(c(f"{b}sketch"))) <= total - 2 * need)
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """The later lines (bdoc, bno) of pairs that are similar on their words."""
+def _similar_later(a: DataFrame, b: DataFrame, percent: int) -> DataFrame:
+    """Pairs (adoc, ano, bdoc, bno) of two frames of places that pass the filters; the second line is later."""
+    c = F.col
+    columns = ("doc", "no", "n", "at", "sketch")
+    left, right = (df.select("word", *[c(x).alias(p + x) for x in [*columns, *(["open"] if "open" in df.columns else [])]]) for df, p in ((a, "a"), (b, "b")))
+    later = (c("adoc") < c("bdoc")) | ((c("adoc") == c("bdoc")) & (c("ano") < c("bno")))
+    # both sides name every column, so that a frame joined with itself is one exchange; the second line must be open
+    joined = left.join(right, "word").where(later & _may_match("a", "b", percent))
+    return (joined.where((c("aopen") + 2 * c("bopen")) >= 2) if "open" in a.columns else joined).select("adoc", "ano", "bdoc", "bno")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The later lines (doc, no) of pairs that are similar on their words."""
     pairs = settle(pairs.distinct(), "line-pairs")
     ids = pairs.select(F.col("adoc").alias("doc"), F.col("ano").alias("no")).union(pairs.select("bdoc", "bno")).distinct()
-    if pairs.count() <= BROADCAST_PAIRS:
-        ids = F.broadcast(ids)
-    sets = settle(lines.select("doc", "no", "line").join(ids, ["doc", "no"]).dropDuplicates(["doc", "no"]).select("doc", "no", _words(F.col("line")).alias("w")), "line-sets")
+    wanted = settle(ids.groupBy("doc").agg(F.collect_list("no").alias("nos")), "line-ids")
+    # lines are a column of their own and are used twice: inside the lambda alone, the text would be split for each of them
+    found = docs.join(counted(wanted, BROADCAST_ROWS), "doc").select("doc", "nos", F.split(F.lower("text"), "\n").alias("lines"))
+    found = found.select("doc", F.explode(F.transform("nos", lambda i: F.when(i < F.size("lines"), F.struct(i.alias("no"), F.get("lines", i).alias("line"))))).alias("x"))
+    sets = settle(found.select("doc", "x.no", words(F.col("x.line")).alias("w")).dropDuplicates(["doc", "no"]), "line-sets")
     both = pairs.join(sets.toDF("adoc", "ano", "aw"), ["adoc", "ano"]).join(sets.toDF("bdoc", "bno", "bw"), ["bdoc", "bno"])
     common = F.size(F.array_intersect("aw", "bw"))
-    return settle(both.where(common * 100 >= (F.size("aw") + F.size("bw") - common) * percent).select("bdoc", "bno").distinct(), "line-matches")
-
-
-def kept_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """All lines (doc, no, n), and those with words that stay (doc, no)."""
-    lines = settle(split_lines(docs, key, text, percent), "lines")
-    firsts = lines.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc", "no", "n", "sketch", "prefix")).alias("f")).select("f.*")
-    firsts = settle(firsts, "line-classes")
-    places = firsts.select("doc", "no", "n", "sketch", F.posexplode("prefix").alias("at", "word"))
-    named = lambda p: places.select("word", *[F.col(x).alias(p + x) for x in ("doc", "no", "n", "sketch", "at")])
-    leaders = places.groupBy("word").agg(F.count("*").alias("c"), F.min(F.struct("doc", "no", "n", "sketch", "at")).alias("f")).where("c > 1")
-    leaders = leaders.select("word", *[F.col(f"f.{x}").alias("a" + x) for x in ("doc", "no", "n", "sketch", "at")])
-    near = _before("a", "b") & _may_match("a", "b", percent)
-    columns = ["adoc", "ano", "bdoc", "bno"]
-    first_matches = _verified(leaders.join(named("b"), "word").where(near).select(columns), lines, percent)
-    open_lines = named("b").join(first_matches, ["bdoc", "bno"], "left_anti")
-    matches = _verified(named("a").join(open_lines, "word").where(near).select(columns), lines, percent).union(first_matches)
-    kept = firsts.select("doc", "no").join(matches.toDF("doc", "no"), ["doc", "no"], "left_anti")
-    return lines.select("doc", "no", "n"), kept
+    similar = both.where(common * 100 >= (F.size("aw") + F.size("bw") - common) * percent)
+    return settle(similar.select(F.col("bdoc").alias("doc"), F.col("bno").alias("no")).distinct(), "line-matches")
+
+
+def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """All lines of (doc, text): doc, no, and whether the line is removed."""
+    c = F.col
+    lines = settle(split_lines(docs, percent), "lines")
+    classes = lines.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc", "no")).alias("f"), F.count("*").alias("c")).where("c > 1")
+    classes = settle(classes.select("k1", "k2", c("f.doc").alias("fdoc"), c("f.no").alias("fno")), "line-classes")
+    repeats = c("fdoc").isNotNull() & ((c("fdoc") != c("doc")) | (c("fno") != c("no")))
+    marked = lines.join(counted(classes, BROADCAST_ROWS), ["k1", "k2"], "left").withColumn("repeats", repeats)
+    first = marked.where("prefix is not null and not repeats")
+    places = lambda df, *more: df.select("doc", "no", "n", "sketch", *more, F.posexplode("prefix").alias("at", "word"))
+    row = F.struct("doc", "no", "n", "at", "sketch")
+    leaders = places(first).groupBy("word").agg(F.count("*").alias("c"), F.min(row).alias("f")).where("c > 1").select("word", "f.*")
+    settled = _verified(_similar_later(leaders, places(first), percent), docs, percent)
+    still = settled.withColumn("done", F.lit(True))
+    lists = places(first.join(counted(still, BROADCAST_ROWS), ["doc", "no"], "left").withColumn("open", c("done").isNull().cast("int")), "open")
+    matches = settled.union(_verified(_similar_later(lists, lists, percent), docs, percent)).withColumn("matched", F.lit(True))
+    found = marked.join(counted(matches, BROADCAST_ROWS), ["doc", "no"], "left")
+    return found.select("doc", "no", (c("repeats") | c("matched").isNotNull()).alias("removed"))
 
 
 @tidy("line-counts")
 def line_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per document with lines: its number of lines, of removed lines, and the numbers of the removed ones (from 0)."""
-    lines, kept = kept_lines(docs, key, text, percent)
-    marked = lines.dropDuplicates(["doc", "no"]).join(kept.withColumn("kept", F.lit(True)), ["doc", "no"], "left")
-    removed = F.col("kept").isNull() & (F.col("n") > 0)
-    return marked.groupBy("doc").agg(
-        F.count("*").alias("n_lines"), F.count_if(removed).alias("n_removed"), F.array_sort(F.collect_list(F.when(removed, F.col("no")))).alias("removed")
-    ).withColumnRenamed("doc", key)
+    lines = removed_lines(single_texts(docs, key, text), percent)
+    gone = F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("no"))))
+    counts = lines.groupBy("doc").agg((F.max("no") + 1).cast("long").alias("n_lines"), gone.alias("removed"))
+    return counts.select(F.col("doc").alias(key), "n_lines", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
 def remove_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents without their removed lines, all columns kept; documents left without text stay, empty."""
-    gone = line_counts(docs, key, text, percent).where("n_removed > 0").select(F.col(key).alias("_doc"), F.col("removed").alias("_removed"))
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_PAIRS else gone  # few: texts are not shuffled
-    joined = docs.join(gone, F.col(key) == F.col("_doc"), "left")
-    rest = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n")
-    return joined.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(rest)).select(docs.columns)
+    doc, removed, lines = unused("doc", docs), unused("removed", docs), unused("lines", docs)
+    gone = line_counts(docs, key, text, percent).where("n_removed > 0").select(F.col(key).alias(doc), F.col("removed").alias(removed))
+    joined = docs.join(counted(gone, BROADCAST_ROWS), F.col(key) == F.col(doc), "left")  # few: texts are not shuffled
+    joined = joined.withColumn(lines, F.when(F.col(removed).isNotNull(), F.split(F.col(text), "\n")))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(removed))
+    rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    return joined.withColumn(text, F.when(F.col(removed).isNull(), F.col(text)).otherwise(rest)).select(docs.columns)
