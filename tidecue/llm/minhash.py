@@ -15,7 +15,8 @@ A document is its set of distinct 5-word shingles; two are linked if their Jacca
    the filter and no smaller value of both lists it too.
 5. The filter estimates the similarity from the union's sketch: of its ``K`` smallest values as many must
    be in both sets as a similar pair has except with a chance of ``MISS``.
-6. Links are confirmed on full sets, and components are computed by Spark.
+6. Links are confirmed on full sets. Pairs are gathered by the end that has more of them, in chunks of bounded
+   size: its text comes once for each chunk, and partners stream past its set. Components are computed by Spark.
 
 The shingle hash is 64 bits wide: sets of n shingles are confused with a chance of about n**2 / 2**64.
 """
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecue.llm.common import settle, small_batches, tidy
+from tidecue.llm.common import counted, settle, slices, tidy
 from tidecue.llm.components import connected_components
 from tidecue.llm.words import shingles, word_hashes
 
@@ -44,7 +45,9 @@ PERCENT = 75
 MISS = 1e-9
 #: Lists up to this length join with themselves; longer ones are compared in blocks.
 SHORT_LIST = 64
-BLOCK = 2048
+BLOCK = 512
+#: Partners that are compared with a document's set in one chunk.
+CHUNK = 256
 #: Document ids that may be broadcast to fetch sketches or texts; beyond it, a shuffle join fetches them.
 BROADCAST_IDS = 1_000_000
 
@@ -82,10 +85,9 @@ def needed(low: np.ndarray, high: np.ndarray, k: int, percent: int = PERCENT) ->
 
 def sketch_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """doc, n (set size), d1 and d2 (digest of the set), sketch, and how many listed values a partner shares."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "t"):
             hashes, _, offsets = word_hashes(b.column("t").to_pylist())
             sets = shingles(hashes, offsets, WIDTH)
             n = np.array([len(s) for s in sets], np.int64)
@@ -177,11 +179,7 @@ def block_pairs(g: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
 
 def _fetch(table: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of a table whose doc is among distinct ids, without a shuffle of the table if these are few."""
-    return table.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc", "left_semi")
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    return table.join(counted(ids, BROADCAST_IDS), "doc", "left_semi")
 
 
 def _with_both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
@@ -194,7 +192,7 @@ def passing(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> Da
     """The pairs (a, b) that pass the filter on the union's sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "sketch_a", "sketch_b"):
             good = union_filter(_padded(b.column("sketch_a").to_pylist()), _padded(b.column("sketch_b").to_pylist()), b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), percent)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good))
 
@@ -202,31 +200,54 @@ def passing(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> Da
     return _with_both(pairs, sketches, ["n", "sketch"]).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, kinds)
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sets, given as sorted distinct numbers, reach the threshold."""
+    if min(len(x), len(y)) * 100 < max(len(x), len(y)) * percent:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _gathered(pairs: DataFrame) -> DataFrame:
+    """(hub, partner, chunk) of pairs (a, b): the hub is the end that has more pairs."""
+    c = F.col
+    degree = settle(pairs.select(c("a").alias("doc")).union(pairs.select("b")).groupBy("doc").count(), "degrees")
+    for end in ("a", "b"):
+        pairs = pairs.join(counted(degree, BROADCAST_IDS).select(c("doc").alias(end), c("count").alias(f"n_{end}")), end)
+    turned = c("n_a") >= c("n_b")
+    partner = F.when(turned, c("b")).otherwise(c("a"))
+    chunk = F.pmod(F.xxhash64(partner), F.ceil(F.greatest("n_a", "n_b") / CHUNK))
+    return settle(pairs.select(F.when(turned, c("a")).otherwise(c("b")).alias("hub"), partner.alias("doc"), chunk.alias("chunk")), "gathered")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
-    spark = pairs.sparkSession
-    pairs = settle(pairs.distinct(), "pairs")
+    """The pairs (a, b) whose full shingle sets reach the threshold.
 
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hashes, _, offsets = word_hashes(b.column("t").to_pylist())
-            sets = [s.tobytes() for s in shingles(hashes, offsets, WIDTH)]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(sets, pa.binary())], ["doc", "full"])
+    Rows are dealt by hub and chunk and sorted so that the hub's text comes first; sets are made where texts arrive.
+    """
+    asked = _gathered(settle(pairs.distinct(), "pairs"))
+    texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("t"))
+    partners = texts.join(counted(asked, BROADCAST_IDS), "doc").select("hub", "chunk", F.lit(1).alias("kind"), "doc", "t")
+    hubs = asked.select("hub", "chunk").distinct().withColumn("doc", F.col("hub"))
+    hubs = texts.join(counted(hubs, BROADCAST_IDS), "doc").select("hub", "chunk", F.lit(0).alias("kind"), "doc", "t")
+    rows = hubs.union(partners).repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "kind")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        at, own = None, {}  # an id that repeats with other texts has several sets
+        for b in slices(batches, "t"):
+            hashes, _, offsets = word_hashes(b.column("t").to_pylist())
             good = []
-            for x, y in zip(b.column("full_a").to_pylist(), b.column("full_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for hub, chunk, kind, s in zip(b.column("hub").to_pylist(), b.column("chunk").to_pylist(), b.column("kind").to_pylist(), shingles(hashes, offsets, WIDTH), strict=True):
+                if (hub, chunk) != at:
+                    at, own = (hub, chunk), {}
+                if kind == 0:
+                    own[hashlib.blake2b(s.tobytes(), digest_size=16).digest()] = s
+                good.append(kind == 1 and any(similar(s, x, percent) for x in own.values()))
+            yield pa.RecordBatch.from_arrays([b.column("hub"), b.column("doc")], ["hub", "doc"]).filter(pa.array(good, pa.bool_()))
 
-    small_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
-    texts = _fetch(docs.select(F.col(key).alias("doc"), F.col(text).alias("t")), _ends(pairs))
-    sets = settle(texts.mapInArrow(full, f"doc {kind}, full binary"), "sets")
-    return settle(_with_both(pairs, sets, ["full"]).select("a", "b", "full_a", "full_b").mapInArrow(check, f"a {kind}, b {kind}"), "links")
+    found = rows.mapInArrow(check, f"hub {kind}, doc {kind}")
+    return settle(found.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")), "links")
 
 
 @tidy("near-duplicates")
@@ -238,7 +259,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     other texts stands for all of them.
     """
     c = F.col
-    spark = docs.sparkSession
     sketches = settle(sketch_documents(docs, key, text, percent), "sketches")
     classes = sketches.where("n > 0 and doc is not null").groupBy("d1", "d2").agg(F.min(F.struct("doc", "n", "share", "sketch")).alias("f"))
     classes = settle(classes.select("d1", "d2", "f.*"), "classes")
@@ -269,7 +289,6 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     components = settle(connected_components(links.union(more)), "components")
 
     named = classes.select("d1", "d2", "doc").join(components, c("doc") == c("node"), "left").select("d1", "d2", F.coalesce("component", "doc").alias("component"))
-    small_batches(spark)
     found = sketches.select("doc", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
     component = F.when((c("n") > 0) & c("doc").isNotNull(), c("component")).otherwise(c("doc"))
     return found.select(c("doc").alias(key), c("n").alias("n_shingles"), component.alias("component_id"), c("doc").eqNullSafe(component).alias("kept"))
@@ -278,5 +297,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents without those that a smaller id represents, all columns kept."""
     gone = near_duplicates(docs, key, text, percent).where("not kept").select(key).distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone  # few: texts are not shuffled
-    return docs.join(gone, key, "left_anti").select(docs.columns)
+    return docs.join(counted(gone, BROADCAST_IDS), key, "left_anti").select(docs.columns)  # few: texts are not shuffled
