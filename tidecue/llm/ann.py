@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by largest inner product, with a robust-pruned directed graph per shard.
 
-Vectors are dealt to shards of bounded size by a hash of their id. In a task, copies of a vector become one
+Vectors are dealt by a hash of their id to shards, one partition each: as many as the session has cores while
+they hold few vectors, and of ``shard_rows`` vectors each beyond that. In a task, copies of a vector become one
 node that holds the smallest ids only, as many as a query can ask for; the nodes form a directed graph: a
 greedy search from a fixed entry proposes neighbours, and relaxed distance pruning keeps those that no kept
-neighbour is clearly closer to. Queries are dealt in bounded batches, and every batch meets every shard once:
-a beam search in each shard gives candidates, scored in double precision on the original vectors, and the
-best over all shards stay. Neither vectors nor queries are collected or broadcast.
+neighbour is clearly closer to. The index is written once. Each shard's index then goes to one task, and all
+queries stream past it in batches of bounded size: a beam search gives candidates, scored in double precision
+on the original vectors, and the best over all shards stay. Neither vectors nor queries are collected or
+broadcast; what is shuffled is the index once, and the queries once for each shard.
 
 Inner products become distances by one more coordinate: with M the largest norm of a shard, x gets
 sqrt(M**2 - |x|**2) and a query 0, so that the nearest vector is the one with the largest inner product.
@@ -13,15 +15,20 @@ sqrt(M**2 - |x|**2) and a query 0, so that the nearest vector is the one with th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS = 8_192
-BATCH_ROWS = 8_192
+from tidecue.llm.common import settle, tidy
+
+#: Vectors in a shard of a large table: the index of 131,072 vectors of 128 numbers takes about 90 MB.
+SHARD_ROWS = 131_072
+#: A shard has at least so many vectors before the table is dealt to more cores.
+LEAST_ROWS = 4_096
 DEGREE = 32
 BUILD_BEAM = 48
 SEARCH_BEAM = 96
@@ -175,25 +182,40 @@ class Shard:
         return [self.vectors.shape[1], self.entry, *(np.ascontiguousarray(p).tobytes() for p in parts)]
 
     @staticmethod
-    def unpacked(row: pd.Series) -> Shard:
+    def unpacked(row: dict) -> Shard:
         vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, row["width"])
         graph = np.frombuffer(row["graph"], np.int32).reshape(len(vectors), -1).astype(np.int64)
         copies = np.split(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["starts"], np.int64)[1:-1])
         return Shard(vectors, copies, graph, int(row["entry"]))
 
-    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> pd.DataFrame:
-        """The k best of the shard for each query but the query itself: query_id, vec_id, score."""
+    def search(self, ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> list[tuple[int, int, float]]:
+        """The k best of the shard for each query but the query itself: (query, id, score), ties to the smaller id."""
         out = []
         for i in range(0, len(ids), TOGETHER):
-            q = queries[i : i + TOGETHER].astype(float)
-            unit = np.concatenate([q / np.sqrt((q**2).sum(axis=1, keepdims=True)), np.zeros((len(q), 1))], axis=1).astype(np.float32)
-            found, _ = beam_search(self.x, self.graph, self.entry, unit, max(beam, k + 1))
-            score = np.einsum("bd,bkd->bk", q, self.vectors[np.maximum(found, 0)].astype(float))
-            score = np.where(found >= 0, score, -np.inf)
-            for one, near, s in zip(ids[i : i + TOGETHER], found, score, strict=True):
-                rows = [(-v, c, one) for n, v in sorted(zip(near, s, strict=True), key=lambda p: -p[1])[: k + 1] if n >= 0 for c in self.copies[n].tolist() if c != one]
-                out += sorted(rows)[:k]
-        return pd.DataFrame({"query_id": [r[2] for r in out], "vec_id": [r[1] for r in out], "score": [-r[0] for r in out]}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            out += self._search(ids[i : i + TOGETHER], queries[i : i + TOGETHER].astype(float), k, max(beam, k + 1))
+        return out
+
+    def _search(self, ids: np.ndarray, q: np.ndarray, k: int, beam: int) -> list[tuple[int, int, float]]:
+        unit = np.concatenate([q / np.sqrt((q**2).sum(axis=1, keepdims=True)), np.zeros((len(q), 1))], axis=1).astype(np.float32)
+        found, _ = beam_search(self.x, self.graph, self.entry, unit, beam)
+        score = np.einsum("bd,bkd->bk", q, self.vectors[np.maximum(found, 0)].astype(float))
+        score = np.where(found >= 0, score, -np.inf)
+        out, again = [], []
+        for at, (one, near, s) in enumerate(zip(ids.tolist(), found, score, strict=True)):
+            rows: list[tuple[float, int]] = []
+            last = -np.inf
+            for v, n in sorted(zip(s.tolist(), near.tolist(), strict=True), reverse=True):
+                # nodes that tie with the place that fills k ids count too: theirs may be smaller
+                if n < 0 or len(rows) >= k and v < last:
+                    break
+                rows += [(-v, c) for c in self.copies[n].tolist() if c != one]
+                last = v
+            else:
+                if beam < len(self.x) and len(near) == beam and (s == s.min()).sum() > 1 and (len(rows) < k or sorted(rows)[k - 1][0] == -s.min()):
+                    again.append(at)  # the tie fills the beam to its end: more nodes may tie
+                    continue
+            out += [(one, c, -v) for v, c in sorted(rows)[:k]]
+        return out + (self._search(ids[again], q[again], k, min(2 * beam, len(self.x))) if again else [])
 
 
 def usable(vector: str) -> Column:
@@ -203,32 +225,66 @@ def usable(vector: str) -> Column:
     return F.coalesce(finite & F.exists(c, lambda v: v != 0), F.lit(False))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, batch_rows: int = BATCH_ROWS, beam: int = SEARCH_BEAM) -> DataFrame:
+def dealt(vectors: DataFrame, shard_rows: int = SHARD_ROWS, least_rows: int = LEAST_ROWS) -> tuple[int, int]:
+    """The length that most vectors (v) have, the smaller one of equals, and the number of shards for those."""
+    counts = vectors.groupBy(F.size("v").alias("width")).count().orderBy(F.col("count").desc(), "width").first()
+    if counts is None:
+        return 0, 1
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    return counts["width"], max(ceil(counts["count"] / shard_rows), min(cores, counts["count"] // least_rows), 1)
+
+
+def build_index(rows: DataFrame, shards: int, keep: int) -> DataFrame:
+    """One row per shard: its graph over the vectors (id, v), and the smallest ``keep`` ids of each."""
+    schema = "shard int, width int, entry int, vectors binary, graph binary, ids binary, starts binary"
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, shard = [], [], 0
+        for b in batches:
+            if b.num_rows:
+                shard = b.column("shard")[0].as_py()
+                ids.append(b.column("id").to_numpy())
+                vectors.append(b.column("v").flatten().to_numpy().astype(np.float32).reshape(b.num_rows, -1))
+        if ids:
+            made = Shard.of(np.concatenate(ids), np.concatenate(vectors), keep).packed()
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([shard, *made], [pa.int32()] * 3 + [pa.binary()] * 4, strict=True)], [x.split()[0] for x in schema.split(", ")])
+
+    own = rows.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), "id", "v")
+    return settle(own.repartitionById(shards, F.col("shard")).mapInArrow(build, schema), "index")
+
+
+@tidy("nearest")
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", shard_rows: int = SHARD_ROWS, least_rows: int = LEAST_ROWS, beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest found for each query, itself left out.
 
     Ties go to the smaller id. Vectors that are null, zero, or hold null or non-finite components take no
-    part, nor do rows without id. All vectors must have one length. An id that repeats counts once for each
-    different score. With no more than k candidates, all are returned.
+    part, nor do rows without id, nor vectors of another length than most have. An id that repeats counts once
+    for each different score. With no more than k candidates, all are returned.
     """
     c = F.col
     pick = lambda df: df.where(c(key).isNotNull() & usable(vector)).select(c(key).alias("id"), c(vector).cast("array<float>").alias("v"))
-    rows, asked = pick(vectors), pick(queries)
-    shards, batches = max(1, ceil(rows.count() / shard_rows)), max(1, ceil(asked.count() / batch_rows))
-    # a hash spreads ids evenly, so that shards and batches stay near the bound
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)))
-    asked = asked.withColumn("batch", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(batches))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-    def build(g: pd.DataFrame) -> pd.DataFrame:
-        shard = Shard.of(g["id"].to_numpy(), np.array(g["v"].tolist(), np.float32), k + 1)
-        return pd.DataFrame([(g["shard"].iloc[0], *shard.packed())], columns=["shard", "width", "entry", "vectors", "graph", "ids", "starts"])
-
-    def search(index: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        if not len(index) or not len(g):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return Shard.unpacked(index.iloc[0]).search(g["id"].to_numpy(), np.array(g["v"].tolist(), np.float32), k, beam)
-
-    index = rows.groupBy("shard").applyInPandas(build, "shard long, width int, entry int, vectors binary, graph binary, ids binary, starts binary")
-    index = index.withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))))
-    found = index.groupBy("shard", "batch").cogroup(asked.groupBy("shard", "batch")).applyInPandas(search, "query_id long, vec_id long, score double")
+    width, shards = dealt(pick(vectors), shard_rows, least_rows)
+    rows, asked = (pick(df).where(F.size("v") == width) for df in (vectors, queries))
+    index = build_index(rows, shards, k + 1)
+    parts = ("width", "entry", "vectors", "graph", "ids", "starts")
+    none = [F.lit(None).cast(index.schema[x].dataType).alias(x) for x in parts]
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    both = index.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<float>").alias("v"), *parts)
+    both = both.union(asked.select(every, F.lit(1).alias("kind"), "id", "v", *none)).repartitionById(shards, c("shard")).sortWithinPartitions("kind")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
+        for b in batches:
+            own = b.column("kind").to_numpy()
+            first = int((own == 0).sum())  # the index comes before all queries
+            if first:
+                shard = Shard.unpacked({x: b.column(x)[0].as_py() for x in parts})
+            asked = b.slice(first)
+            if shard is None or not asked.num_rows:
+                continue
+            found = shard.search(asked.column("id").to_numpy(), asked.column("v").flatten().to_numpy().reshape(asked.num_rows, -1), k, beam)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
+
+    found = both.mapInArrow(search, "query_id long, vec_id long, score double")
     nearest_first = Window.partitionBy("query_id").orderBy(c("score").desc(), "vec_id")  # ranked in part before the shuffle
     return found.distinct().withColumn("rank", F.row_number().over(nearest_first)).where(c("rank") <= k).select("query_id", "rank", "vec_id", "score")
