@@ -42,12 +42,13 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = warc.mark_revisits(table(spark, sf_dir, "pages"))
     folder = shared_folder(spark, "warc")
     warc.write_warc(marked, folder)
-    found = warc.read_warc(spark, folder, payloads=False).where("kind <> 'gap'")
+    damaged = F.raise_error(F.concat(F.lit("a damaged archive: "), "path"))
+    found = warc.read_warc(spark, folder, payloads=False)
     return found.select(
         warc.page_of(F.col("record_id")).alias("page_id"),
         "payload_bytes",
         "payload_digest",
-        F.col("kind").alias("record_type"),
+        F.when(F.col("kind") == "gap", damaged).otherwise(F.col("kind")).alias("record_type"),
         warc.page_of(F.col("refers_to")).alias("refers_to"),
     )
 

@@ -5,9 +5,9 @@ the sink's line separator, so part files are plain WARC files in any file system
 Equal payloads are found by their digest; the payloads themselves are not shuffled for that while the
 repeated digests are few enough to be broadcast (their number is counted first), and are joined otherwise.
 
-Reading maps over files. A record whose header, length, end or digest does not hold is not trusted: the
-reader searches for the next gzip member or version line that starts a valid record, goes on from there,
-and returns the bytes in between as a quarantined gap.
+Reading maps over files, each read as a stream through a window that holds one record. A record whose header,
+length, end or digest does not hold is not trusted: the reader searches for the next gzip member or version
+line that starts a valid record, goes on from there, and returns the bytes in between as a quarantined gap.
 """
 
 from __future__ import annotations
@@ -17,13 +17,14 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecue.llm.common import settle
+from tidecue.llm.common import counted, settle
 
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -31,6 +32,14 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BROADCAST_ROWS = 50_000
 #: Records in one archive file.
 FILE_RECORDS = 400
+#: Bytes read at once; bytes of a header at most; bytes of one record at most, which must fit a task several times.
+CHUNK, HEADER, RECORD = 1 << 20, 1 << 16, 1 << 28
+#: Bytes of a gzip member that are kept while it unpacks, to search them again if it turns out to be damaged.
+KEEP = 1 << 26
+#: Rows and bytes of payload in one batch of the reader.
+BATCH_ROWS, BATCH_BYTES = 256, 1 << 23
+#: Schemes whose files tasks open themselves; of others, Spark hands over whole files.
+SCHEMES = ("file", "hdfs", "s3", "s3a", "gs", "gcs", "abfs", "abfss")
 _START = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
 
@@ -48,8 +57,9 @@ def mark_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html",
     Of rows with equal payloads of at least ``least_bytes`` bytes, those with the largest key refer to
     nothing; the others refer to that key. A null payload counts as empty. A null key refers to the largest
     key of its payload, or to nothing if there is none; rows repeated with the largest key all refer to
-    nothing.
+    nothing. Columns of the pages that have one of the three names are replaced.
     """
+    pages = pages.drop("payload_bytes", "payload_digest", "refers_to")
     body = F.coalesce(F.col(payload), F.lit(""))
     sized = pages.withColumns({payload: body, "payload_bytes": F.octet_length(body).cast("long"), "payload_digest": F.sha1(body.cast("binary"))})
     sized = sized.withColumn("payload_digest", base32_of_hex(F.col("payload_digest")))
@@ -57,9 +67,7 @@ def mark_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html",
         sized.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.count("*").alias("n"), F.max(key).alias("refers_to")).where("n > 1 and refers_to is not null").drop("n"),
         "repeated",
     )
-    if repeated.count() <= BROADCAST_ROWS:
-        repeated = F.broadcast(repeated)
-    joined = sized.join(repeated, "payload_digest", "left")
+    joined = sized.join(counted(repeated, BROADCAST_ROWS), "payload_digest", "left")
     own = F.col("refers_to").eqNullSafe(F.col(key)) | (F.col("payload_bytes") < least_bytes)
     return joined.withColumn("refers_to", F.when(~own, F.col("refers_to")))
 
@@ -82,7 +90,11 @@ def record(key: Column, url: Column, payload: Column, size: Column, digest: Colu
 
 
 def write_warc(marked: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", compression: str = "none", file_records: int = FILE_RECORDS) -> None:
-    """Write the rows of ``mark_revisits`` as archives; without a column named ``url`` the field stays empty."""
+    """Write the rows of ``mark_revisits`` as archives; without a column named ``url`` the field stays empty.
+
+    Spark's sink writes a compressed file as one gzip member; the reader takes such files too. An empty table
+    gives no records.
+    """
     c = F.col
     address = c(url).cast("string") if url in marked.columns else F.lit(None).cast("string")
     lines = marked.select(record(c(key), address, c(payload), c("payload_bytes"), c("payload_digest"), c("refers_to")).alias("value"))
@@ -144,93 +156,222 @@ def parse_record(data: bytes, at: int) -> tuple[Record, int]:
     return r, end + 4
 
 
-def salvage_plain(data: bytes) -> Iterator[Record]:
-    """Records of uncompressed bytes; gaps come as records of kind ``gap`` with their size."""
-    at = lost = 0
-    while at < len(data):
+class Window:
+    """What has been read of a stream of bytes and is not passed yet; ``at`` is the place of its first byte."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.data, self.at = chunks, bytearray(), 0
+
+    def fill(self, n: int) -> bool:
+        """Read until n bytes are there; false if the stream ends before."""
+        while len(self.data) < n:
+            chunk = next(self.chunks, None)
+            if chunk is None:
+                return False
+            self.data += chunk
+        return True
+
+    def drop(self, n: int) -> None:
+        del self.data[:n]
+        self.at += n
+
+    def find(self, what: bytes, most: int) -> int:
+        """The place of some bytes that end within the first ``most``, or -1."""
+        seen = 0
+        while True:
+            at = self.data.find(what, seen, most)
+            if at >= 0 or len(self.data) >= most:
+                return at
+            seen = max(0, len(self.data) - len(what))
+            if not self.fill(len(self.data) + 1):
+                return -1
+
+    def skip(self, members: bool) -> None:
+        """Go to the next version line, or gzip member too, after the first byte; to the end if there is none."""
+        self.drop(1)
+        while True:
+            line, member = _START.search(self.data), self.data.find(_MEMBER) if members else -1
+            found = [x for x in (line.start() if line else -1, member) if x >= 0]
+            if found:
+                return self.drop(min(found))
+            self.drop(max(0, len(self.data) - 9))  # a mark may have begun
+            if not self.fill(len(self.data) + 1):
+                return self.drop(len(self.data))
+
+    def record(self) -> tuple[Record, int]:
+        """The record that starts here and its length; ValueError if any check fails."""
+        self.fill(10)
+        if not _START.match(self.data):
+            raise ValueError("no version line")
+        head = self.find(b"\r\n\r\n", HEADER)
+        told = re.search(rb"\r\n[Cc]ontent-[Ll]ength:[ \t]*(\d{1,12})[ \t]*\r\n", self.data[: head + 2]) if head >= 0 else None
+        if not told or int(told[1]) > RECORD:
+            raise ValueError("no end of the header or no length")
+        end = head + 4 + int(told[1]) + 4
+        if not self.fill(end):
+            raise ValueError("the stream ends inside the record")
+        return parse_record(bytes(self.data[:end]), 0)
+
+
+def _plain(w: Window) -> Iterator[Record]:
+    lost = None
+    while w.fill(1):
         try:
-            found, end = parse_record(data, at)
+            found, end = w.record()
         except ValueError:
-            after = _START.search(data, at + 1)
-            at = after.start() if after else len(data)
+            lost = w.at if lost is None else lost
+            w.skip(members=False)
             continue
-        if at > lost:
-            yield Record(lost, "gap", size=at - lost)
+        if lost is not None:
+            yield Record(lost, "gap", size=w.at - lost)
+            lost = None
+        found.offset = w.at
         yield found
-        at = lost = end
-    if len(data) > lost:
-        yield Record(lost, "gap", size=len(data) - lost)
+        w.drop(end)
+    if lost is not None:
+        yield Record(lost, "gap", size=w.at - lost)
 
 
-def salvage(data: bytes) -> Iterator[Record]:
-    """Records of an archive that is plain, gzip of any number of members, or both by turns.
+class Member:
+    """The gzip member that starts a window. ``used`` is its length once it is unpacked whole; it stays 0 if damaged."""
 
-    Offsets are places in the archive: of the record if it is plain, of its member if not. A member whose
-    records are damaged in part gives the others; a member that cannot be unpacked becomes a gap.
-    """
-    if not data.startswith(_MEMBER) and _MEMBER not in data:
-        yield from salvage_plain(data)
-        return
-    at = lost = 0
-    while at < len(data):
-        found: list[Record] = []
-        end = at
-        if data.startswith(_MEMBER, at):
-            unpack = zlib.decompressobj(31)
+    def __init__(self, w: Window):
+        self.w, self.used, self.start = w, 0, w.at
+
+    def _pieces(self) -> Iterator[bytes]:
+        unpack, at = zlib.decompressobj(31), 0
+        while not unpack.eof:
+            if at >= len(self.w.data) and not self.w.fill(at + 1):
+                return
+            chunk = bytes(self.w.data[at : at + CHUNK])
+            before = unpack.copy()
             try:
-                inside = unpack.decompress(data[at:])
-                if unpack.eof:
-                    found, end = list(salvage_plain(inside)), len(data) - len(unpack.unused_data)
+                piece = unpack.decompress(chunk, CHUNK)
             except zlib.error:
-                pass
-            for r in found:
-                r.offset = at
+                yield from self._last(before, chunk)
+                return
+            at += len(chunk) - len(unpack.unconsumed_tail) - len(unpack.unused_data)
+            if at > KEEP:
+                self.w.drop(at)
+                at = 0
+            if piece:
+                yield piece
+        self.used = self.w.at + at - self.start
+
+    @staticmethod
+    def _last(unpack: zlib._Decompress, chunk: bytes) -> Iterator[bytes]:
+        """What comes out of a damaged chunk before the damage."""
+        with suppress(zlib.error):
+            for i in range(len(chunk)):
+                if piece := unpack.decompress(chunk[i : i + 1]):
+                    yield piece
+
+    def records(self) -> Iterator[Record]:
+        """Its records as they are unpacked; of a damaged member those that came out whole, without gaps."""
+        gaps = []
+        for r in _plain(Window(self._pieces())):
+            r.offset = self.start
+            if r.kind == "gap":
+                gaps.append(r)
+            else:
+                yield r
+        if self.used:
+            yield from gaps
+
+
+def salvage(chunks: Iterator[bytes]) -> Iterator[Record]:
+    """Records of an archive that is plain, gzip of any number of members, or both by turns; it comes in chunks.
+
+    Offsets are places in the archive: of the record if it is plain, of its member if not. A member whose
+    records are damaged in part gives the others; of a member that cannot be unpacked whole, the records that
+    came out before are given, and the member becomes a gap.
+    """
+    w, lost = Window(chunks), None
+    while w.fill(1):
+        w.fill(3)
+        start, end, found = w.at, 0, iter(())
+        if w.data.startswith(_MEMBER):
+            member = Member(w)
+            first = next(records := member.records(), None)
+            if first and lost is not None:
+                yield Record(lost, "gap", size=start - lost)
+                lost = None
+            if first:
+                yield first
+                yield from records
+            end = start + member.used - w.at if member.used else 0
         else:
             try:
-                r, end = parse_record(data, at)
-                found = [r]
+                r, end = w.record()
+                r.offset = start
+                found = iter((r,))
             except ValueError:
                 pass
-        if end == at:
-            member, line = data.find(_MEMBER, at + 1), _START.search(data, at + 1)
-            at = min(x for x in (member if member >= 0 else len(data), line.start() if line else len(data)))
+        if not end:
+            lost = start if lost is None else lost
+            w.skip(members=True)
             continue
-        if at > lost:
-            yield Record(lost, "gap", size=at - lost)
+        if lost is not None:
+            yield Record(lost, "gap", size=start - lost)
+            lost = None
         yield from found
-        at = lost = end
-    if len(data) > lost:
-        yield Record(lost, "gap", size=len(data) - lost)
+        w.drop(end)
+    if lost is not None:
+        yield Record(lost, "gap", size=w.at - lost)
+
+
+def _chunks(path: str) -> Iterator[bytes]:
+    """The bytes of a file in the file system that its scheme names."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        system, place = fs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+    else:
+        system, place = fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", path))
+    with system.open_input_stream(place) as stream:
+        while chunk := stream.read(CHUNK):
+            yield chunk
 
 
 _SCHEMA = "path string, offset long, kind string, record_id string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary"
 
 
+def _batch(path: str, rows: list[Record], payloads: bool) -> pa.RecordBatch:
+    h = lambda key: pa.array([r.headers.get(key) for r in rows], pa.string())
+    columns = [
+        pa.array([path] * len(rows), pa.string()), pa.array([r.offset for r in rows], pa.int64()), pa.array([r.kind for r in rows], pa.string()),
+        h("warc-record-id"), h("warc-target-uri"), h("warc-refers-to"), pa.array([r.size for r in rows], pa.int64()),
+        pa.array([r.digest or None for r in rows], pa.string()), pa.array([r.payload if payloads else None for r in rows], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SCHEMA.split(", ")])
+
+
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """All records and gaps of the archives below a path.
 
     kind is the record's type, or ``gap`` for quarantined bytes, with their number in payload_bytes. A
     revisit has the length and digest of the payload it stands for, and no payload. Empty files give no
-    rows. Without ``payloads`` that column is null.
+    rows. Without ``payloads`` that column is null. Tasks open files themselves and read them as streams, where
+    the scheme is one that they know; of other file systems Spark hands over whole files, which must be small.
     """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    schemes = [r[0] for r in files.select(F.regexp_extract("path", "^([^:/]+):", 1)).distinct().limit(100).collect()]
+    streamed = all(x in SCHEMES for x in schemes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name, data in zip(b.column("path"), b.column("content"), strict=True):
-                rows = list(salvage(data.as_py()))
-                h = lambda key: pa.array([r.headers.get(key) for r in rows], pa.string())  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name.as_py()] * len(rows), pa.string()), pa.array([r.offset for r in rows], pa.int64()), pa.array([r.kind for r in rows], pa.string()),
-                        h("warc-record-id"), h("warc-target-uri"), h("warc-refers-to"), pa.array([r.size for r in rows], pa.int64()),
-                        pa.array([r.digest or None for r in rows], pa.string()), pa.array([r.payload if payloads else None for r in rows], pa.binary()),
-                    ],
-                    ["path", "offset", "kind", "record_id", "target_uri", "refers_to", "payload_bytes", "payload_digest", "payload"],
-                )
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row is a file
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInArrow(run, _SCHEMA)
+            for i, name in enumerate(b.column("path").to_pylist()):
+                rows: list[Record] = []
+                size = 0
+                for r in salvage(_chunks(name) if streamed else iter((b.column("content")[i].as_py(),))):
+                    rows.append(r)
+                    size += len(r.payload or b"")
+                    if len(rows) == BATCH_ROWS or size > BATCH_BYTES:
+                        yield _batch(name, rows, payloads)
+                        rows, size = [], 0
+                yield _batch(name, rows, payloads)
+
+    return (files.select("path") if streamed else files.select("path", "content")).mapInArrow(run, _SCHEMA)
 
 
 def page_of(record_id: Column) -> Column:
