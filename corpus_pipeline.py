@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecue.llm import bpe, decontam, langid, linedup, minhash
-from tidecue.llm.common import settle, table
+from tidecue.llm.common import delete, scope, settle, table
 from tidecue.llm.queries import language_model, tokenizer_path
 
 #: A document whose best language has a lower posterior than this is rejected.
@@ -59,9 +59,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = settle(docs, name)
-    return docs
+    """The last stage's rows. A stage's own tables go once it is written, and it goes once the next one is written;
+    the table that the result reads is the only one left.
+    """
+    docs, written = table(spark, sf_dir, "documents"), []
+    for name, stage in STAGES[:-1]:
+        before, written = written, []
+        try:
+            with scope(spark):
+                docs = settle(stage(spark, docs, sf_dir), name, written)
+        finally:
+            delete(spark, before)
+    return STAGES[-1][1](spark, docs, sf_dir)
