@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -62,16 +64,39 @@ def spoken_characters(text: Column) -> Column:
     return F.regexp_replace(folded(text), r"[^\p{L}\p{N}]", "")
 
 
+def is_spoken(character: str) -> bool:
+    """Whether a character is a letter or number, or its compatibility form holds one."""
+    return character.isalnum() or any(x.isalnum() for x in unicodedata.normalize("NFKC", character))
+
+
+@lru_cache
+def _formed_ranges() -> str:
+    """Characters that are no letters or numbers, but whose compatibility form holds some, as a part of a regex class."""
+    found = [i for i in range(0x80, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and not chr(i).isalnum() and is_spoken(chr(i))]
+    known = set(found)
+    ends = zip([i for i in found if i - 1 not in known], [i for i in found if i + 1 not in known], strict=True)
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ends)
+
+
+def has_spoken(text: Column) -> Column:
+    """Whether a text has spoken characters: letters or numbers, also in compatibility forms."""
+    return text.rlike(rf"[\p{{L}}\p{{N}}{_formed_ranges()}]")
+
+
 def spoken_weight(text: Column) -> Column:
     """Number of spoken characters, 1 at least."""
     return F.greatest(F.lit(1), F.length(spoken_characters(text)))
 
 
+def casefolded(text: Column) -> Column:
+    """Case-folded; only texts beyond ASCII go through Python."""
+    plain = text.rlike("^[\\x00-\\x7f]*$")
+    return F.when(plain, F.lower(text)).otherwise(_casefolded(F.when(~plain, text)))
+
+
 def word_characters(text: Column) -> Column:
     """Case-folded word characters, to compare the end of a text with a heard word."""
-    letters = F.regexp_replace(text, r"(?U)\W", "")
-    plain = letters.rlike("^[\\x00-\\x7f]*$")
-    return F.when(plain, F.lower(letters)).otherwise(_casefolded(F.when(~plain, letters)))
+    return casefolded(F.regexp_replace(text, r"(?U)\W", ""))
 
 
 @F.pandas_udf(StringType())

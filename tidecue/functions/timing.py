@@ -46,3 +46,19 @@ def tempo_chain(factor: Column) -> Column:
     whole = F.when(factor > 2, F.lit(2.0)).otherwise(F.lit(0.5))
     parts = F.concat(F.array_repeat(whole, n), F.array(factor / F.pow(whole, n)))
     return F.when(factor > 0, F.array_join(F.transform(parts, lambda p: F.format_string("atempo=%.6f", p)), ","))
+
+
+def rounded(x: Column, places: int) -> Column:
+    """Rounded as Python rounds: to the nearest decimal of the number that a double is exactly, halves to even.
+
+    The product with 10**places is rounded to a double; where that looks like a half, what the rounding lost
+    decides. The loss is exact: both parts of a double have few enough digits to be multiplied without error.
+    """
+    scale = 10.0**places
+    product = x * scale
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    lost = (high * scale - product) + (x - high) * scale
+    whole = F.rint(product)
+    rest = product - whole
+    mended = whole + F.when((rest == 0.5) & (lost > 0), 1.0).when((rest == -0.5) & (lost < 0), -1.0).otherwise(0.0)
+    return F.when(F.abs(product) < 2.0**52, mended / scale).otherwise(x)

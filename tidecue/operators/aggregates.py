@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidecue.functions.text import strip
-from tidecue.functions.timing import cue_duration, max_zh_chars
+from tidecue.functions.timing import cue_duration, max_zh_chars, rounded
 
 MAX_TEMPO = 1.8
 FRAME_SECONDS = 0.05
@@ -16,13 +16,12 @@ FRAME_SAMPLES = 2400
 def overflow_report(clips: DataFrame, limit: float = MAX_TEMPO) -> DataFrame:
     """(job_id, n_overflows, overflows) for jobs with a clip that needs more than the greatest tempo.
 
-    ``clips`` has job_id, idx, slot_s and audio_s (measured speech). Values are rounded to 3 places, half up
-    on the decimal text.
+    ``clips`` has job_id, idx, slot_s and audio_s (measured speech). Values are rounded to 3 places.
     """
     c = F.col
     tempo = c("audio_s") / F.greatest(F.lit(0.05), c("slot_s"))
     over = clips.withColumn("tempo", tempo).where(c("tempo") > limit)
-    row = F.struct(c("idx").alias("id"), F.round("audio_s", 3).alias("audio_seconds"), F.round(F.greatest(F.lit(0.05), c("slot_s")), 3).alias("slot_seconds"), F.round("tempo", 3).alias("required_tempo"))
+    row = F.struct(c("idx").alias("id"), rounded(c("audio_s"), 3).alias("audio_seconds"), rounded(F.greatest(F.lit(0.05), c("slot_s")), 3).alias("slot_seconds"), rounded(c("tempo"), 3).alias("required_tempo"))
     return over.groupBy("job_id").agg(F.count("*").alias("n_overflows"), F.sort_array(F.collect_list(row)).alias("overflows"))
 
 
@@ -44,7 +43,7 @@ def translation_requests(segments: DataFrame, target_language: str, size: int =
     """
     c = F.col
     row = F.struct(
-        c("idx").alias("id"), F.round("start_s", 3).alias("start"), F.round("end_s", 3).alias("end"), F.round(cue_duration(c("start_s"), c("end_s")), 2).alias("seconds"),
+        c("idx").alias("id"), rounded(c("start_s"), 3).alias("start"), rounded(c("end_s"), 3).alias("end"), rounded(cue_duration(c("start_s"), c("end_s")), 2).alias("seconds"),
         max_zh_chars(c("start_s"), c("end_s")).alias("max_zh_chars"), c("source_text").alias("text"),
     )
     batches = batch_rows(segments, size).groupBy("job_id", "batch").agg(F.count("*").alias("n_segments"), F.to_json(F.array_sort(F.collect_list(row))).alias("payload"))
@@ -73,7 +72,7 @@ def soundtrack_measures(frames: DataFrame) -> DataFrame:
     ``frames`` has booleans source_speech, bed_speech and narration, and fade and added_rms.
     """
     c = F.col
-    seconds = lambda what: F.round(F.count_if(what) * FRAME_SECONDS, 2)
+    seconds = lambda what: rounded(F.count_if(what) * FRAME_SECONDS, 2)
     level = F.when(c("narration") & (c("fade") < 0.01), c("added_rms"))
     return frames.groupBy("job_id").agg(
         seconds(c("source_speech")).alias("source_speech_seconds"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidecue.functions.text import strip
+from tidecue.functions.text import casefolded, strip
 
 MAX_VIDEO_SECONDS = 7200
 #: Hosts that are allowed by default, and accepted names of the target language.
@@ -96,7 +96,7 @@ def is_english(detected: Column, requested: Column) -> Column:
 
 def normalize_target_language(jobs: DataFrame, language: str = "language") -> DataFrame:
     """Add ``target_language``: the one value that all accepted aliases stand for; null if not accepted."""
-    plain = F.regexp_replace(strip(F.translate(F.lower(F.col(language)), "_", "-")), r"(?U)[\s\x1c-\x1f]+", " ")
+    plain = F.regexp_replace(strip(F.translate(casefolded(F.col(language)), "_", "-")), r"(?U)[\s\x1c-\x1f]+", " ")
     return jobs.withColumn("target_language", F.when(plain.isin(*TARGET_ALIASES), F.lit(TARGET_LANGUAGE)))
 
 
