@@ -10,9 +10,11 @@ A document is its set of distinct 5-word shingles; two are linked if their Jacca
    at least ``required`` values in common, except with a chance of ``MISS``.
 3. In each list all documents meet the one with the fewest unshared values. That is linear in the list, and
    links most of a group of copies. What is connected by now need not be compared again.
-4. Only pairs from different components remain. Short lists join with themselves; long ones are compared
-   in blocks of bounded size, as products of incidence matrices, and a pair leaves a block only if it passes
-   the filter and no smaller value of both lists it too.
+4. Only pairs from different components remain. Short lists join with themselves. Long ones are cut into cells
+   by set size, so that only neighbouring cells can hold similar sets, and by whether a document lies in the
+   list's largest component, within which nothing is compared; cells are cut into chunks of bounded size, and
+   pairs of chunks are compared as products of incidence matrices. A pair leaves a block only if it passes the
+   filter and no smaller value of both lists it too.
 5. The filter estimates the similarity from the union's sketch: of its ``K`` smallest values as many must
    be in both sets as a similar pair has except with a chance of ``MISS``.
 6. Links are confirmed on full sets. Pairs are gathered by the end that has more of them, in chunks of bounded
@@ -26,7 +28,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from math import ceil, exp, lgamma
+from math import exp, lgamma, log
 
 import numpy as np
 import pandas as pd
@@ -45,7 +47,7 @@ PERCENT = 75
 MISS = 1e-9
 #: Lists up to this length join with themselves; longer ones are compared in blocks.
 SHORT_LIST = 64
-BLOCK = 512
+BLOCK = 1024
 #: Partners that are compared with a document's set in one chunk.
 CHUNK = 256
 #: Document ids that may be broadcast to fetch sketches or texts; beyond it, a shuffle join fetches them.
@@ -145,14 +147,14 @@ def _overlaps(rows: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) ->
 
 def block_pairs(g: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     """Pairs of a block of one list that pass the filter, lie in different components and are not found by a
-    smaller listed value. Rows of equal side meet only in the diagonal block.
+    smaller listed value: of rows of side 0 with rows of side 1, or of all rows where a chunk meets itself.
     """
     g = g.sort_values("doc", kind="stable")
     value = np.int64(g["value"].iloc[0]).view(np.uint64)
     sketch, n = _padded(g["sketch"]), g["n"].to_numpy()
     doc, component, side = g["doc"].to_numpy(), g["component"].to_numpy(), g["side"].to_numpy()
-    diagonal = g["i"].iloc[0] == g["j"].iloc[0]
-    left, right = (np.arange(len(g)), np.arange(len(g))) if diagonal else (np.flatnonzero(side == g["i"].iloc[0]), np.flatnonzero(side == g["j"].iloc[0]))
+    diagonal = g["same"].iloc[0]
+    left, right = (np.arange(len(g)), np.arange(len(g))) if diagonal else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     at_row, at_place = np.nonzero(sketch != np.uint64(2**64 - 1))
     values = sketch[at_row, at_place]
     listed = (at_place < 64) & ((g["mask"].to_numpy().view(np.uint64)[at_row] >> (at_place % 64).astype(np.uint64)) & np.uint64(1)).astype(bool)
@@ -177,6 +179,26 @@ def block_pairs(g: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(doc[x], doc[y]), "b": np.maximum(doc[x], doc[y])})
 
 
+def block_rows(mixed: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Members (value, doc, n, mask, component) of long lists with each block (value, block, same) they are in, and their side."""
+    c = F.col
+    counts = mixed.groupBy("value", "component").count()
+    main = counts.groupBy("value").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    # a little wider than the ratio of similar sizes, against rounding: these are never more than one step apart
+    step = log(100 / percent) + 1e-9
+    rows = mixed.join(main, "value").select("value", "doc", "n", "mask", "component", (c("component") == c("main")).alias("core"), F.floor(F.ln("n") / step).cast("int").alias("size"))
+    cell = ["value", "size", "core"]
+    cells = settle(rows.groupBy(*cell).count().withColumn("chunks", F.ceil(c("count") / BLOCK).cast("int")).drop("count"), "cells")
+    rows = rows.join(cells, cell).withColumn("chunk", F.pmod(F.xxhash64("doc"), "chunks").cast("int")).drop("chunks")
+    chunks = cells.select(*cell, F.explode(F.sequence(F.lit(0), c("chunks") - 1)).alias("chunk"))
+    x, y = (chunks.select("value", F.struct("size", "core", "chunk").alias(name)) for name in ("x", "y"))
+    apart = c("y.size") - c("x.size")
+    pairs = x.join(y, "value").where(((apart == 1) | ((apart == 0) & (c("x") <= c("y")))) & ~(c("x.core") & c("y.core")))
+    pairs = pairs.select("value", "x", "y", F.struct("x", "y").alias("block"), (c("x") == c("y")).alias("same"))
+    sides = [pairs.where(F.lit(True) if side == 0 else ~c("same")).select("value", f"{end}.*", "block", "same", F.lit(side).alias("side")) for side, end in ((0, "x"), (1, "y"))]
+    return rows.join(sides[0].union(sides[1]), [*cell, "chunk"]).select("value", "block", "same", "side", "doc", "n", "mask", "component")
+
+
 def _fetch(table: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of a table whose doc is among distinct ids, without a shuffle of the table if these are few."""
     return table.join(counted(ids, BROADCAST_IDS), "doc", "left_semi")
@@ -280,11 +302,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     short = mixed.where(c("size") <= SHORT_LIST)
     other = short.select("value", c("doc").alias("other"), c("n").alias("m"), c("component").alias("component2"))
     short = short.join(other, "value").where((c("doc") < c("other")) & (c("component") != c("component2")) & similar_size).select(pair).distinct()
-    blocks = F.ceil(c("size") / BLOCK).cast("int")
-    long = mixed.where(c("size") > SHORT_LIST).withColumn("side", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    long = long.select("value", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "doc", "n", "mask", "component").join(sketched.select("doc", "sketch"), "doc")
+    long = block_rows(mixed.where(c("size") > SHORT_LIST).drop("size"), percent).join(sketched.select("doc", "sketch"), "doc")
     kind = docs.schema[key].dataType.simpleString()
-    long = long.groupBy("value", "i", "j").applyInPandas(lambda g: block_pairs(g, percent), f"a {kind}, b {kind}")
+    long = long.groupBy("value", "block").applyInPandas(lambda g: block_pairs(g, percent), f"a {kind}, b {kind}")
     more = confirmed(passing(short, sketched, percent).union(long), docs, key, text, percent)
     components = settle(connected_components(links.union(more)), "components")
 
