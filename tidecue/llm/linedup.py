@@ -3,10 +3,10 @@
 A line is its set of lower-cased words. A line is removed if an earlier line (smaller document id, then
 smaller line number) has a Jaccard similarity of at least ``percent``/100 with it.
 
-1. Lines with equal word sets form a class, known by two independent 64-bit hashes of the sorted words; all
-   but the first of a class are removed, and from here on only the first lines are looked at. A class key is
-   aggregated before the shuffle, so a line that half of the corpus repeats costs nothing. Lines of so few
-   words that only equal sets are similar enough are done with.
+1. Lines with equal word sets form a class, known by two independent 64-bit digests of the sorted 64-bit hashes
+   of the words; all but the first of a class are removed, and from here on only the first lines are looked at.
+   A class key is aggregated before the shuffle, so a line that half of the corpus repeats costs nothing. Lines
+   of so few words that only equal sets are similar enough are done with.
 2. The words of a line are ordered by rarity, and the first n - ceil(t n) + 1 of n words are its prefix:
    two lines that are similar enough share a word of their prefixes. Rarity comes from word counts over
    all documents, gathered in 65,536 hash buckets, so that the order is a constant of bounded size. Any order
@@ -79,18 +79,18 @@ def split_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per line of (doc, text): doc, line number, number of words n, class key k1 and k2, parity sketch and prefix."""
     ranks = rarity(docs)
     lines = docs.select("doc", F.posexplode(F.split(F.lower("text"), "\n")).alias("no", "line"))
-    lines = lines.select("doc", "no", F.sort_array(words(F.col("line"))).alias("w"))
-    # hashes are a step of their own, so that each is computed once; a code has the word's rarity above 48 bits of its
-    # hash: sorting codes orders words by rarity, and the hash breaks ties
-    hashed = lines.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
-    codes = F.sort_array(F.transform("h", lambda h: F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1)))))
+    # hashes are a step of their own, so that each is computed once
+    hashes = F.array_distinct(F.transform(_split(F.col("line")), lambda x: F.xxhash64(x)))
+    hashed = lines.select("doc", "no", F.sort_array(F.array_remove(hashes, F.xxhash64(F.lit("")))).alias("h"))
+    # the word's rarity above 48 bits of its hash: sorting codes orders words by rarity, and the hash breaks ties
+    codes = F.transform("h", lambda h: F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1))))
     n = F.size("h")
     prefix = F.when(n * (100 - percent) >= percent, n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1).otherwise(0)
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
     parity = F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
     return hashed.select(
-        "doc", "no", n.alias("n"), F.xxhash64("w").alias("k1"), F.xxhash64(F.lit(7), "w").alias("k2"),
-        F.when(prefix > 0, parity).alias("sketch"), F.when(prefix > 0, F.slice(codes, F.lit(1), prefix)).alias("prefix"),
+        "doc", "no", n.alias("n"), F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(7), "h").alias("k2"),
+        F.when(prefix > 0, parity).alias("sketch"), F.when(prefix > 0, F.slice(F.sort_array(codes), F.lit(1), prefix)).alias("prefix"),
     )
 
 
