@@ -6,18 +6,22 @@ import base64
 import gzip
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from compare import connect, rows_in, rows_of
 from tidecue.llm import ann, bpe, chat, components, decontam, langid, linedup, minhash, quality, toxicity, warc, words
 from tidecue.llm import queries as q
+from tidecue.llm import common
 from tidecue.llm.common import held_out, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, doc string, no string"  # the last two clash with inner names
@@ -32,6 +36,41 @@ def made(spark, texts: dict):
     return spark.createDataFrame([(k, t, None, None, "x", "y") for k, t in texts.items()] if isinstance(texts, dict) else [(k, t, None, None, "x", "y") for k, t in texts], SCHEMA)
 
 
+@pytest.fixture(autouse=True)
+def same_settings(spark):
+    """No operator changes a setting of the session."""
+    before = dict(spark.conf.getAll)
+    yield
+    assert dict(spark.conf.getAll) == before
+
+
+def test_batches_are_bounded_by_bytes():
+    texts = ["x" * 1_000_000] * 300 + [None, "", "y"] * 200 + ["z" * 20_000_000] + ["é"] * 3
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array([[1] * 10] * len(texts))], ["k", "t", "n"])
+    parts = list(common.slices(iter([batch, batch.slice(0, 0)]), "t", "n"))
+    assert [k for p in parts for k in p.column("k").to_pylist()] == list(range(len(texts)))
+    assert all(p.num_rows <= common.SLICE_ROWS and (p.num_rows == 1 or sum(len(t or "") for t in p.column("t").to_pylist()) <= common.SLICE_BYTES) for p in parts)
+
+
+def test_scopes_of_threads(spark):
+    """Operators that run at once delete their own tables only, also when one fails."""
+    folder = common.shared_folder(spark, "x").rsplit("/", 1)[0]
+    frames = [made(spark, {k: "same line\nsame line", k + 1: "same line"}) for k in (1, 10)]
+
+    def count(df):
+        with common.scope(spark):
+            return [tuple(r) for r in linedup.line_counts(df).orderBy("doc_id").collect()]
+
+    before = set(os.listdir(folder))
+    with ThreadPoolExecutor(2) as pool:
+        found = list(pool.map(count, frames))
+    assert found == [[(k, 2, 1, [1]), (k + 1, 1, 1, [0])] for k in (1, 10)]
+    with pytest.raises(ZeroDivisionError), common.scope(spark):
+        common.settle(frames[0], "failing")
+        raise ZeroDivisionError
+    assert set(os.listdir(folder)) == before
+
+
 @pytest.mark.parametrize("name", sorted(q.oracle_sql()))
 def test_query_matches_sql(spark, sf_dir, name):
     df = q.queries()[name](spark, sf_dir)
@@ -99,6 +138,15 @@ def test_ann_copies_norms_and_bad_vectors(spark):
     assert ann.nearest(few, few).count() == 12
 
 
+def test_ann_ties_go_to_the_smaller_id(spark):
+    """Vectors of one inner product, more of them than a beam holds; vectors of other lengths take no part."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [1.0, *rng.normal(size=4).tolist()]) for i in range(1, 400)] + [(0, [1.0, 0.0, 0.0, 0.0, 0.0]), (-1, [9.0]), (-2, [9.0] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = ann.nearest(df, df.where("vec_id <= 0")).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in found] == [(0, i) for i in range(1, 21)]
+
+
 # --- 2
 
 
@@ -212,9 +260,145 @@ def test_linedup_null_and_repeated_ids(spark):
     assert kept == [(1, "a b c"), (1, "a b c"), (2, "d"), (None, "a b c")]
 
 
+def test_linedup_ids_of_several_texts(spark):
+    """Rows of an id that stands for several texts take no part; inner names may be columns of the documents."""
+    rows = [(1, "a b c"), (2, "a b c\nd"), (2, "a b c\ne"), (3, "a b c\nf"), (4, "")]
+    df = made(spark, rows).withColumn("removed", F.lit(1)).withColumn("lines", F.lit(2))
+    kept = linedup.remove_lines(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, "a b c"), (2, "a b c\nd"), (2, "a b c\ne"), (3, "f"), (4, "")]
+    assert {r.doc_id for r in linedup.line_counts(df).collect()} == {1, 3, 4}
+
+
+def test_linedup_long_text_and_keys(spark):
+    """A text of many lines; class keys are two digests of the words, neither of which follows from the other."""
+    texts = {1: "\n".join(f"line {i} of many\tlines\x0b{i % 1000}" for i in range(30_000)), 2: "line 7 OF many lines 7\nnew"}
+    found = {r.doc_id: (r.n_lines, r.n_removed) for r in linedup.line_counts(made(spark, texts)).collect()}
+    assert found == {1: (30_000, 0), 2: (2, 1)}
+    rows = linedup.split_lines(spark.createDataFrame(list(texts.items()), "doc long, text string"))
+    keys = rows.select("k1", "k2", F.xxhash64(F.lit(7), "k1").alias("x"), F.xxhash64("k1", F.lit(7)).alias("y")).distinct().collect()
+    assert len(keys) == len({k.k1 for k in keys}) == len({k.k2 for k in keys}) == 30_001 and not any(k.k2 in (k.x, k.y) for k in keys)
+
+
 # --- 4, 5, 9
 
 
+def test_langid_against_plain_bayes(spark):
+    """Exact n-grams, no hashing: the same posterior, as no two n-grams of these texts share a bucket."""
+    rows = [(1, "ab ba", "x"), (2, "ab ab b", "x"), (3, "cb bc", "y"), (4, None, "y"), (5, "zz", None), (6, "ca", "y"), (6, "ca", "y")]
+    grams = lambda t: [t.lower()[i : i + n] for n in langid.ORDERS for i in range(len(t) - n + 1)]
+    every = sorted({g for _, t, _ in rows if t for g in grams(t)})
+    buckets = {g: [b for b, k in zip(*map(list, langid.ngram_counts(g))) if k == 1] for g in every}
+    own = {g: {int(b) for b in langid.ngram_counts(g)[0]} - {b for h in every if h != g and h in g for b in langid.ngram_counts(h)[0].tolist()} for g in every}
+    assert all(own.values()) and buckets
+    counts, texts = {}, {}
+    for _, t, lang in rows:
+        if t and lang:
+            texts[lang] = texts.get(lang, 0) + 1
+            for g in grams(t):
+                counts.setdefault(lang, {})[g] = counts.setdefault(lang, {}).get(g, 0) + 1
+    log = {k: math.log(v / sum(texts.values())) for k, v in texts.items()}
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    asked = ["ab", "bc c", "Ab cb", "b"]
+    found = langid.predict(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string").withColumn("lang_pred", F.lit("?")), model).orderBy("doc_id").collect()
+    for r, t in zip(found, asked):
+        score = {k: log[k] + sum(math.log((c.get(g, 0) + 0.05) / (sum(c.values()) + 0.05 * langid.BUCKETS)) for g in grams(t)) for k, c in counts.items()}
+        best = max(score, key=score.get)
+        assert r.lang_pred == best and r.score == pytest.approx(1 / sum(math.exp(v - score[best]) for v in score.values()))
+    assert langid.predict(made(spark, {}).limit(0), model).count() == 0
+
+
+def test_langid_scores_do_not_depend_on_room(spark, docs, monkeypatch):
+    model = langid.fit(docs)
+    texts = [r.text for r in docs.limit(60).collect()]
+    whole = model.predict(texts)
+    monkeypatch.setattr(langid, "CELLS", 1)
+    cut = model.predict(texts)
+    assert whole[0] == cut[0] and np.allclose(whole[1], cut[1])
+
+
+def test_statistics_against_plain_counts():
+    text = "The cat.\n\nA $5 cat cat, the|end...\nextraordinarily"
+    words = text.split()
+    lines = ["The cat.", "A $5 cat cat, the|end...", "extraordinarily"]
+    got = dict(zip(quality.FEATURES, quality.statistics(text)))
+    n, size = len(words), len(text)
+    want = {
+        "log_bytes": math.log(1 + size), "log_words": math.log(1 + n), "log_lines": math.log(4), "word_bytes": sum(map(len, words)) / n,
+        "letters": sum(x.isalpha() for x in text) / size, "upper": 2 / size, "digits": 1 / size, "white": sum(x.isspace() for x in text) / size, "high": 0,
+        "stops": 4 / size, "commas": 1 / size, "pipes": 1 / size, "symbols": 1 / size, "distinct_words": len(set(words)) / n, "top_word": 1 / n,
+        "distinct_lines": 1, "line_words": n / 3, "short_lines": 1, "ended_lines": 2 / 3, "long_words": 1 / n, "symbol_words": 2 / len(set(words)), "repeats": 0,
+        "short_words": 2 / n, "ellipses": 1 / n, "braces": 0,
+    }
+    assert got == pytest.approx(want)
+
+
+def test_split_choice_against_brute_force():
+    """The first split of the first tree has the largest gain of all features and thresholds."""
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, 12, (80, 3)).astype(float), rng.integers(0, 2, 80).astype(float)
+    y[x[:, 1] > 6] = 1
+    forest = quality.grow(x, y, trees=1, depth=1, least=5)
+    p = y.mean()
+    score = lambda rows: sum(p - v for v in y[rows]) ** 2 / (sum(p * (1 - p) for _ in y[rows]) + 1.0)
+    gains = {}
+    for f in range(3):
+        for t in sorted(set(x[:, f]))[:-1]:
+            low = x[:, f] <= t
+            if 5 <= low.sum() <= 75:
+                gains[f, t] = score(low) + score(~low) - score(np.ones(80, bool))
+    at = (int(forest.feature[0, 0]), forest.threshold[0, 0])
+    same = max(v for (f, t), v in gains.items() if f == at[0] and (x[:, f] <= t).tolist() == (x[:, f] <= at[1]).tolist())
+    assert same == pytest.approx(max(gains.values()))
+
+
+def test_network_against_plain_loops():
+    net = toxicity.Network.fresh()
+    net.out = np.random.default_rng(1).normal(size=net.out.shape).astype(np.float32)
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(0, 2 * toxicity.ROWS, (n, 2)).astype(np.int32) for n in (0, 1, 2, 5, 30)]
+    for t, z in zip(texts, net.logits(texts)):
+        words = [(net.embedding[a] + net.embedding[b]).tolist() for a, b in t.tolist()]
+        want, k = net.shift, 0
+        for w, f in zip(toxicity.WIDTHS, net.filters):
+            for c in range(toxicity.FILTERS):
+                values = [sum(v * float(f[i, c]) for i, v in enumerate(sum(words[p : p + w], []))) for p in range(len(words) - w + 1)]
+                want += max([0.0, *values]) * float(net.out[k])
+                k += 1
+        assert z == pytest.approx(want, abs=1e-4)
+
+
+def test_threshold_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(30):
+        z = sorted({rng.randint(-20, 20) / 4 for _ in range(12)})
+        p, n = [rng.randint(0, 3) for _ in z], [rng.randint(0, 3) for _ in z]
+        cut = toxicity.best_threshold(np.array(z), np.array(p), np.array(n))
+        f1 = lambda t: 2 * sum(a for v, a in zip(z, p) if v >= t) / max(1, sum(a + b for v, a, b in zip(z, p, n) if v >= t) + sum(p))
+        if sum(p) and sum(n):
+            assert f1(cut) == pytest.approx(max(f1(t) for t in z))
+
+
+def test_toxicity_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    found = q.op9_toxicity(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out").toPandas()
+    right = ((found["predicted"] == 1) & (found["toxic"] == 1)).sum()
+    assert right / (found["toxic"] == 1).sum() > 0.6 and right / (found["predicted"] == 1).sum() > 0.85
+    assert ((found["score"] >= 0.5).astype(int) == found["predicted"]).all()
+
+
+def test_classifiers_without_rows(spark, docs):
+    labels = table(spark, "/root/testdata/sf0.001", "labels")
+    languages = langid.fit(docs)
+    net = toxicity.fit(docs, labels.limit(0), languages)
+    assert toxicity.score(docs, net, languages).where("score between 0 and 1").count() == docs.count()
+    assert toxicity.score(docs.limit(0), net, languages).count() == 0
+    assert quality.score(docs.limit(0), quality.fit(docs, labels)).count() == 0
+    clash = docs.withColumn("score", F.lit("x")).withColumn("predicted", F.lit("x")).withColumn("k", F.lit("x")).withColumn("y", F.lit("x"))
+    assert quality.score(clash, quality.fit(clash, labels)).columns == ["doc_id", "score", "predicted"]
+    assert toxicity.score(clash, toxicity.fit(clash, labels, languages), languages).columns == ["doc_id", "score", "predicted"]
+
+
 def test_langid_held_out_accuracy(spark, docs):
     found = q.op4_langid(spark, "/root/testdata/sf0.01").join(table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").toPandas()
     assert (found["lang_pred"] == found["lang"]).mean() > 0.97

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tidecue.llm import decontam, linedup
 from tidecue.llm import queries as q
-from tidecue.llm.common import held_out, table
+from tidecue.llm.common import held_out, shared_folder, table
 from test_llm import brute_components, brute_lines
 
 
@@ -105,3 +106,10 @@ def test_tokens(stages):
 
 def test_percent_is_stated():
     assert linedup.PERCENT == 90 and [n for n, _ in corpus_pipeline.STAGES] == ["language", "lines", "near_copies", "leaks", "tokens"]
+
+
+def test_run_leaves_only_what_its_result_reads(spark, sf_dir):
+    folder = shared_folder(spark, "x").rsplit("/", 1)[0]
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["leaks"]
