@@ -116,6 +116,75 @@ def test_subtitles_and_documents_to_files(spark, tmp_path):
     assert sorted(r.version for r in spark.read.parquet(f"{tmp_path}/index").collect()) == [1, 2]
 
 
+def test_readers_on_files(spark, tmp_path):
+    """Each reader from files in job folders, with one that it rejects."""
+    put(tmp_path, "j1/translations.json", '{"segments":[{"id":0,"text":"甲","en":"a"},{"id":1,"text":"乙"}]}')
+    put(tmp_path, "j2/translations.json", "[]")
+    rows, bad = rd.read_translations(spark, f"{tmp_path}/*/translations.json")
+    assert [(r.job_id, r.pos, r.id, r.text, r.en) for r in rows.orderBy("pos").collect()] == [("j1", 0, 0, "甲", "a"), ("j1", 1, 1, "乙", None)]
+    assert [tuple(r) for r in bad.collect()] == [("j2", "no object")]
+
+    word = {"start": 0.0, "end": 0.5, "text": "x"}
+    put(tmp_path, "j1/tts/00001.words.json", json.dumps([word, {**word, "start": 0.25}]))
+    put(tmp_path, "j1/tts/00002.words.json", json.dumps([word, {**word, "end": 0}]))
+    assert [(r.clip, r.pos, r.start, r.end, r.text) for r in rd.read_word_timings(spark, f"{tmp_path}/j1/tts/*.words.json").orderBy("pos").collect()] == [("00001", 0, 0.0, 0.5, "x"), ("00001", 1, 0.25, 0.5, "x")]
+
+    put(tmp_path, "j1/probe.json", json.dumps({"format": {"duration": "12.5"}, "streams": [{"codec_type": "audio", "tags": {"language": "en"}}]}))
+    put(tmp_path, "j2/probe.json", "{")
+    probes, bad = rd.read_probe_documents(spark, f"{tmp_path}/*/probe.json")
+    assert [(r.job_id, r.probe.format.duration, r.probe.streams[0].tags.language) for r in probes.collect()] == [("j1", "12.5", "en")]
+    assert [tuple(r) for r in bad.collect()] == [("j2", "invalid JSON")]
+    assert [(r.duration, r.has_audio) for r in ck.media_facts(probes).collect()] == [(12.5, True)]
+
+    whole = {"id": "0" * 32, "source": "https://youtu.be/x", "status": "failed", "progress": 40, "stage_message": "m", "title": "T", "error": "E", "failed_stage": "rendering", "segments_path": "s", "translations_path": "t", "output_path": "o", "metadata": {"a": "b"}}
+    put(tmp_path, "j1/job.json", json.dumps(whole))
+    put(tmp_path, "j2/job.json", json.dumps({"id": "x"}))
+    jobs, bad = rd.read_manifests(spark, f"{tmp_path}/*/job.json")
+    assert [r.asDict() for r in jobs.collect()] == [whole]
+    assert [(r.path.endswith("j2/job.json"), r.reason) for r in bad.collect()] == [(True, "bad id")]
+
+    put(tmp_path, "j1/glossary.json", '{"Anna":"安娜"}')
+    put(tmp_path, "j2/glossary.json", '{"Anna":1}')
+    terms, bad = rd.read_glossary(spark, f"{tmp_path}/*/glossary.json")
+    assert [tuple(r) for r in terms.collect()] == [("j1", "Anna", "安娜")] and [tuple(r) for r in bad.collect()] == [("j2", "not a string")]
+
+    put(tmp_path, "j1/intervals.json", '{"original_audio_windows":[[0,1.5]],"segments":[{"start":2,"end":3}]}')
+    found = rd.read_interval_drafts(spark, f"{tmp_path}/*/intervals.json").orderBy("kind").collect()
+    assert [tuple(r) for r in found] == [("j1", "segment", 0, 2.0, 3.0), ("j1", "window", 0, 0.0, 1.5)]
+
+
+def test_files_and_hashes(spark, tmp_path):
+    import hashlib
+
+    from tidecue.operators import joins as jn
+
+    for name, content in (("j1/source.mp4", "12345"), ("j1/source.json", "123456789"), ("j2/a.b.MKV", "x"), ("j2/notes.txt", "y")):
+        put(tmp_path, name, content)
+    files = rd.list_files(spark, f"{tmp_path}/*/*")
+    assert sorted(tuple(r) for r in files.collect()) == [("j1", "source.json", 9), ("j1", "source.mp4", 5), ("j2", "a.b.MKV", 1), ("j2", "notes.txt", 1)]
+    assert [tuple(r) for r in rd.pick_media_file(files).collect()] == [("j1", "source.mp4", 5)]
+    assert {r.name: (r.accepted, r.title) for r in rd.local_sources(files).collect()} == {"source.json": (False, "source"), "source.mp4": (True, "source"), "a.b.MKV": (True, "a.b"), "notes.txt": (False, "notes")}
+    hashed = jn.hash_files(spark.read.format("binaryFile").load(f"{tmp_path}/j1/*"))
+    expected = spark.createDataFrame([("source.mp4", hashlib.sha256(b"12345").hexdigest()), ("source.json", "0"), ("none", "1")], "name string, sha256 string")
+    assert {r.name: r.status for r in jn.asset_audit(expected, hashed).collect()} == {"source.mp4": "ok", "source.json": "changed", "none": "missing"}
+    ok = spark.createDataFrame([(10.0, 10.25), (10.0, 10.4), (10.0, 10.04)], "a double, b double")
+    assert [tuple(r) for r in ok.select(jn.stem_length_ok(F.col("a"), F.col("b")), jn.stem_length_ok(F.col("a"), F.col("b"), instrumental=True)).collect()] == [(True, False), (False, False), (True, True)]
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_documents_to_files(spark, tmp_path, packed):
+    documents = spark.createDataFrame([("a", "1\n2"), ("b", "é")], "job_id string, value string")
+    for _ in range(2):  # the second time replaces the first
+        wr.write_documents(documents, f"{tmp_path}/d", packed)
+    back = spark.read.parquet(f"{tmp_path}/d") if packed else spark.read.text(f"{tmp_path}/d", wholetext=True)
+    assert sorted((r.job_id, r.value.rstrip("\n")) for r in back.collect()) == [("a", "1\n2"), ("b", "é")]
+
+
+def test_target_language_folds_case(spark):
+    rows = spark.createDataFrame([("ZH_Hans",), ("  simplified \t CHINESE ",), ("Straße",), (None,)], "language string")
+    assert [r.target_language for r in ck.normalize_target_language(rows).collect()] == [ck.TARGET_LANGUAGE, ck.TARGET_LANGUAGE, None, None]
+
+
 def test_empty_tables(spark, sf_dir):
     empty = spark.createDataFrame([], "job_id long, idx long, start_s double, end_s double, text string, speaker string, extra string")
     from tidecue.operators import aggregates as ag

@@ -79,7 +79,7 @@ def c3_subtitle_text(cues):
 
 
 @query("c4_safe_output_name", "documents", sql=r"""
-  with a as (select doc_id, left(regexp_replace(substr(text, 1, 120), '[^\p{L}\p{N}\p{M}_.-]+', '-', 'g'), 80) as x from documents),
+  with a as (select doc_id, left(regexp_replace(text, '[^\p{L}\p{N}\p{M}_.-]+', '-', 'g'), 80) as x from documents),
   b as (select doc_id, list_max(list_filter(range(0, 81), lambda n: strlen(left(x, n)) <= 200)) as n, x from a)
   select doc_id, coalesce(nullif(trim(left(x, n), '-._'), ''), 'translated-video') || '-' || left(md5(doc_id::varchar), 8) || '.mp4' as name from b""")
 def c4_safe_output_name(documents):
@@ -155,10 +155,13 @@ def a2_read_translations(drafts):
     return rd.parse_translations(_replies(drafts))[0].select("job_id", "pos", "id", "text")
 
 
-@query("c7_extract_json_object", "drafts", sql="select job_id, job_id % 11 <> 5 as has_object, count(*) filter (job_id % 11 <> 5) as n_items from drafts group by job_id")
+@query("c7_extract_json_object", "drafts", sql="""
+  select job_id, job_id % 11 <> 5 as has_object, coalesce(string_agg(pos || ':' || id || ':' || text, '|' order by pos, id, text) filter (job_id % 11 <> 5), '') as items from drafts group by job_id""")
 def c7_extract_json_object(drafts):
     held = _replies(drafts).withColumn("v", tx.json_object(c("content")))
-    return held.select("job_id", c("v").isNotNull().alias("has_object"), F.coalesce(F.size(F.try_variant_get("v", "$.segments", "array<variant>")), F.lit(0)).cast("long").alias("n_items"))
+    items = F.try_variant_get("v", "$.segments", "array<struct<pos:bigint,id:bigint,text:string>>")
+    texts = F.transform(items, lambda x: F.concat_ws(":", x["pos"].cast("string"), x["id"].cast("string"), x["text"]))
+    return held.select("job_id", c("v").isNotNull().alias("has_object"), F.coalesce(F.array_join(texts, "|"), F.lit("")).alias("items"))
 
 
 _WORDS = f"""
@@ -256,11 +259,12 @@ def a10_draft_documents(cues):
 
 
 @query("a10_segment_arrays", "cues", sql="""
-  select job_id, count(*) as n_rows, min(idx) as first_index, max(idx) as last_index, sum(length(speaker)) as speaker_chars from cues group by job_id""")
+  select job_id, idx as index, start_s as start, end_s as "end", text as source_text, case when idx % 2 = 0 then upper(speaker) end as translated_text, speaker, null::varchar as tts_file from cues
+  where job_id not in (select job_id from cues where end_s <= 0)""")
 def a10_segment_arrays(cues):
-    rows = cues.select("job_id", "idx", "start_s", "end_s", c("text").alias("source_text"), F.lit(None).cast("string").alias("translated_text"), "speaker", F.lit(None).cast("string").alias("tts_file"))
-    back = rd.parse_segments(wr.segment_arrays(rows), "value")[0]
-    return back.groupBy("job_id").agg(F.count("*").alias("n_rows"), F.min("index").alias("first_index"), F.max("index").alias("last_index"), F.sum(F.length("speaker")).alias("speaker_chars"))
+    translated = F.when(c("idx") % 2 == 0, F.upper("speaker"))
+    rows = cues.select("job_id", "idx", "start_s", "end_s", c("text").alias("source_text"), translated.alias("translated_text"), "speaker", F.lit(None).cast("string").alias("tts_file"))
+    return rd.parse_segments(wr.segment_arrays(rows), "value")[0].drop("pos")
 
 
 @query("a11_bundle_index", "job_events", sql="""
@@ -406,7 +410,31 @@ def d2_divide_overlaps(overlapping):
     return od.divide_overlaps(overlapping)
 
 
-@query("d3_split_sentences", "cues")
+_TAIL = """[。！？!?…."”’''」』）】》〉)\\]]*"""
+#: Tokens of a text: boundaries, a dot before a letter or digit with that, and what lies between.
+_TOKENS = rf"(?:[。！？!?…]+|\.{{2,}}){_TAIL}|\.[A-Za-z0-9]|\.{_TAIL}|[^.。！？!?…]+"
+
+
+@query("d3_split_sentences", "cues", recursive=True, sql=rf"""
+  with t as (select job_id, idx, case when speaker is distinct from lag(speaker) over w or row_number() over w = 1 then 1 else 0 end as fresh, trim(text, {_BLANKS}) as t from cues window w as (partition by job_id order by idx)),
+  u as (select job_id, idx, sum(fresh) over (partition by job_id order by idx) as run, regexp_extract_all(t, '{_TOKENS}') as tokens from t),
+  v as (select job_id, run, idx, unnest(range(1, len(tokens) + 1)) as k, unnest(tokens) as tok from u),
+  tk as (select *, row_number() over (partition by job_id, run order by idx, k) as seq, regexp_matches(tok, '^(?:[。！？!?…]|\.(?:[^A-Za-z0-9]|$))') as ends, regexp_matches(tok, '[\p{{L}}\p{{N}}]') as said from v),
+  ch as (select job_id, run, seq, ends, unnest(range(1, length(tok) + 1)) as p, unnest(string_split(tok, '')) as ch from tk where (job_id, run) in (select job_id, run from tk where regexp_matches(tok, '[（(\[【《〈“‘「『]'))),
+  mk as (select *, row_number() over (partition by job_id, run order by seq, p) as n from ch where instr('（([【《〈“‘「『）)]】》〉”’」』', ch) > 0 or ends and instr('。！？!?….', ch) > 0),
+  st as (
+    select job_id, run, seq, p, n, ch, case when instr('（([【《〈“‘「『', ch) > 0 then substr('）)]】》〉”’」』', instr('（([【《〈“‘「『', ch), 1) else '' end as open from mk where n = 1
+    union all
+    select m.job_id, m.run, m.seq, m.p, m.n, m.ch, case when s.open <> '' and right(s.open, 1) = m.ch then left(s.open, length(s.open) - 1)
+      when instr('（([【《〈“‘「『', m.ch) > 0 then s.open || substr('）)]】》〉”’」』', instr('（([【《〈“‘「『', m.ch), 1) else s.open end
+    from st s join mk m on m.job_id = s.job_id and m.run = s.run and m.n = s.n + 1),
+  se as (select job_id, run, seq, arg_max(open, p) as open, bool_or(instr('。！？!?….', ch) > 0 and not regexp_matches(open, '[）)\]】》〉]')) as counts from st group by all),
+  ca as (select tk.*, tk.ends and coalesce(own.counts, true) and coalesce(near.open, '') = '' as cand, sum(said::int) over (partition by tk.job_id, tk.idx order by k) as s
+    from tk left join se own on own.job_id = tk.job_id and own.run = tk.run and own.seq = tk.seq asof left join se near on near.job_id = tk.job_id and near.run = tk.run and near.seq <= tk.seq),
+  cu as (select *, cand and s > coalesce(max(case when cand then s end) over (partition by job_id, idx order by k rows between unbounded preceding and 1 preceding), 0) as cut from ca),
+  gr as (select *, count(*) filter (cut) over (partition by job_id, idx order by k rows between unbounded preceding and 1 preceding) as g, count(*) filter (cut) over (partition by job_id, idx) as n from cu),
+  gs as (select *, case when g = n and n > 0 and not bool_or(said) over (partition by job_id, idx, g) then g - 1 else g end as h from gr)
+  select job_id, idx, cast(h as int) as ordinal, string_agg(tok, '' order by k) as piece, h < n as closes from gs group by job_id, idx, h, n""")
 def d3_split_sentences(cues):
     return od.split_sentences(cues)
 
@@ -683,22 +711,61 @@ def _planned(cues: DataFrame) -> DataFrame:
 
 
 def _heard(planned: DataFrame) -> DataFrame:
-    """Words of fragments with an even share of the fragment's time; every fifth utterance is heard wrongly."""
+    """Words of fragments with an even share of the fragment's time. Of five utterances, one is heard wrongly, and
+    one loses its last word.
+    """
     parts = F.split("text", " +")
     rows = planned.select("job_id", "utterance_id", "frag_no", "plan_start", "plan_end", F.size(parts).alias("n"), F.posexplode(parts).alias("k", "word"))
     share = lambda k: c("plan_start") + (c("plan_end") - c("plan_start")) * k / c("n") * 0.9
     text = F.when(c("utterance_id") % 5 == 3, F.lit("xxxx")).otherwise(c("word"))
-    number = F.row_number().over(Window.partitionBy("job_id", "utterance_id").orderBy("frag_no", "k"))
-    return rows.select("job_id", "utterance_id", number.alias("pos"), share(c("k")).alias("start"), share(c("k") + 1).alias("end"), text.alias("text"))
-
-
-@query("d11_align_words", "cues")
+    whole = Window.partitionBy("job_id", "utterance_id")
+    rows = rows.withColumn("pos", F.row_number().over(whole.orderBy("frag_no", "k"))).withColumn("all", F.count("*").over(whole))
+    rows = rows.where((c("utterance_id") % 5 != 1) | (c("pos") < c("all")) | (c("all") == 1))
+    return rows.select("job_id", "utterance_id", "pos", share(c("k")).alias("start"), share(c("k") + 1).alias("end"), text.alias("text"))
+
+
+#: The words heard are those of the text, or its beginning, or match nothing: so the first characters match one by one.
+_HEARD = f"""{_UTTERANCES},
+  wt as (select *, greatest(1, length({_SPOKEN.format(x='piece')})) as weight from ut),
+  pe as (select *, start_s + (end_s - start_s) * sum(weight) over (partition by job_id, idx order by ordinal) / sum(weight) over (partition by job_id, idx) as part_end from wt),
+  pp as (select *, coalesce(lag(part_end) over (partition by job_id, idx order by ordinal), start_s) as part_start from pe),
+  pl as (select job_id, utterance as utterance_id, row_number() over (partition by job_id, utterance order by idx, ordinal) as frag_no, idx as cue_index, piece as text, weight, part_start as plan_start, part_end as plan_end,
+    min(part_start) over (partition by job_id, utterance) as start_s, max(part_end) over (partition by job_id, utterance) as end_s, count(*) over (partition by job_id, utterance) as parts from pp),
+  hs as (select *, string_split_regex(text, ' +') as w from pl),
+  hu as (select job_id, utterance_id, frag_no, plan_start, plan_end, start_s, end_s, len(w) as n, unnest(range(0, len(w))) as k, unnest(w) as word from hs),
+  hn as (select *, row_number() over (partition by job_id, utterance_id order by frag_no, k) as pos, count(*) over (partition by job_id, utterance_id) as words from hu),
+  hw as (select job_id, utterance_id, pos, {_SPOKEN.format(x='word')} as p, greatest(start_s, plan_start + (plan_end - plan_start) * k / n * 9e-1) as s, least(end_s, plan_start + (plan_end - plan_start) * (k + 1) / n * 9e-1) as e
+    from hn where utterance_id % 5 <> 3 and (utterance_id % 5 <> 1 or pos < words or words = 1)),
+  wo as (select *, length(p) as n, sum(length(p)) over (partition by job_id, utterance_id order by pos) - length(p) as o, sum(length(p)) over (partition by job_id, utterance_id) as got from hw where length(p) > 0 and s < e),
+  fo as (select *, length({_SPOKEN.format(x='text')}) as m, sum(length({_SPOKEN.format(x='text')})) over (partition by job_id, utterance_id order by frag_no) - length({_SPOKEN.format(x='text')}) as o,
+    sum(length({_SPOKEN.format(x='text')})) over (partition by job_id, utterance_id) as want from pl),
+  fb as (select f.job_id, f.utterance_id, f.frag_no, f.m, wo.got, f.want, wo.s + (f.o - wo.o) * ((wo.e - wo.s) / wo.n) as b from fo f left join wo on wo.job_id = f.job_id and wo.utterance_id = f.utterance_id and wo.o <= f.o and f.o < wo.o + wo.n),
+  fl as (select f.job_id, f.utterance_id, max(wo.s + (wo.got - 1 - wo.o + 1) * ((wo.e - wo.s) / wo.n)) as last from (select distinct job_id, utterance_id from fo) f join wo using (job_id, utterance_id) where wo.o + wo.n = wo.got group by all),
+  fe as (select fb.*, coalesce(lead(b) over (partition by job_id, utterance_id order by frag_no), last) as e from fb join fl using (job_id, utterance_id)),
+  he as (select *, bool_and(coalesce(m > 0 and b is not null and 2e0 * got / (want + got) >= 85e-2 and e - b >= 1e-3, false)) over (partition by job_id, utterance_id) as ok from fe)"""
+
+
+@query("d11_align_words", "cues", sql=f"with {_HEARD} select job_id, utterance_id, cast(frag_no as int) as frag_no, b as heard_start, e as heard_end from he where ok")
 def d11_align_words(cues):
     planned = _planned(cues)
     return jn.align_words_to_text(planned, _heard(planned))
 
 
-@query("e4_retime_cues", "cues")
+@query("e4_retime_cues", "cues", recursive=True, sql=f"""
+  with {_HEARD},
+  es as (select *, end_s * 5e-1 + start_s * 5e-1 as until, row_number() over (partition by job_id, utterance_id order by frag_no desc) as back from pl),
+  ee as (select *, case when back = 1 then until else start_s + (until - start_s) * sum(weight) over (partition by job_id, utterance_id order by frag_no) / sum(weight) over (partition by job_id, utterance_id) end as e from es),
+  eb as (select *, coalesce(lag(e) over (partition by job_id, utterance_id order by frag_no), start_s) as b from ee),
+  eo as (select *, bool_and(until > start_s and e - b >= 1e-3) over (partition by job_id, utterance_id) as ok from eb),
+  ch as (select eo.job_id, eo.utterance_id, eo.frag_no, eo.cue_index, case when parts > 1 and he.ok then he.b when parts > 1 and eo.ok then eo.b else plan_start end as b,
+    case when parts > 1 and he.ok then he.e when parts > 1 and eo.ok then eo.e else plan_end end as e from eo left join he using (job_id, utterance_id, frag_no)),
+  cs as (select job_id, cue_index as idx, min(b) as start_s, max(e) as end_s, min(row(utterance_id, frag_no)) as seen from ch group by job_id, cue_index),
+  x as (select job_id, idx, start_s, end_s, row_number() over w as n, lead(start_s) over w as nx, min(end_s) over (partition by job_id order by seen rows between current row and unbounded following) as f
+    from cs window w as (partition by job_id order by seen)),
+  r as (
+    select job_id, idx, n, greatest(start_s, 0e0) as s, case when nx < end_s then (greatest(start_s, 0e0, nx) + f) / 2 else end_s end as e from x where n = 1
+    union all select x.job_id, x.idx, x.n, greatest(x.start_s, r.e), case when x.nx < x.end_s then (greatest(x.start_s, r.e, x.nx) + x.f) / 2 else x.end_s end from r join x on x.job_id = r.job_id and x.n = r.n + 1)
+  select job_id, idx, s as start_s, e as end_s, bool_and(e > s) over (partition by job_id) as job_ok from r""")
 def e4_retime_cues(cues):
     planned = _planned(cues)
     ends = planned.groupBy("job_id", "utterance_id").agg((F.max("end_s") * 0.5 + F.max("start_s") * 0.5).alias("speech_end"))
@@ -709,11 +776,11 @@ def e4_retime_cues(cues):
 
 
 @query("g1_overflow_report", "clips", sql="""
-  with t as (select job_id, idx, slot_s, audio_s, audio_s / greatest(5e-2, slot_s) as tempo from clips)
-  select job_id, count(*) as n_overflows, string_agg(idx || ':' || printf('%.3f', round(tempo, 3)), ',' order by idx) as overflows from t where tempo > 18e-1 group by job_id""")
+  with t as (select job_id, idx, greatest(5e-2, slot_s) as slot, audio_s, audio_s / greatest(5e-2, slot_s) as tempo from clips)
+  select job_id, count(*) as n_overflows, string_agg(idx || printf(':%.3f:%.3f:%.3f', audio_s, slot, tempo), ',' order by idx) as overflows from t where tempo > 18e-1 group by job_id""")
 def g1_overflow_report(clips):
-    rows = F.transform("overflows", lambda x: F.concat_ws(":", x["id"].cast("string"), F.format_string("%.3f", x["required_tempo"])))
-    return ag.overflow_report(clips).withColumn("overflows", F.array_join(rows, ","))
+    row = lambda x: F.format_string("%d:%.3f:%.3f:%.3f", x["id"], x["audio_seconds"], x["slot_seconds"], x["required_tempo"])
+    return ag.overflow_report(clips).withColumn("overflows", F.array_join(F.transform("overflows", row), ","))
 
 
 @query("g1_fitting_clips", "clips", sql="select job_id, idx from clips where job_id not in (select job_id from clips where audio_s / greatest(5e-2, slot_s) > 18e-1)")
@@ -724,13 +791,13 @@ def g1_fitting_clips(clips):
 @query("g2_translation_requests", "cues", sql="""
   with b as (select *, cast((row_number() over (partition by job_id order by idx) - 1) // 3 as int) as batch from cues)
   select job_id, batch, count(*) as n_segments, case when job_id % 2 = 0 then '{"job":"' || job_id || '"}' else '{}' end as glossary,
-    string_agg(idx || ':' || greatest(4, cast(trunc(greatest(5e-2, end_s - start_s) * 45e-1) as int)) || ':' || length(text), ',' order by idx) as digest from b group by job_id, batch""")
+    string_agg(idx || printf(':%.3f:%.3f:%.2f:', start_s, end_s, greatest(5e-2, end_s - start_s)) || greatest(4, cast(trunc(greatest(5e-2, end_s - start_s) * 45e-1) as int)) || ':' || text, '|' order by idx) as segments from b group by job_id, batch""")
 def g2_translation_requests(cues):
     terms = cues.where("job_id % 2 = 0").select("job_id", F.lit("job").alias("term"), c("job_id").cast("string").alias("translation"))
     found = ag.translation_requests(cues.withColumn("source_text", c("text")), ck.TARGET_LANGUAGE, 3, terms)
-    rows = F.from_json("payload", "array<struct<id:bigint,max_zh_chars:int,text:string>>")
-    digest = F.array_join(F.transform(rows, lambda x: F.concat_ws(":", x["id"].cast("string"), x["max_zh_chars"].cast("string"), F.length(x["text"]).cast("string"))), ",")
-    return found.select("job_id", "batch", "n_segments", "glossary", digest.alias("digest"))
+    rows = F.from_json("payload", "array<struct<id:bigint,start:double,end:double,seconds:double,max_zh_chars:int,text:string>>")
+    texts = F.transform(rows, lambda x: F.format_string("%d:%.3f:%.3f:%.2f:%d:%s", x["id"], x["start"], x["end"], x["seconds"], x["max_zh_chars"], x["text"]))
+    return found.select("job_id", "batch", "n_segments", "glossary", F.array_join(texts, "|").alias("segments"))
 
 
 @query("g3_frame_rms", "frames", sql="select job_id, event_type as track, frame_no // 16 as frame_no, sqrt(avg(level * level)) as rms from frames group by 1, 2, 3")
@@ -738,10 +805,10 @@ def g3_frame_rms(frames):
     return ag.frame_rms(frames.select("job_id", c("event_type").alias("track"), c("frame_no").alias("n"), c("level").alias("x")), 16)
 
 
-@query("g3_frame_array_rms", "frames", sql="select job_id, sqrt(sum(level * level) / count(*)) as rms from frames group by job_id")
+@query("g3_frame_array_rms", "frames", sql="select job_id, frame_no // 64 as block, sqrt(sum(level * level) / count(*)) as rms from frames group by 1, 2")
 def g3_frame_array_rms(frames):
-    rows = frames.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_no", "level"))), lambda x: x["level"]).alias("samples"))
-    return ag.frame_array_rms(rows).select("job_id", "rms")
+    rows = frames.groupBy("job_id", F.floor(c("frame_no") / 64).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame_no", "level"))), lambda x: x["level"]).alias("samples"))
+    return ag.frame_array_rms(rows).select("job_id", "block", "rms")
 
 
 @query("g4_soundtrack_measures", "frames", "intervals", sql=f"""

@@ -9,7 +9,7 @@ from tidecue.functions.text import safe_output_name, srt_timestamp, subtitle_tex
 
 
 def srt_blocks(cues: DataFrame, source_text: bool = False, source: str = "source_text", translated: str = "translated_text") -> DataFrame:
-    """(job_id, position, block): numbered subtitle blocks in order of (start, idx)."""
+    """(job_id, position, block): numbered subtitle blocks in order of idx."""
     c = F.col
     text = subtitle_text(F.lit(None).cast("string") if source_text else c(translated), c(source))
     position = F.row_number().over(Window.partitionBy("job_id").orderBy("idx"))
@@ -23,11 +23,10 @@ def to_srt(cues: DataFrame, **options) -> DataFrame:
     return blocks.select("job_id", F.array_join(F.transform("b", lambda x: x["block"]), "\n").alias("srt"))
 
 
-def write_srt(cues: DataFrame, path: str, **options) -> None:
-    """Subtitle documents as text files in one folder per job."""
+def write_srt(cues: DataFrame, path: str, packed: bool = False, **options) -> None:
+    """Subtitle documents as ``write_documents`` writes them."""
     # the sink ends each value with a line feed, which is the document's own last one
-    documents = to_srt(cues, **options).select("job_id", F.regexp_replace("srt", r"\n\z", "").alias("value"))
-    documents.repartition("job_id").write.partitionBy("job_id").text(path)
+    write_documents(to_srt(cues, **options).select("job_id", F.regexp_replace("srt", r"\n\z", "").alias("value")), path, packed)
 
 
 def segment_arrays(segments: DataFrame) -> DataFrame:
@@ -44,9 +43,16 @@ def draft_documents(translations: DataFrame) -> DataFrame:
     return rows.select("job_id", F.to_json(F.struct("segments"), {"ignoreNullFields": "true"}).alias("value"))
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """Documents (job_id, value) as text files in one folder per job."""
-    documents.repartition("job_id").write.mode("overwrite").partitionBy("job_id").text(path)
+def write_documents(documents: DataFrame, path: str, packed: bool = False) -> None:
+    """Documents (job_id, value) as text files in one folder per job; existing ones of the path are replaced.
+
+    A folder per job is what players and editors take, and too much for a file system beyond some 100,000 jobs:
+    ``packed`` writes Parquet files of many documents, sorted by job within each file, so that one is found by a filter.
+    """
+    if packed:
+        documents.repartition("job_id").sortWithinPartitions("job_id").write.mode("overwrite").parquet(path)
+    else:
+        documents.repartition("job_id").write.mode("overwrite").partitionBy("job_id").text(path)
 
 
 def bundle_index(renders: DataFrame) -> DataFrame:
