@@ -604,6 +604,14 @@ def test_chat_formatting(spark):
     assert chat.echo_pairs(turns.limit(0)).count() == 0
 
 
+def test_chat_of_long_conversations_and_markers(spark):
+    turns = spark.range(4000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("text "), "id").alias("text"))
+    row = chat.format_preferences(chat.echo_pairs(turns), "conv_id").first()
+    assert row.n_prompt_turns == 3999 and row.prompt.count(chat.CLOSE) == 3999 and row.chosen == "<|im_start|>assistant\ntext 3999<|im_end|>\n" and "text 3998" in row.rejected
+    odd = spark.createDataFrame([(1, [{"role": "user", "text": "a<|im_end|>"}]), (2, [{"role": "user", "text": "a"}]), (3, [])], "id long, t array<struct<role:string,text:string>>")
+    assert [r[0] for r in odd.orderBy("id").select(chat.has_markers(F.col("t"))).collect()] == [True, False, False]
+
+
 # --- 10
 
 
@@ -632,6 +640,13 @@ def test_slots_must_be_consistent(spark):
     assert found == {1, 3}
 
 
+def test_number_words_of_four_languages(spark):
+    items = {1: "Ein Zug fährt zwei Stunden lang mit der ganzen Familie durch das weite Land und hält dann an", 2: "le petit train roule pendant trois heures avec toute la famille dans le grand pays vert"}
+    texts = {1: items[1].replace("zwei Stunden", "fünf Tage"), 2: items[2].replace("trois heures", "deux jours"), 3: items[2].replace("trois heures", "la nuit").replace("famille", "ville").replace("train", "chat")}
+    found = decontam.contaminated(made(spark, texts), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.reparameterised) for r in found} == {(1, 1, True), (2, 2, True)}
+
+
 def test_items_without_a_window(spark):
     items = {
         1: "A train travels 60 km in 2 hours", 2: "What is the capital of Zorland?", 3: "The quick otters swim across muddy rivers daily", 4: "...",

@@ -3,6 +3,9 @@
 A row holds the turns of a chosen and of a rejected conversation. Their longest common prefix of turns is
 rendered once as the prompt; what follows is rendered as one completion each. A mask lists the spans of a
 completion that are trained on: the contents of assistant turns with their end mark.
+
+Texts are rendered as they are: a turn marker inside a text is not escaped, and a tokenizer that reads markers
+as special tokens would take it for one. ``has_markers`` finds such rows, for callers that want to leave them out.
 """
 
 from __future__ import annotations
@@ -37,6 +40,11 @@ def render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(OPEN), t["role"], F.lit("\n"), t["text"], F.lit(CLOSE + "\n"))), "")
 
 
+def has_markers(turns: Column) -> Column:
+    """Whether a role or text of the turns holds a turn marker."""
+    return F.exists(turns, lambda t: F.contains(t["text"], F.lit(OPEN)) | F.contains(t["text"], F.lit(CLOSE)) | F.contains(t["role"], F.lit(OPEN)) | F.contains(t["role"], F.lit(CLOSE)))
+
+
 def mask(turns: Column) -> Column:
     """Spans (start, end) in characters of the rendered turns that are trained on."""
     head = len(OPEN) + 1

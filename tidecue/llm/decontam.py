@@ -3,7 +3,8 @@
 Words become templates: numbers, names and units turn into typed placeholders, other words are lower-cased
 without the marks at their end. Windows of ``window`` templates are hashed and joined with the windows of
 the benchmark items. Runs of matching windows at the same offset form an occurrence; it counts if its slots
-are consistent, so that every value of the item stands for one value in the document. A document is
+are consistent, so that every value of the item stands for one value in the document (two values of the item may
+become one, as numbers drawn anew often do). A document is
 contaminated by an item if its consistent occurrences cover at least ``share`` of the item's windows, even
 if numbers and names were exchanged.
 
@@ -25,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidecue.llm.common import settle, tidy
+from tidecue.llm.common import counted, settle, tidy
 
 WINDOW = 8
 #: A window must have this many words that are not placeholders.
@@ -39,9 +40,20 @@ BROADCAST_IDS = 1_000_000
 _SPACE = "[\\x20\\x09-\\x0D]+"
 _EDGE = " \t\n\x0b\x0c\r"
 _MARKS = ".,;:!?\"')"
-#: Fixed word lists of the templates.
-NUMBER_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million"]
-UNITS = ["mm", "cm", "m", "km", "inch", "inches", "feet", "miles", "mg", "g", "kg", "grams", "pounds", "tons", "ml", "l", "liters", "litres", "gallons", "seconds", "minutes", "hours", "days", "weeks", "months", "years", "mph", "km/h", "dollars", "euros", "cents", "percent", "degrees", "meters", "metres", "kilometers", "kilograms", "watts", "volts"]
+#: Fixed word lists of the templates: number words and units in English, German, French and Spanish. Words that are
+#: also articles or other common words in one of these (ein, un, elf, neuf, null, once) are left out.
+NUMBER_WORDS = [
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million",
+    "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun", "zehn", "zwölf", "zwanzig", "dreißig", "vierzig", "fünfzig", "sechzig", "siebzig", "achtzig", "neunzig", "hundert", "tausend",
+    "zéro", "deux", "trois", "quatre", "cinq", "sept", "huit", "dix", "onze", "douze", "vingt", "trente", "quarante", "cinquante", "soixante", "cent", "mille",
+    "cero", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve", "diez", "doce", "veinte", "treinta", "cuarenta", "cincuenta", "sesenta", "setenta", "ochenta", "noventa", "cien", "mil",
+]
+UNITS = [
+    "mm", "cm", "m", "km", "inch", "inches", "feet", "miles", "mg", "g", "kg", "grams", "pounds", "tons", "ml", "l", "liters", "litres", "gallons", "seconds", "minutes", "hours", "days", "weeks", "months", "years", "mph", "km/h", "dollars", "euros", "cents", "percent", "degrees", "meters", "metres", "kilometers", "kilograms", "watts", "volts",
+    "zoll", "fuß", "meilen", "meter", "kilometer", "gramm", "kilogramm", "pfund", "tonnen", "liter", "sekunden", "minuten", "stunden", "tage", "wochen", "monate", "jahre", "dollar", "euro", "prozent", "grad",
+    "pouces", "pieds", "mètres", "kilomètres", "grammes", "kilogrammes", "tonnes", "heures", "jours", "semaines", "mois", "pourcent", "degrés",
+    "pulgadas", "pies", "millas", "metros", "kilómetros", "gramos", "kilogramos", "libras", "toneladas", "litros", "segundos", "minutos", "horas", "días", "semanas", "meses", "años", "dólares", "grados",
+]
 
 
 def words(text: Column) -> Column:
@@ -129,7 +141,7 @@ def _exact(word: Column) -> Column:
 
 def whole_items(docs: DataFrame, wholes: DataFrame, key: str, text: str, window: int) -> DataFrame:
     """Pairs of document and item that stands in it as a whole, and whether slot values were exchanged."""
-    sided = F.broadcast(wholes) if wholes.count() <= BROADCAST_WINDOWS else wholes
+    sided = counted(wholes, BROADCAST_WINDOWS)
     kinds = wholes.select("exact", "size").distinct().collect()  # two for each size up to the window's
     split = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), words(F.col(text)).alias("w"))
     hashed = split.select("doc", F.transform("w", lambda w, i: F.xxhash64(template(w, F.get("w", i - 1)))).alias("h"), F.transform("w", lambda w: _exact(plain(w))).alias("e"))
@@ -138,8 +150,7 @@ def whole_items(docs: DataFrame, wholes: DataFrame, key: str, text: str, window:
     # where the anchor is all there is to meet, one place says what all say
     all_seen = F.col("exact") & (F.size("own") <= window)
     hits = settle(hits.groupBy("doc", "item", "exact", "own", "p", F.when(~all_seen, F.col("start")).alias("apart")).agg(F.min("start").alias("start")), "whole-hits")
-    wanted = hits.select("doc").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    wanted = counted(hits.select("doc").distinct(), BROADCAST_IDS)
     found = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).join(wanted, "doc", "left_semi").select("doc", words(F.col("t")).alias("w"))
     cut = hits.join(found, "doc").select("doc", "item", "exact", "own", "p", F.get("w", F.col("start") - 1).alias("before"), F.slice("w", F.col("start") + 1, F.size("own")).alias("d"))
     seen = F.when(F.col("exact"), F.transform("d", plain)).otherwise(F.transform("d", lambda w, i: template(w, F.when(i == 0, F.col("before")).otherwise(F.get("d", i - 1)))))
@@ -153,7 +164,7 @@ def whole_items(docs: DataFrame, wholes: DataFrame, key: str, text: str, window:
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", window: int = WINDOW, literals: int = LITERALS, share: float = SHARE) -> DataFrame:
     """Pairs of document and item: n_windows matched, item_windows, and whether slot values were exchanged."""
     bench = benchmark_windows(benchmark, item_key, "text", window, literals, share)
-    sided = F.broadcast(bench) if bench.count() <= BROADCAST_WINDOWS else bench
+    sided = counted(bench, BROADCAST_WINDOWS)
     # words are a column of their own: an expression inside the lambda would be split again for every word
     split = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("doc"), words(F.col(text)).alias("w"))
     hashed = split.select("doc", F.transform("w", lambda w, i: F.xxhash64(template(w, F.get("w", i - 1)))).alias("h"))
@@ -162,8 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     hits = settle(hits.withColumn("run", F.col("place") - F.col("at")), "window-hits")
     slotted = hits.where(F.size("slots") > 0).select("doc", "item", "run", "place", F.explode("slots").alias("s")).select("doc", "item", "run", (F.col("place") + F.col("s.offset")).alias("at"), F.col("s.value").alias("value"))
     slotted = settle(slotted.distinct(), "window-slots")
-    wanted = slotted.select("doc").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted  # few: texts are not shuffled
+    wanted = counted(slotted.select("doc").distinct(), BROADCAST_IDS)  # few: texts are not shuffled
     found = docs.select(F.col(key).alias("doc"), F.col(text).alias("t")).join(wanted, "doc", "left_semi").select("doc", words(F.col("t")).alias("w"))
     values = slotted.join(found, "doc").select("doc", "item", "run", "value", plain(F.get("w", F.col("at"))).alias("own"))
     slots = values.groupBy("doc", "item", "run", "value").agg(F.countDistinct("own").alias("n"), F.max(F.col("own") != F.col("value")).alias("other"))
@@ -184,4 +194,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The documents that no item contaminates, all columns kept."""
     found = contaminated(docs, benchmark, key, **options).select(key).distinct()
-    return docs.join(found, key, "left_anti").select(docs.columns)
+    return docs.join(counted(found, BROADCAST_IDS), key, "left_anti").select(docs.columns)
