@@ -7,8 +7,11 @@ rows walks all of them level by level.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ FEATURES = (
     "short_lines", "ended_lines", "long_words", "symbol_words", "repeats", "short_words", "ellipses", "braces",
 )
 _CLASSES = {"upper": range(65, 91), "lower": range(97, 123), "digits": range(48, 58), "white": [9, 10, 11, 12, 13, 32], "high": range(128, 256), "stops": b".!?", "commas": b",;:", "pipes": b"|", "symbols": b"#$%&*+/<=>@\\^_~", "braces": b"()[]{}"}
-_SYMBOLS = "#$%&*+/<=>@\\^_~|"
+_SYMBOL = re.compile(r"[#$%&*+/<=>@\\^_~|]")
 
 
 def statistics(text: str | None) -> list[float]:
@@ -37,19 +40,17 @@ def statistics(text: str | None) -> list[float]:
     counts = sum(np.bincount(np.frombuffer(data[i : i + (1 << 20)], np.uint8), minlength=256) for i in range(0, len(data), 1 << 20))
     size, n = len(data), len(words)
     share = {k: float(counts[list(v)].sum()) / size for k, v in _CLASSES.items()}
-    seen: dict[str, int] = {}
-    for w in words:
-        seen[w] = seen.get(w, 0) + 1
+    seen = Counter(words)
     lines = [x for x in text.split("\n") if x.strip()]
-    sizes = [len(w) for w in words]
+    sizes = np.fromiter(map(len, words), np.int64, n)
     return [
-        float(np.log1p(size)), float(np.log1p(n)), float(np.log1p(len(lines))), sum(sizes) / n,
+        float(np.log1p(size)), float(np.log1p(n)), float(np.log1p(len(lines))), float(sizes.sum()) / n,
         share["upper"] + share["lower"] + share["high"], share["upper"], share["digits"], share["white"], share["high"],
         share["stops"], share["commas"], share["pipes"], share["symbols"], len(seen) / n, max(seen.values()) / n,
         len(set(lines)) / len(lines), n / len(lines), sum(len(x) < 30 for x in lines) / len(lines),
-        sum(x.rstrip()[-1] in ".!?" for x in lines) / len(lines), sum(s > 12 for s in sizes) / n,
-        sum(any(c in w for c in _SYMBOLS) for w in seen) / len(seen), sum(a == b for a, b in zip(words, words[1:], strict=False)) / n,
-        sum(s <= 2 for s in sizes) / n, text.count("...") / n, share["braces"],
+        sum(x.rstrip()[-1] in ".!?" for x in lines) / len(lines), float((sizes > 12).sum()) / n,
+        sum(1 for w in seen if _SYMBOL.search(w)) / len(seen), sum(map(eq, words, words[1:])) / n,
+        float((sizes <= 2).sum()) / n, text.count("...") / n, share["braces"],
     ]
 
 
