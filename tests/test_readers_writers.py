@@ -151,6 +151,9 @@ def test_readers_on_files(spark, tmp_path):
     put(tmp_path, "j1/intervals.json", '{"original_audio_windows":[[0,1.5]],"segments":[{"start":2,"end":3}]}')
     found = rd.read_interval_drafts(spark, f"{tmp_path}/*/intervals.json").orderBy("kind").collect()
     assert [tuple(r) for r in found] == [("j1", "segment", 0, 2.0, 3.0), ("j1", "window", 0, 0.0, 1.5)]
+    put(tmp_path, "j2/intervals.json", '{"original_audio_windows":[[0,1],[2,1],5,{"start":1}],"segments":[]}')
+    found = rd.read_interval_drafts(spark, f"{tmp_path}/*/intervals.json")
+    assert [tuple(r) for r in rd.interval_faults(found).collect()] == [("j2", "window", 3)]
 
 
 def test_files_and_hashes(spark, tmp_path):

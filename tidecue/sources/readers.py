@@ -135,7 +135,10 @@ def read_glossary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 
 def parse_interval_drafts(documents: DataFrame, content: str = "content") -> DataFrame:
-    """(job_id, kind, pos, start_s, end_s) of ``original_audio_windows`` and ``segments``; rows are pairs or objects."""
+    """(job_id, kind, pos, start_s, end_s) of ``original_audio_windows`` and ``segments``; rows are pairs or objects.
+
+    A row that is neither keeps its place with null times; ``interval_faults`` names the drafts that have such rows.
+    """
     held = documents.select("job_id", F.try_parse_json(content).alias("v"))
     found = None
     for kind, field in (("window", "original_audio_windows"), ("segment", "segments")):
@@ -146,6 +149,12 @@ def parse_interval_drafts(documents: DataFrame, content: str = "content") -> Dat
     return found
 
 
+def interval_faults(intervals: DataFrame) -> DataFrame:
+    """(job_id, kind, n_bad) of drafts with rows that are no pair of finite times, the first before the second."""
+    good = (F.col("start_s") < F.col("end_s")) & (F.col("start_s") >= 0) & (F.col("end_s") < float("inf"))
+    return intervals.where(~F.coalesce(good, F.lit(False))).groupBy("job_id", "kind").agg(F.count("*").alias("n_bad"))
+
+
 def read_interval_drafts(spark: SparkSession, path: str) -> DataFrame:
     return parse_interval_drafts(whole_files(spark, path))
 
