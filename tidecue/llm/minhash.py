@@ -47,7 +47,7 @@ PERCENT = 75
 MISS = 1e-9
 #: Lists up to this length join with themselves; longer ones are compared in blocks.
 SHORT_LIST = 64
-BLOCK = 1024
+BLOCK = 2048
 #: Partners that are compared with a document's set in one chunk.
 CHUNK = 256
 #: Document ids that may be broadcast to fetch sketches or texts; beyond it, a shuffle join fetches them.
