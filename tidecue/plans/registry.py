@@ -173,7 +173,9 @@ _WORDS = f"""
 def words_of(cues: DataFrame) -> DataFrame:
     """Words of cues, each with an even share of the cue's time."""
     parts = F.split(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), "[ \n]+")
-    rows = cues.select("job_id", "idx", "start_s", "end_s", F.size(parts).alias("n"), F.posexplode(parts).alias("pos", "text"))
+    # the size is a column before the words are exploded: beside them, the text would be split again for every word
+    rows = cues.select("job_id", "idx", "start_s", "end_s", parts.alias("parts")).withColumn("n", F.size("parts"))
+    rows = rows.select("job_id", "idx", "start_s", "end_s", "n", F.posexplode("parts").alias("pos", "text"))
     share = lambda k: c("start_s") + (c("end_s") - c("start_s")) * k / c("n")
     return rows.select("job_id", "idx", "pos", share(c("pos")).alias("start"), share(c("pos") + 1).alias("end"), "text")
 
@@ -715,7 +717,8 @@ def _heard(planned: DataFrame) -> DataFrame:
     one loses its last word.
     """
     parts = F.split("text", " +")
-    rows = planned.select("job_id", "utterance_id", "frag_no", "plan_start", "plan_end", F.size(parts).alias("n"), F.posexplode(parts).alias("k", "word"))
+    rows = planned.select("job_id", "utterance_id", "frag_no", "plan_start", "plan_end", parts.alias("parts")).withColumn("n", F.size("parts"))
+    rows = rows.select("job_id", "utterance_id", "frag_no", "plan_start", "plan_end", "n", F.posexplode("parts").alias("k", "word"))
     share = lambda k: c("plan_start") + (c("plan_end") - c("plan_start")) * k / c("n") * 0.9
     text = F.when(c("utterance_id") % 5 == 3, F.lit("xxxx")).otherwise(c("word"))
     whole = Window.partitionBy("job_id", "utterance_id")
