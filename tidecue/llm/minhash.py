@@ -14,7 +14,8 @@ A document is its set of distinct 5-word shingles; two are linked if their Jacca
    by set size, so that only neighbouring cells can hold similar sets, and by whether a document lies in the
    list's largest component, within which nothing is compared; cells are cut into chunks of bounded size, and
    pairs of chunks are compared as products of incidence matrices. A pair leaves a block only if it passes the
-   filter and no smaller value of both lists it too.
+   filter and no smaller value of both lists it too; a list whose documents all share the same smaller value, as
+   the values of one passage do, is left out for that reason.
 5. The filter estimates the similarity from the union's sketch: of its ``K`` smallest values as many must
    be in both sets as a similar pair has except with a chance of ``MISS``.
 6. Links are confirmed on full sets. Pairs are gathered by the end that has more of them, in chunks of bounded
@@ -179,6 +180,16 @@ def block_pairs(g: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(doc[x], doc[y]), "b": np.maximum(doc[x], doc[y])})
 
 
+def own_lists(members: DataFrame) -> DataFrame:
+    """The values of lists (value, doc) that are not contained in the list of a smaller value."""
+    c = F.col
+    unsigned = c("value").bitwiseXOR(F.lit(-(1 << 63)))  # values count as unsigned numbers
+    chains = members.groupBy("doc").agg(F.sort_array(F.collect_list(unsigned)).alias("v"))  # LISTED at most
+    steps = chains.select(F.explode(F.transform("v", lambda x, i: F.struct(x.alias("value"), F.get("v", i - 1).alias("before")))).alias("x"))
+    steps = steps.groupBy("x.value").agg(F.count("*").alias("n"), F.count("x.before").alias("k"), F.min("x.before").alias("a"), F.max("x.before").alias("b"))
+    return steps.where((c("k") < c("n")) | (c("a") != c("b"))).select(unsigned.alias("value"))
+
+
 def block_rows(mixed: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Members (value, doc, n, mask, component) of long lists with each block (value, block, same) they are in, and their side."""
     c = F.col
@@ -302,7 +313,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     short = mixed.where(c("size") <= SHORT_LIST)
     other = short.select("value", c("doc").alias("other"), c("n").alias("m"), c("component").alias("component2"))
     short = short.join(other, "value").where((c("doc") < c("other")) & (c("component") != c("component2")) & similar_size).select(pair).distinct()
-    long = block_rows(mixed.where(c("size") > SHORT_LIST).drop("size"), percent).join(sketched.select("doc", "sketch"), "doc")
+    long = mixed.where(c("size") > SHORT_LIST).drop("size")
+    long = block_rows(settle(long.join(own_lists(long), "value", "left_semi"), "long-lists"), percent).join(sketched.select("doc", "sketch"), "doc")
     kind = docs.schema[key].dataType.simpleString()
     long = long.groupBy("value", "block").applyInPandas(lambda g: block_pairs(g, percent), f"a {kind}, b {kind}")
     more = confirmed(passing(short, sketched, percent).union(long), docs, key, text, percent)
