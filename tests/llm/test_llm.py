@@ -45,7 +45,7 @@ def same_settings(spark):
 
 
 def test_batches_are_bounded_by_bytes():
-    texts = ["x" * 1_000_000] * 300 + [None, "", "y"] * 200 + ["z" * 20_000_000] + ["é"] * 3
+    texts = ["x" * 1_000_000] * 300 + ["w" * 1000] * 2000 + [None, "", "y"] * 200 + ["z" * 20_000_000] + ["é"] * 3
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array([[1] * 10] * len(texts))], ["k", "t", "n"])
     parts = list(common.slices(iter([batch, batch.slice(0, 0)]), "t", "n"))
     assert [k for p in parts for k in p.column("k").to_pylist()] == list(range(len(texts)))

@@ -27,7 +27,7 @@ from tidecue.llm.common import slices
 
 LONG_WORD = 256
 #: Words kept in a worker's cache; beyond it the cache starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: The split of byte-level BPE into words, a fixed value of the format. White space is Unicode's
 #: White_Space property, which leaves out U+001C to U+001F.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"

@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes of text that a Python function works on at once. Spark itself bounds the bytes of the batches
-#: that it sends to a worker; what a function makes of a text can be many times its size, hence the finer slices.
+#: that it sends to a worker; what a function makes of a text can be 50 times its size, hence the finer slices.
 SLICE_ROWS = 256
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,7 @@ def slices(batches: Iterator[pa.RecordBatch], *texts: str, rows: int = SLICE_ROW
             upto = max(at + 1, min(at + rows, int(np.searchsorted(ends, before + size, side="right"))))
             yield b.slice(at, upto - at)
             at = upto
+        pa.default_memory_pool().release_unused()  # workers are kept, and so would be what their largest batch took
 
 
 def unused(name: str, *frames: DataFrame) -> str:

@@ -30,9 +30,9 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from math import exp, lgamma, log
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +41,9 @@ from tidecue.llm.common import counted, settle, slices, tidy
 from tidecue.llm.components import connected_components
 from tidecue.llm.words import shingles, word_hashes
 
+if TYPE_CHECKING:
+    import pandas as pd  # workers of Arrow maps do without it
+
 K = 128
 LISTED = 64
 WIDTH = 5
@@ -177,7 +180,9 @@ def block_pairs(g: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     x, y = left[x], right[y]
     good = [np.zeros(0, bool), *(union_filter(sketch[x[i : i + 4096]], sketch[y[i : i + 4096]], n[x[i : i + 4096]], n[y[i : i + 4096]], percent) for i in range(0, len(x), 4096))]
     x, y = x[np.concatenate(good)], y[np.concatenate(good)]
-    return pd.DataFrame({"a": np.minimum(doc[x], doc[y]), "b": np.maximum(doc[x], doc[y])})
+    from pandas import DataFrame as Rows
+
+    return Rows({"a": np.minimum(doc[x], doc[y]), "b": np.maximum(doc[x], doc[y])})
 
 
 def own_lists(members: DataFrame) -> DataFrame:
