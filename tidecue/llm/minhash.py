@@ -18,7 +18,8 @@ A document is its set of distinct 5-word shingles; two are linked if their Jacca
    the values of one passage do, is left out for that reason.
 5. The filter estimates the similarity from the union's sketch: of its ``K`` smallest values as many must
    be in both sets as a similar pair has except with a chance of ``MISS``.
-6. Links are confirmed on full sets. Pairs are gathered by the end that has more of them, in chunks of bounded
+6. Links are confirmed on full sets: on the sketches where these hold the whole sets of both documents, and on the
+   texts elsewhere. Such pairs are gathered by the end that has more of them, in chunks of bounded
    size: its text comes once for each chunk, and partners stream past its set. Components are computed by Spark.
 
 The shingle hash is 64 bits wide: sets of n shingles are confused with a chance of about n**2 / 2**64.
@@ -119,14 +120,19 @@ def inverted_lists(representatives: DataFrame) -> DataFrame:
     return listed.select("doc", "n", "noise", mask.alias("mask"), F.explode("s").alias("x")).select(F.col("x.value").alias("value"), "doc", "n", "noise", "mask")
 
 
-def union_filter(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Whether pairs of sketches (rows, padded with the largest number) may reach the threshold."""
+def judge(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Whether pairs of sketches (rows, padded with the largest number) may reach the threshold, and whether that is sure.
+
+    It is where both sketches hold their whole sets; elsewhere the sketch of the union decides.
+    """
     both = np.sort(np.concatenate([a, b], axis=1), axis=1)
     twice = np.zeros(both.shape, bool)
     twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != np.uint64(2**64 - 1))
     rank = np.cumsum(~twice, axis=1)
     found = (twice & (rank <= K)).sum(axis=1)
-    return found >= needed(np.maximum(na, nb), (na + nb) * 100 // (100 + percent), K, percent)
+    likely = found >= needed(np.maximum(na, nb), (na + nb) * 100 // (100 + percent), K, percent)
+    common, sure = twice.sum(axis=1), (na <= K) & (nb <= K)
+    return np.where(sure, 100 * common >= percent * (na + nb - common), likely), sure
 
 
 def _padded(column: list | pd.Series) -> np.ndarray:
@@ -178,11 +184,12 @@ def block_pairs(g: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
         ok &= _overlaps(by_value(listed & (values < value)), left, right, len(g)) == 0
     x, y = np.nonzero(ok)
     x, y = left[x], right[y]
-    good = [np.zeros(0, bool), *(union_filter(sketch[x[i : i + 4096]], sketch[y[i : i + 4096]], n[x[i : i + 4096]], n[y[i : i + 4096]], percent) for i in range(0, len(x), 4096))]
-    x, y = x[np.concatenate(good)], y[np.concatenate(good)]
+    judged = [judge(sketch[x[i : i + 4096]], sketch[y[i : i + 4096]], n[x[i : i + 4096]], n[y[i : i + 4096]], percent) for i in range(0, len(x), 4096)]
+    good, sure = (np.concatenate([np.zeros(0, bool), *(j[k] for j in judged)]) for k in (0, 1))
+    x, y = x[good], y[good]
     from pandas import DataFrame as Rows
 
-    return Rows({"a": np.minimum(doc[x], doc[y]), "b": np.maximum(doc[x], doc[y])})
+    return Rows({"a": np.minimum(doc[x], doc[y]), "b": np.maximum(doc[x], doc[y]), "sure": sure[good]})
 
 
 def own_lists(members: DataFrame) -> DataFrame:
@@ -227,15 +234,15 @@ def _with_both(pairs: DataFrame, table: DataFrame, columns: list[str]) -> DataFr
 
 
 def passing(pairs: DataFrame, sketches: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that pass the filter on the union's sketch."""
+    """The pairs (a, b) that may reach the threshold by their sketches, and whether that is sure."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "sketch_a", "sketch_b"):
-            good = union_filter(_padded(b.column("sketch_a").to_pylist()), _padded(b.column("sketch_b").to_pylist()), b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), percent)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good))
+            good, sure = judge(_padded(b.column("sketch_a").to_pylist()), _padded(b.column("sketch_b").to_pylist()), b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sure)], ["a", "b", "sure"]).filter(pa.array(good))
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select("a", "b").schema)
-    return _with_both(pairs, sketches, ["n", "sketch"]).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, kinds)
+    return _with_both(pairs, sketches, ["n", "sketch"]).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, f"{kinds}, sure boolean")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
@@ -259,11 +266,12 @@ def _gathered(pairs: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold.
+    """The pairs (a, b) whose full shingle sets reach the threshold; those that are sure need no look at their texts.
 
     Rows are dealt by hub and chunk and sorted so that the hub's text comes first; sets are made where texts arrive.
     """
-    asked = _gathered(settle(pairs.distinct(), "pairs"))
+    pairs = settle(pairs.groupBy("a", "b").agg(F.bool_or("sure").alias("sure")), "pairs")
+    asked = _gathered(pairs.where("not sure").select("a", "b"))
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.col(text).alias("t"))
     partners = texts.join(counted(asked, BROADCAST_IDS), "doc").select("hub", "chunk", F.lit(1).alias("kind"), "doc", "t")
     hubs = asked.select("hub", "chunk").distinct().withColumn("doc", F.col("hub"))
@@ -285,7 +293,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, key: str, text: str, percent: i
 
     kind = docs.schema[key].dataType.simpleString()
     found = rows.mapInArrow(check, f"hub {kind}, doc {kind}")
-    return settle(found.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b")), "links")
+    found = found.select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"))
+    return settle(found.union(pairs.where("sure").select("a", "b")), "links")
 
 
 @tidy("near-duplicates")
@@ -321,7 +330,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     long = mixed.where(c("size") > SHORT_LIST).drop("size")
     long = block_rows(settle(long.join(own_lists(long), "value", "left_semi"), "long-lists"), percent).join(sketched.select("doc", "sketch"), "doc")
     kind = docs.schema[key].dataType.simpleString()
-    long = long.groupBy("value", "block").applyInPandas(lambda g: block_pairs(g, percent), f"a {kind}, b {kind}")
+    long = long.groupBy("value", "block").applyInPandas(lambda g: block_pairs(g, percent), f"a {kind}, b {kind}, sure boolean")
     more = confirmed(passing(short, sketched, percent).union(long), docs, key, text, percent)
     components = settle(connected_components(links.union(more)), "components")
 
