@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecue.llm import ann, bpe, chat, decontam, langid, linedup, minhash, quality, toxicity, warc
+from tidecue.llm import ann, bpe, chat, decontam, langid, linedup, minhash, quality, runs, toxicity, warc
 from tidecue.llm.common import held_out, shared_folder, table
 
 
@@ -200,6 +200,81 @@ select doc_id, count(*) as n_lines, count(*) filter (removed) as n_removed,
 from r group by doc_id
 """
 
+_WHITE = "[\\x20\\x09-\\x0D]+"
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of documents; those whose crc32(doc_id as text) ends in 0 repeat a stretch of words to their end."""
+    c = F.col
+    h = F.crc32(c("doc_id").cast("string"))
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words).cast("long")
+        g = F.floor(h / 10)
+        a = F.pmod(g, n)
+        p = F.floor((n - a) / (3 + g % 8)) + 1
+        return F.transform(words, lambda x, i: F.when(i >= a, F.get(words, (a + (i - a) % p).cast("int"))).otherwise(x))
+
+    words = F.filter(F.split("text", _WHITE), lambda x: x != "")
+    # inside a function of an array's element, the words are split once and not once for each word
+    text = F.array_join(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(w))[0], " ")
+    return docs.select("doc_id", F.when(h % 10 == 0, text).otherwise(c("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    found = runs.periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    # runs come by start, then period, so that the first of equal exponents stays
+    higher = lambda r, b: b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"])
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda b, r: F.when(higher(r, b), r).otherwise(b))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("b", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        c("b.start").alias("start"),
+        c("b.length").alias("length"),
+        c("b.period").alias("period"),
+        F.expr("b.length * 1000 div b.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: crc32 of the decimal doc_id, bit by bit; null for null.
+_CRC_SQL = """cast(xor(list_reduce(list_concat([4294967295::ubigint], list_transform(string_split(doc_id::varchar, ''), lambda y: ascii(y)::ubigint)),
+    lambda r, y: list_reduce(list_concat([xor(r, y)], range(0, 8)::ubigint[]), lambda x, k: case when x & 1 = 1::ubigint then xor(x >> 1, 3988292384::ubigint) else x >> 1 end)), 4294967295::ubigint) as bigint)"""
+
+OP12_SQL = f"""
+with d as (
+  select row_number() over () as k, doc_id, {_CRC_SQL} as h, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents
+), e as (
+  select *, h // 10 as g, (h // 10) % len(w) as a from d
+), f as (
+  select *, 1 + (len(w) - a) // (3 + g % 8) as p from e
+), w as (
+  select k, doc_id, case when h % 10 = 0 and len(w) > 0 then list_transform(w, lambda x, i: case when i > a then w[a + (i - 1 - a) % p + 1] else x end) else w end as w from f
+), g as (
+  select k, unnest(range(16, len(w) + 1)) as i, unnest(list_transform(range(16, len(w) + 1), lambda i: array_to_string(w[i - 15:i], ' '))) as x from w where len(w) >= 24
+), m as (
+  select a.k, a.i, a.i - b.i as lag from g a join g b on a.k = b.k and a.x = b.x and b.i < a.i
+), s as (
+  select *, i - row_number() over (partition by k, lag order by i) as block from m
+), t as (
+  select k, lag, min(i) - 16 - lag as start, count(*) + 15 + lag as length from s group by k, lag, block
+), r as (
+  select k, start, length, min(lag) as period from t where length >= greatest(24, 3 * lag) group by k, start, length
+), c as (
+  select k, list(row(start, length, period) order by start, period) as r,
+    arg_max(row(start, length, period), row(length::hugeint * 1000000000000 // period, -start, -period)) as b from r group by k
+), u as (
+  select k, list_sort(list_distinct(flatten(list(range(start + period, start + length))))) as gone from r group by k
+)
+select doc_id, coalesce(len(r), 0) as n_runs, b[1] as start, b[2] as length, b[3] as period, b[2] * 1000 // b[3] as exponent_milli,
+  sha256(coalesce(array_to_string(list_transform(r, lambda x: x[1] || ',' || x[2] || ',' || x[3] || chr(10)), ''), '')) as runs_sha256,
+  sha256(array_to_string(case when gone is null then w else list_filter(w, lambda x, i: not list_contains(gone, i - 1)) end, ' ')) as collapsed_sha256
+from w left join c using (k) left join u using (k)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -213,8 +288,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": op8_chat,
         "op9_toxicity": op9_toxicity,
         "op10_decontam": op10_decontam,
+        "op12_periodic_runs": op12_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": OP2_SQL, "op3_linedup": OP3_SQL, "op7_warc": OP7_SQL, "op8_chat": OP8_SQL, "op10_decontam": OP10_SQL}
+    return {"op2_minhash": OP2_SQL, "op3_linedup": OP3_SQL, "op7_warc": OP7_SQL, "op8_chat": OP8_SQL, "op10_decontam": OP10_SQL, "op12_periodic_runs": OP12_SQL}

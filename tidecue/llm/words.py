@@ -67,7 +67,7 @@ def _chunk_words(data: bytes, separators: np.ndarray, head: int) -> tuple[np.nda
     return hashed(ends), hashed(np.minimum(ends, starts + head)) if head else starts[:0], starts
 
 
-def _pieces(text: bytes, separators: np.ndarray) -> list[bytes]:
+def pieces(text: bytes, separators: np.ndarray) -> list[bytes]:
     """A long text cut at separators."""
     out, i = [], 0
     while len(text) - i > CHUNK:
@@ -105,7 +105,7 @@ def word_hashes(texts: list[str | None], separators: np.ndarray = WHITE, head: i
         if size + len(b) > CHUNK:
             flush(i)
         if len(b) > CHUNK:
-            for piece in _pieces(b, separators):
+            for piece in pieces(b, separators):
                 hashes, begun, _ = _chunk_words(piece, separators, head)
                 counts[i + 1] += len(hashes)
                 found.append(hashes)
