@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecue.llm import ann, bpe, chat, decontam, langid, linedup, minhash, quality, runs, toxicity, warc
+from tidecue.llm import ann, bpe, chat, decontam, langid, linedup, merkle, minhash, quality, runs, toxicity, warc
 from tidecue.llm.common import held_out, shared_folder, table
 
 
@@ -275,6 +275,50 @@ select doc_id, coalesce(len(r), 0) as n_runs, b[1] as start, b[2] as length, b[3
 from w left join c using (k) left join u using (k)
 """
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    leaf = lambda n_chars: merkle.leaf_digest([c("doc_id"), c("source"), c("lang"), n_chars, c("text")])
+    tampered = F.when(F.crc32(c("doc_id").cast("string")) % 7 == 0, leaf(c("n_chars") + 1))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", leaf(c("n_chars")).alias("leaf"), tampered.alias("tampered"))
+    folder = shared_folder(spark, "manifest")
+    merkle.write_manifest(docs, folder)
+    found = merkle.proofs(spark, folder)
+    found = found.withColumn("folded_root", merkle.fold(F.coalesce("rest.tampered", "leaf"), c("proof")))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(c("proof")).alias("proof_sha256"), "folded_root", (c("folded_root") == c("root")).alias("verified"))
+
+
+_LEAF_SQL = lambda n: "sha256(" + " || ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in ("doc_id::varchar", "source", "lang", n, "text")) + ")"
+_LEVEL_SQL = "list_transform(range(1, len(v) + 1, 2), lambda i: sha256(v[i] || coalesce(v[i + 1], '')))"
+_SIBLING_SQL = "case when xor(pos >> level, 1) < len(v) then case when (pos >> level) & 1 = 1 then 'L' else 'R' end || v[xor(pos >> level, 1) + 1] else '-' end"
+
+OP13_SQL = f"""
+with recursive d as (
+  select doc_id, lang, {_LEAF_SQL("n_chars::varchar")} as leaf,
+    case when {_CRC_SQL} % 7 = 0 then {_LEAF_SQL("(n_chars + 1)::varchar")} end as tampered from documents
+), p as (
+  select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, coalesce(lang, '') || '/' || (lang is null) as g from d
+), t as (
+  select g, 0::bigint as level, list(leaf order by pos) as v from p group by g
+  union all select g, level + 1, {_LEVEL_SQL} from t where len(v) > 1
+), s as (
+  select g, v[1] as subroot, row_number() over (order by r, lang nulls first) - 1 as pos
+  from (select distinct g, lang, lang is not null as r from p) join t using (g) where len(v) = 1
+), u as (
+  select 0::bigint as level, list(subroot order by pos) as v from s
+  union all select level + 1, {_LEVEL_SQL} from u where len(v) > 1
+), x as (
+  select g, list({_SIBLING_SQL} order by level) as proof from s, u where len(v) > 1 group by g
+), y as (
+  select p.doc_id, p.leaf, p.g, p.pos, list({_SIBLING_SQL} order by level) as proof from p join t using (g) where len(v) > 1 group by all
+), z as (
+  select p.doc_id, p.leaf, subroot, v[1] as root, list_concat(coalesce(y.proof, []), coalesce(x.proof, [])) as proof, coalesce(tampered, p.leaf) as shown
+  from p join s using (g) left join x using (g) left join y on y.g = p.g and y.pos = p.pos, u where len(u.v) = 1
+), f as (
+  select *, list_reduce(list_concat([shown], proof), lambda a, b: sha256(case when b = '-' then a when b[1] = 'L' then b[2:] || a else a || b[2:] end)) as folded_root from z
+)
+select doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(proof, lambda b: b[2:]), ''), '')) as proof_sha256, folded_root, folded_root = root as verified from f
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -289,8 +333,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_decontam": op10_decontam,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": OP2_SQL, "op3_linedup": OP3_SQL, "op7_warc": OP7_SQL, "op8_chat": OP8_SQL, "op10_decontam": OP10_SQL, "op12_periodic_runs": OP12_SQL}
+    return {"op2_minhash": OP2_SQL, "op3_linedup": OP3_SQL, "op7_warc": OP7_SQL, "op8_chat": OP8_SQL, "op10_decontam": OP10_SQL, "op12_periodic_runs": OP12_SQL, "op13_merkle": OP13_SQL}
