@@ -145,7 +145,7 @@ def proofs(spark: SparkSession, path: str, key: str = "doc_id", group: str = "la
     c = F.col
     layout = spark.read.parquet(f"{path}/layout").first()
     none = F.array().cast("array<struct<sibling:string,left:boolean>>")
-    root = spark.range(1).select(F.lit(0).alias("g"), F.lit(layout.root).cast("string").alias("tree"), none.alias("proof"))
+    root = spark.range(1).select(c("id").cast("int").alias("g"), F.lit(layout.root).cast("string").alias("tree"), none.alias("proof"))
     tops = _paths(spark, f"{path}/top", layout.top_levels, layout.step, root)
     roots = tops.select(c("item").alias("g"), c("digest").alias("tree"), "proof")
     found = _paths(spark, f"{path}/groups", layout.levels, layout.step, roots)
