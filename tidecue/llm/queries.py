@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidecue.llm import ann, bpe, chat, decontam, langid, linedup, merkle, minhash, quality, runs, toxicity, warc
+from tidecue.llm import ann, bpe, chat, decontam, langid, licenses, linedup, merkle, minhash, quality, runs, toxicity, warc
 from tidecue.llm.common import held_out, shared_folder, table
 
 
@@ -202,6 +202,59 @@ from r group by doc_id
 
 _WHITE = "[\\x20\\x09-\\x0D]+"
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col
+    found = licenses.scan(table(spark, sf_dir, "documents")).withColumn("base", F.filter("spans", lambda s: s["kind"] == "base"))
+    starts = F.transform("base", lambda s: s["start"].cast("long"))
+    labels = lambda spans: F.array_join(F.array_sort(F.array_distinct(F.transform(spans, lambda s: s["label"]))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(c("base")).alias("base_labels"),
+        labels(c("spans")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def _known_sql() -> str:
+    rows = []
+    for i, (kind, label, text) in enumerate(licenses.templates()):
+        words = licenses.plain_words(text)
+        rows.append(f"({i}, '{kind}', '{label}', string_split('{' '.join(words)}', ' '), {licenses.GRAM if kind == 'notice' else licenses.PHRASE})")
+    return ", ".join(rows)
+
+
+OP11_SQL = f"""
+with k(template, kind, label, w, n) as (values {_known_sql()}),
+kg as (select template, kind, n, unnest(range(1, len(w) - n + 2)) as t, w from k),
+kt as (select template, n, t, array_to_string(w[t:t + n - 1], ' ') as x from kg),
+d as (select row_number() over () as r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+dg as (select r, w, n, unnest(range(1, len(w) - n + 2)) as p from d, (values ({licenses.PHRASE}), ({licenses.GRAM})) as v(n)),
+dt as (select r, n, p, array_to_string(w[p:p + n - 1], ' ') as x from dg),
+v as (select r, template, p - t as diagonal, count(*) as votes from dt join kt using (n, x) group by all),
+a as (select *, diagonal - lag(diagonal) over (partition by r, template order by diagonal)
+  > case when kind = 'notice' then least(8, len(w) // 4) else 0 end as apart from v join k using (template)),
+g as (select *, sum(case when apart is false then 0 else 1 end) over (partition by r, template order by diagonal) as part from a),
+h as (select r, template, part, list(diagonal) as diagonals from g group by r, template, part, kind, w, n
+  having sum(votes) >= case when kind = 'notice' then ((len(w) - n + 1) * {licenses.VOTES} + 99) // 100 else len(w) - n + 1 end),
+q as (select r, template, part, unnest(diagonals) as diagonal from h),
+e as (select q.r, q.template, part, t, min(diagonal + t) as p from q join k using (template) join d using (r), unnest(range(1, len(k.w) + 1)) as u(t)
+  where diagonal + t >= 1 and d.w[diagonal + t] = k.w[t] group by all),
+f as (select r, template, part, min(p) - 1 as start, max(p) as end_, count(*) as matched from e group by all),
+s as (select r, part, start, end_, matched, kind, label, matched / len(w) as share from f join k using (template)
+  where matched >= case when kind = 'notice' then len(w) * {licenses.LEAST} / 100 else len(w) end),
+x as (select * from s as b where kind <> 'notice' or not exists (select 1 from s as a where a.r = b.r and a.kind = 'notice' and a.label <> b.label
+  and a.start < b.end_ and b.start < a.end_ and (a.matched > b.matched or a.matched = b.matched and a.share > b.share))),
+y as (select r, count(*) filter (kind = 'base') as n_base, min(start) filter (kind = 'base') as first_word, max(start) filter (kind = 'base') as last_word,
+  string_agg(distinct label, ',' order by label) filter (kind = 'base') as base_labels, string_agg(distinct label, ',' order by label) as labels, max(share) as score from x group by r)
+select doc_id, len(w) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+  coalesce(score, 0)::double as score from d left join y using (r)
+"""
+
 
 def with_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text) of documents; those whose crc32(doc_id as text) ends in 0 repeat a stretch of words to their end."""
@@ -332,10 +385,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat": op8_chat,
         "op9_toxicity": op9_toxicity,
         "op10_decontam": op10_decontam,
+        "op11_licenses": op11_licenses,
         "op12_periodic_runs": op12_periodic_runs,
         "op13_merkle": op13_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash": OP2_SQL, "op3_linedup": OP3_SQL, "op7_warc": OP7_SQL, "op8_chat": OP8_SQL, "op10_decontam": OP10_SQL, "op12_periodic_runs": OP12_SQL, "op13_merkle": OP13_SQL}
+    return {"op2_minhash": OP2_SQL, "op3_linedup": OP3_SQL, "op7_warc": OP7_SQL, "op8_chat": OP8_SQL, "op10_decontam": OP10_SQL, "op11_licenses": OP11_SQL, "op12_periodic_runs": OP12_SQL, "op13_merkle": OP13_SQL}

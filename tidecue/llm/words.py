@@ -119,6 +119,15 @@ def word_hashes(texts: list[str | None], separators: np.ndarray = WHITE, head: i
     return np.concatenate(found or none), np.concatenate(heads or none), np.cumsum(counts)
 
 
+def grams(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every stretch of ``width`` words; those of other widths are others."""
+    n = max(0, len(hashes) - width + 1)
+    rolled = np.full(n, width, np.uint64)
+    for k in range(width):
+        rolled = rolled + hashes[k : k + n] * _STEPS[k]
+    return mix(rolled)
+
+
 def shingles(hashes: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its word shingles.
 
