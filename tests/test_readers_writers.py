@@ -112,7 +112,7 @@ def test_subtitles_and_documents_to_files(spark, tmp_path):
     wr.write_srt(cues, f"{tmp_path}/srt")
     assert spark.read.text(f"{tmp_path}/srt").count() == 7
     renders = spark.createDataFrame([("0123456789", "T", 1), ("0123456789", "T", 2)], "job_id string, title string, rendered_at long")
-    wr.write_bundle_index(renders, f"{tmp_path}/index")
+    wr.write_bundle_index(renders, f"{tmp_path}/index", "first")
     assert sorted(r.version for r in spark.read.parquet(f"{tmp_path}/index").collect()) == [1, 2]
 
 
