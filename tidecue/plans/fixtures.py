@@ -36,6 +36,12 @@ VIEWS = {
     "langs": """
         select doc_id as job_id, case doc_id%4 when 0 then null when 1 then '' when 2 then upper(lang)||'_X' else lang end as detected,
          lang as requested from {documents}""",
+    # quotes and asides that nest, close wrongly, stay open over the next cues, and end with the speaker
+    "quoted": """
+        select job_id, idx, case when floor(idx/3e0) % 2 = 0 then 'A' else 'B' end as speaker, case (job_id + idx) % 8
+         when 0 then '“' || text when 1 then replace(text, '. ', '.” ') when 2 then '「' || replace(text, '. ', '.（') || '」。）」'
+         when 3 then replace(text, '. ', '. (x. ') || ')!' when 4 then '(' || text || ')' when 5 then replace(text, '. ', '.” ‘')
+         when 6 then '《' || replace(text, '. ', '.》 “') else text end as text from {cues}""",
     "overlapping": "select job_id, idx, start_s, end_s + case when (job_id+idx)%3=0 then 15e-1 else 0e0 end as end_s from {cues}",
     "faulty_cues": """
         select job_id, case when (job_id+idx)%41=0 then idx+1 else idx end as idx, start_s,

@@ -417,8 +417,9 @@ _TAIL = """[。！？!?…."”’''」』）】》〉)\\]]*"""
 _TOKENS = rf"(?:[。！？!?…]+|\.{{2,}}){_TAIL}|\.[A-Za-z0-9]|\.{_TAIL}|[^.。！？!?…]+"
 
 
-@query("d3_split_sentences", "cues", recursive=True, sql=rf"""
-  with t as (select job_id, idx, case when speaker is distinct from lag(speaker) over w or row_number() over w = 1 then 1 else 0 end as fresh, trim(text, {_BLANKS}) as t from cues window w as (partition by job_id order by idx)),
+def _sentences_sql(cues: str) -> str:
+    return rf"""
+  with t as (select job_id, idx, case when speaker is distinct from lag(speaker) over w or row_number() over w = 1 then 1 else 0 end as fresh, trim(text, {_BLANKS}) as t from {cues} window w as (partition by job_id order by idx)),
   u as (select job_id, idx, sum(fresh) over (partition by job_id order by idx) as run, regexp_extract_all(t, '{_TOKENS}') as tokens from t),
   v as (select job_id, run, idx, unnest(range(1, len(tokens) + 1)) as k, unnest(tokens) as tok from u),
   tk as (select *, row_number() over (partition by job_id, run order by idx, k) as seq, regexp_matches(tok, '^(?:[。！？!?…]|\.(?:[^A-Za-z0-9]|$))') as ends, regexp_matches(tok, '[\p{{L}}\p{{N}}]') as said from v),
@@ -436,11 +437,19 @@ _TOKENS = rf"(?:[。！？!?…]+|\.{{2,}}){_TAIL}|\.[A-Za-z0-9]|\.{_TAIL}|[^.
   cu as (select *, cand and s > coalesce(max(case when cand then s end) over (partition by job_id, idx order by k rows between unbounded preceding and 1 preceding), 0) as cut from ca),
   gr as (select *, count(*) filter (cut) over (partition by job_id, idx order by k rows between unbounded preceding and 1 preceding) as g, count(*) filter (cut) over (partition by job_id, idx) as n from cu),
   gs as (select *, case when g = n and n > 0 and not bool_or(said) over (partition by job_id, idx, g) then g - 1 else g end as h from gr)
-  select job_id, idx, cast(h as int) as ordinal, string_agg(tok, '' order by k) as piece, h < n as closes from gs group by job_id, idx, h, n""")
+  select job_id, idx, cast(h as int) as ordinal, string_agg(tok, '' order by k) as piece, h < n as closes from gs group by job_id, idx, h, n"""
+
+
+@query("d3_split_sentences", "cues", recursive=True, sql=_sentences_sql("cues"))
 def d3_split_sentences(cues):
     return od.split_sentences(cues)
 
 
+@query("d3_marked_sentences", "quoted", recursive=True, sql=_sentences_sql("quoted"))
+def d3_marked_sentences(quoted):
+    return od.split_sentences(quoted)
+
+
 _PIECES = f"""
   l as (select job_id, idx, speaker, start_s, end_s, string_split(trim(text, {_BLANKS}), chr(10)) as l from cues),
   p as (select job_id, idx, speaker, start_s, end_s, cast(unnest(range(0, len(l))) as int) as ordinal, unnest(l) as piece from l),
