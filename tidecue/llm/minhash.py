@@ -13,8 +13,8 @@ A document is its set of distinct 5-word shingles; two are linked if their Jacca
 4. Only pairs from different components remain. Short lists join with themselves. Long ones are cut into cells
    by set size, so that only neighbouring cells can hold similar sets, and by whether a document lies in the
    list's largest component, within which nothing is compared; cells are cut into chunks of bounded size, and
-   pairs of chunks are compared as products of incidence matrices. A pair leaves a block only if it passes the
-   filter and no smaller value of both lists it too; a list whose documents all share the same smaller value, as
+   pairs of chunks are compared as products of incidence matrices, over wider sketches of ``WIDE`` values that are made
+   of these documents only. A pair leaves a block only if it passes the filter and no smaller value of both lists it too; a list whose documents all share the same smaller value, as
    the values of one passage do, is left out for that reason.
 5. The filter estimates the similarity from the union's sketch: of its ``K`` smallest values as many must
    be in both sets as a similar pair has except with a chance of ``MISS``.
@@ -46,6 +46,8 @@ if TYPE_CHECKING:
     import pandas as pd  # workers of Arrow maps do without it
 
 K = 128
+#: Values kept of documents in long lists, whose pairs are many: most of their sets are held whole.
+WIDE = 512
 LISTED = 64
 WIDTH = 5
 PERCENT = 75
@@ -90,7 +92,7 @@ def needed(low: np.ndarray, high: np.ndarray, k: int, percent: int = PERCENT) ->
     return np.minimum(look(low), look(high))
 
 
-def sketch_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def sketch_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = K) -> DataFrame:
     """doc, n (set size), d1 and d2 (digest of the set), sketch, and how many listed values a partner shares."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,7 +101,7 @@ def sketch_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
             sets = shingles(hashes, offsets, WIDTH)
             n = np.array([len(s) for s in sets], np.int64)
             digests = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]).reshape(-1, 2)
-            kept = [s[:K].view(np.int64) for s in sets]
+            kept = [s[:k].view(np.int64) for s in sets]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, kept)]).astype(np.int32)), pa.array(np.concatenate([*kept, np.zeros(0, np.int64)])))
             share = needed(n, n * 100 // percent, LISTED, percent)
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(n), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(share.astype(np.int32)), lists], ["doc", "n", "d1", "d2", "share", "sketch"])
@@ -120,7 +122,7 @@ def inverted_lists(representatives: DataFrame) -> DataFrame:
     return listed.select("doc", "n", "noise", mask.alias("mask"), F.explode("s").alias("x")).select(F.col("x.value").alias("value"), "doc", "n", "noise", "mask")
 
 
-def judge(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+def judge(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int = PERCENT, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """Whether pairs of sketches (rows, padded with the largest number) may reach the threshold, and whether that is sure.
 
     It is where both sketches hold their whole sets; elsewhere the sketch of the union decides.
@@ -129,14 +131,14 @@ def judge(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent:
     twice = np.zeros(both.shape, bool)
     twice[:, 1:] = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != np.uint64(2**64 - 1))
     rank = np.cumsum(~twice, axis=1)
-    found = (twice & (rank <= K)).sum(axis=1)
-    likely = found >= needed(np.maximum(na, nb), (na + nb) * 100 // (100 + percent), K, percent)
-    common, sure = twice.sum(axis=1), (na <= K) & (nb <= K)
+    found = (twice & (rank <= k)).sum(axis=1)
+    likely = found >= needed(np.maximum(na, nb), (na + nb) * 100 // (100 + percent), k, percent)
+    common, sure = twice.sum(axis=1), (na <= k) & (nb <= k)
     return np.where(sure, 100 * common >= percent * (na + nb - common), likely), sure
 
 
-def _padded(column: list | pd.Series) -> np.ndarray:
-    out = np.full((len(column), K), 2**64 - 1, np.uint64)
+def _padded(column: list | pd.Series, k: int = K) -> np.ndarray:
+    out = np.full((len(column), k), 2**64 - 1, np.uint64)
     for row, x in zip(out, column, strict=True):
         v = np.asarray(x, np.int64).view(np.uint64)
         row[: len(v)] = v
@@ -161,7 +163,7 @@ def block_pairs(g: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     """
     g = g.sort_values("doc", kind="stable")
     value = np.int64(g["value"].iloc[0]).view(np.uint64)
-    sketch, n = _padded(g["sketch"]), g["n"].to_numpy()
+    sketch, n = _padded(g["sketch"], WIDE), g["n"].to_numpy()
     doc, component, side = g["doc"].to_numpy(), g["component"].to_numpy(), g["side"].to_numpy()
     diagonal = g["same"].iloc[0]
     left, right = (np.arange(len(g)), np.arange(len(g))) if diagonal else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
@@ -179,12 +181,12 @@ def block_pairs(g: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     ok = (low <= high) & (component[left][:, None] != component[right][None])
     ok &= (doc[left][:, None] < doc[right][None]) if diagonal else True
     if ok.any():
-        ok &= _overlaps(by_value(np.ones(len(values), bool)), left, right, len(g)) >= needed(low, high, K, percent)
+        ok &= _overlaps(by_value(np.ones(len(values), bool)), left, right, len(g)) >= needed(low, high, WIDE, percent)
     if ok.any():
         ok &= _overlaps(by_value(listed & (values < value)), left, right, len(g)) == 0
     x, y = np.nonzero(ok)
     x, y = left[x], right[y]
-    judged = [judge(sketch[x[i : i + 4096]], sketch[y[i : i + 4096]], n[x[i : i + 4096]], n[y[i : i + 4096]], percent) for i in range(0, len(x), 4096)]
+    judged = [judge(sketch[x[i : i + 1024]], sketch[y[i : i + 1024]], n[x[i : i + 1024]], n[y[i : i + 1024]], percent, WIDE) for i in range(0, len(x), 1024)]
     good, sure = (np.concatenate([np.zeros(0, bool), *(j[k] for j in judged)]) for k in (0, 1))
     x, y = x[good], y[good]
     from pandas import DataFrame as Rows
@@ -328,7 +330,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     other = short.select("value", c("doc").alias("other"), c("n").alias("m"), c("component").alias("component2"))
     short = short.join(other, "value").where((c("doc") < c("other")) & (c("component") != c("component2")) & similar_size).select(pair).distinct()
     long = mixed.where(c("size") > SHORT_LIST).drop("size")
-    long = block_rows(settle(long.join(own_lists(long), "value", "left_semi"), "long-lists"), percent).join(sketched.select("doc", "sketch"), "doc")
+    long = settle(long.join(own_lists(long), "value", "left_semi"), "long-lists")
+    # of near copies many pairs lie just below the threshold: wider sketches settle most of them, within the blocks
+    asked = settle(long.select(c("doc").alias(key)).distinct(), "asked")
+    wide = settle(sketch_documents(docs.join(counted(asked, BROADCAST_IDS), key, "left_semi"), key, text, percent, WIDE).dropDuplicates(["doc", "d1", "d2"]), "wide-sketches")
+    long = block_rows(long, percent).join(wide.select("doc", "n", "sketch"), ["doc", "n"])
     kind = docs.schema[key].dataType.simpleString()
     long = long.groupBy("value", "block").applyInPandas(lambda g: block_pairs(g, percent), f"a {kind}, b {kind}, sure boolean")
     more = confirmed(passing(short, sketched, percent).union(long), docs, key, text, percent)
