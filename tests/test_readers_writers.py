@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import json
 import random
 
@@ -60,12 +61,33 @@ def test_media_file_ties_and_side_files(spark):
     [
         ("https://www.youtube.com/watch?v=a", None), (" https://youtu.be/a ", None), ("http://b23.tv/x", None), ("https://WWW.bilibili.com./video/1", None),
         ("ftp://youtube.com/a", "scheme"), ("https://u:p@youtube.com/a", "credentials"), ("https://127.0.0.1/a", "ip address"), ("https://[::1]/a", "ip address"), ("https://youtube.com.evil.org/", "not allowed"), (None, "scheme"),
+        ("https://999.1.1.1/a", "not allowed"), ("https://1.2.3/a", "not allowed"), ("https://01.2.3.4/", "not allowed"), ("https://255.255.255.255:80/a", "ip address"), ("https://1.2.3.4./", "ip address"),
+        ("https://[2001:db8::1.2.3.4]:443/", "ip address"), ("https://[1:2:3:4:5:6:7:8]/", "ip address"), ("https://[fe80::1%eth0]/", "ip address"), ("https://[1::2::3]/", "scheme"), ("https://[youtu.be]/", "scheme"), ("https://[::1/a", "scheme"),
+        ("https://youtu.be:8080/a b", None), ("https://:p@youtu.be/", "credentials"), ("https://:@youtu.be/", None), ("https:///a", "host"), ("https://a@b@youtu.be/", "credentials"), ("https:youtu.be", "host"), ("youtu.be/a", "scheme"), ("", "scheme"),
     ],
 )
 def test_urls(spark, url, reason):
     assert ck.check_source_urls(spark.createDataFrame([(url,)], "url string")).first()["reason"] == reason
 
 
+def test_addresses_against_python(spark):
+    """Random strings of address characters are addresses where Python takes them for one."""
+    rng = random.Random(5)
+    hosts = {"::", "::1", "1::", "1:2:3:4:5:6:7::", "::8:7:6:5:4:3:2", "1:2:3:4:5:6:1.2.3.4", "::1.2.3.4", "1.2.3.4", "1.2.3.4.5", "12345::", ":1", "1:", "1:::2", "g::1", "::%", "::%1", "1.2.3.256", "", ":"}
+    hosts |= {"".join(rng.choice(["1", "ff", ":", "::", ".", "0", "255.1.1.1"]) for _ in range(rng.randint(1, 16))) for _ in range(3000)}
+    hosts |= {":".join(f"{rng.randrange(1 << 16):x}" for _ in range(rng.randint(6, 9))) for _ in range(50)}
+
+    def known(host):
+        try:
+            ipaddress.ip_address(host)
+        except ValueError:
+            return False
+        return True
+
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", ck.is_ip_address(F.col("h")).alias("ip")).collect()
+    assert {r.h: r.ip for r in rows} == {h: known(h) for h in hosts}
+
+
 def test_scalar_functions_against_python(spark):
     rng = random.Random(2)
     seconds = [3661.234, 0.0005, 0.0015, -1.0, 400_000.5, *(rng.random() * 9000 for _ in range(200))]
@@ -116,6 +138,32 @@ def test_subtitles_and_documents_to_files(spark, tmp_path):
     assert sorted(r.version for r in spark.read.parquet(f"{tmp_path}/index").collect()) == [1, 2]
 
 
+def check_manifests(spark, tmp_path):
+    """All fields of a manifest, defaults of one that has only what it must have, reasons of others; B9 and B10 fed from them."""
+    paths = {f"{p}_path": p for p in ("source", "audio", "subtitle", "english_subtitle", "dub_audio", "output", "segments", "translations")}
+    options = {"target_language": "zh", "keep_original_audio": True, "duck_original_audio": False, "burn_subtitles": None, "source_language": "ja", "glossary": {"Anna": "安娜"}}
+    overflow = [{"segment": 3, "tempo": 2.5, "cues": [3, 4]}]
+    whole = {"id": "0" * 32, "source": "https://youtu.be/x", "status": "failed", "progress": 40, "stage_message": "m", "options": options, "created_at": "2024-05-01T10:00:00Z", "updated_at": "2024-05-01T12:30:00.250000+02:00"}
+    whole |= {"title": "T", **paths, "error": "E", "failed_stage": "muxing", "overflow_segments": overflow, "metadata": {"detected_language": "ja"}}
+    least = {"id": "1" * 32, "source": "s"}
+    wrong = {"j3": {"id": "x"}, "j4": {**least, "status": "lost"}, "j5": {**least, "progress": 101}, "j6": {"id": "2" * 32}, "j7": {**least, "failed_stage": "rendering"}}
+    for name, m in {"j1": whole, "j2": least, **wrong}.items():
+        put(tmp_path, f"{name}/job.json", json.dumps(m))
+    put(tmp_path, "j8/job.json", "{")
+    jobs, bad = rd.read_manifests(spark, f"{tmp_path}/*/job.json")
+    first, second = (r.asDict(True) for r in jobs.orderBy("id").collect())
+    assert [json.loads(r.o) for r in jobs.where("title = 'T'").select(F.to_json("overflow_segments").alias("o")).collect()] == [overflow]
+    assert {k: v for k, v in first.items() if k not in ("created_at", "updated_at", "overflow_segments")} == {k: v for k, v in whole.items() if k not in ("created_at", "updated_at", "overflow_segments")}
+    assert [r.t for r in jobs.where("title = 'T'").select(F.unix_millis("updated_at").alias("t")).collect()] == [1714559400250]
+    expected = dict.fromkeys(first) | least | {"status": "queued", "progress": 0, "stage_message": rd.STAGE_MESSAGE, "overflow_segments": [], "metadata": {}}
+    assert second == expected | {"options": dict.fromkeys(options) | {"target_language": rd.TARGET_LANGUAGE, "glossary": {}}}
+    assert sorted((r.path.split("/")[-2], r.reason) for r in bad.collect()) == [("j3", "bad id"), ("j4", "invalid value"), ("j5", "invalid value"), ("j6", "no source"), ("j7", "invalid value"), ("j8", "invalid JSON")]
+    chosen = ck.effective_options(rd.manifest_options(jobs), {"keep_original_audio": False, "duck_original_audio": True, "burn_subtitles": True}).orderBy("job_id").collect()
+    assert [tuple(r) for r in chosen] == [("0" * 32, True, False, True), ("1" * 32, False, True, True)]
+    report = ck.job_report(rd.manifest_jobs(jobs), spark.createDataFrame([("1" * 32, "lost")], "job_id string, run_error string")).orderBy("job_id").collect()
+    assert [(r.status, r.failed_stage, r.error, r.output_path, r.detected_language) for r in report] == [("failed", "muxing", "E", "output", "ja"), ("failed", None, "lost", None, None)]
+
+
 def test_readers_on_files(spark, tmp_path):
     """Each reader from files in job folders, with one that it rejects."""
     put(tmp_path, "j1/translations.json", '{"segments":[{"id":0,"text":"甲","en":"a"},{"id":1,"text":"乙"}]}')
@@ -136,12 +184,7 @@ def test_readers_on_files(spark, tmp_path):
     assert [tuple(r) for r in bad.collect()] == [("j2", "invalid JSON")]
     assert [(r.duration, r.has_audio) for r in ck.media_facts(probes).collect()] == [(12.5, True)]
 
-    whole = {"id": "0" * 32, "source": "https://youtu.be/x", "status": "failed", "progress": 40, "stage_message": "m", "title": "T", "error": "E", "failed_stage": "rendering", "segments_path": "s", "translations_path": "t", "output_path": "o", "metadata": {"a": "b"}}
-    put(tmp_path, "j1/job.json", json.dumps(whole))
-    put(tmp_path, "j2/job.json", json.dumps({"id": "x"}))
-    jobs, bad = rd.read_manifests(spark, f"{tmp_path}/*/job.json")
-    assert [r.asDict() for r in jobs.collect()] == [whole]
-    assert [(r.path.endswith("j2/job.json"), r.reason) for r in bad.collect()] == [(True, "bad id")]
+    check_manifests(spark, tmp_path)
 
     put(tmp_path, "j1/glossary.json", '{"Anna":"安娜"}')
     put(tmp_path, "j2/glossary.json", '{"Anna":1}')
@@ -167,13 +210,25 @@ def test_files_and_hashes(spark, tmp_path):
     assert sorted(tuple(r) for r in files.collect()) == [("j1", "source.json", 9), ("j1", "source.mp4", 5), ("j2", "a.b.MKV", 1), ("j2", "notes.txt", 1)]
     assert [tuple(r) for r in rd.pick_media_file(files).collect()] == [("j1", "source.mp4", 5)]
     assert {r.name: (r.accepted, r.title) for r in rd.local_sources(files).collect()} == {"source.json": (False, "source"), "source.mp4": (True, "source"), "a.b.MKV": (True, "a.b"), "notes.txt": (False, "notes")}
-    hashed = jn.hash_files(spark.read.format("binaryFile").load(f"{tmp_path}/j1/*"))
+    hashed = rd.hash_files(spark, f"{tmp_path}/j1/*")
     expected = spark.createDataFrame([("source.mp4", hashlib.sha256(b"12345").hexdigest()), ("source.json", "0"), ("none", "1")], "name string, sha256 string")
     assert {r.name: r.status for r in jn.asset_audit(expected, hashed).collect()} == {"source.mp4": "ok", "source.json": "changed", "none": "missing"}
     ok = spark.createDataFrame([(10.0, 10.25), (10.0, 10.4), (10.0, 10.04)], "a double, b double")
     assert [tuple(r) for r in ok.select(jn.stem_length_ok(F.col("a"), F.col("b")), jn.stem_length_ok(F.col("a"), F.col("b"), instrumental=True)).collect()] == [(True, False), (False, False), (True, True)]
 
 
+def test_large_files_are_hashed_by_chunks(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(rd, "HASH_CHUNK", 1000)
+    contents = {"big file é%.bin": bytes(range(256)) * 40_000, "chunk": b"x" * 1000, "more": b"x" * 1001}
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    found = rd.hash_files(spark, str(tmp_path))
+    assert {r.name: (r.length, r.sha256) for r in found.collect()} == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in contents.items()}
+    assert "content" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_documents_to_files(spark, tmp_path, packed):
     documents = spark.createDataFrame([("a", "1\n2"), ("b", "é")], "job_id string, value string")

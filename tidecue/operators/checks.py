@@ -12,23 +12,40 @@ MAX_VIDEO_SECONDS = 7200
 ALLOWED_HOSTS = ("youtube.com", "www.youtube.com", "m.youtube.com", "youtu.be", "bilibili.com", "www.bilibili.com", "b23.tv")
 TARGET_LANGUAGE = "简体中文"
 TARGET_ALIASES = ("简体中文", "中文", "普通话", "汉语", "简体", "zh", "zh-cn", "zh-hans", "zh-hans-cn", "chinese", "simplified chinese", "chinese (simplified)", "mandarin", "mandarin chinese")
-_IP = r"^\[?([0-9]{1,3}(\.[0-9]{1,3}){3}|[0-9a-fA-F]*:[0-9a-fA-F:.]*)\]?$"
+_BYTE = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_IP4 = rf"{_BYTE}(?:\.{_BYTE}){{3}}"
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*"
+
+
+def is_ip_address(host: Column) -> Column:
+    """Whether a host, without brackets, is a valid address of either kind, and not only looks like one."""
+    plain = F.regexp_replace(F.lower(host), "%[^%]+$", "")  # the zone
+    groups6 = F.regexp_replace(plain, f":{_IP4}$", ":0:0")
+    groups = F.filter(F.split(groups6, ":"), lambda x: x != "")
+    short = groups6.contains("::")
+    right = groups6.rlike("^[0-9a-f:]+$") & ~groups6.rlike(":::|::.*::|^:[^:]|[^:]:$") & F.forall(groups, lambda x: F.length(x) <= 4)
+    return host.rlike(f"^{_IP4}$") | (host.contains(":") & right & F.when(short, F.size(groups) <= 7).otherwise(F.size(groups) == 8))
 
 
 def check_source_urls(urls: DataFrame, url: str = "url", allowed: tuple[str, ...] = ALLOWED_HOSTS) -> DataFrame:
     """Add ``clean_url`` and ``reason``: the trimmed URL, or the first rule that it breaks.
 
-    Rules in order: scheme http or https, no credentials, a host, no IP literal, a host on the list. A URL
-    that cannot be parsed breaks the first.
+    Rules in order: scheme http or https, no credentials, a host, no IP address, a host on the list. A URL
+    that cannot be parsed (none at all, or brackets that hold no address) breaks the first.
     """
     clean = strip(F.col(url))
-    part = lambda p: F.try_parse_url(clean, F.lit(p))
-    host = F.regexp_replace(F.lower(F.coalesce(part("HOST"), F.lit(""))), r"\.+$", "")
+    whole = F.regexp_replace(clean, "[\\t\\r\\n]", "")
+    authority = F.regexp_extract(whole, f"{_SCHEME}://([^/?#]*)", 1)
+    place = F.regexp_extract(authority, "([^@]*)$", 1)
+    bracketed = F.regexp_extract(place, "\\[([^\\]]*)\\]", 1)
+    torn = place.rlike("[\\[\\]]") & ~(place.rlike("^\\[[^\\[\\]]*\\](?::[^:]*)?$") & is_ip_address(bracketed))
+    host = F.regexp_replace(F.lower(F.when(place.startswith("["), bracketed).otherwise(F.regexp_extract(place, "^([^:]*)", 1))), r"\.+$", "")
+    scheme = F.lower(F.regexp_extract(whole, f"({_SCHEME}):", 1))
     reason = (
-        F.when(~F.coalesce(F.lower(part("PROTOCOL")).isin("http", "https"), F.lit(False)), "scheme")
-        .when(F.coalesce(part("USERINFO"), F.lit("")).rlike("[^:]"), "credentials")
+        F.when(~F.coalesce(scheme.isin("http", "https") & ~torn, F.lit(False)), "scheme")
+        .when(~F.regexp_extract(authority, "^(.*)@", 1).isin("", ":"), "credentials")
         .when(host == "", "host")
-        .when(host.rlike(_IP), "ip address")
+        .when(is_ip_address(host), "ip address")
         .when(~host.isin(*[h.strip().lower() for h in allowed]), "not allowed")
     )
     return urls.withColumn("reason", reason).withColumn("clean_url", F.when(F.col("reason").isNull(), clean))

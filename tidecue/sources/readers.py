@@ -7,15 +7,31 @@ that already are in a table. What cannot be read is reported in a second DataFra
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidecue.functions.text import is_blank, json_object
 
+#: Suffixes of files beside a medium, and of local media.
 SIDE_SUFFIXES = ("json", "part", "ytdl", "description", "vtt")
 LOCAL_SUFFIXES = ("mp4", "mkv", "mov", "webm", "m4v")
 SEGMENT = "struct<index:bigint,start:double,end:double,source_text:string,translated_text:string,speaker:string,tts_file:string>"
-MANIFEST = "id string, source string, status string, progress int, stage_message string, title string, error string, failed_stage string, segments_path string, translations_path string, output_path string, metadata map<string,string>"
+OPTIONS = "struct<target_language:string,keep_original_audio:boolean,duck_original_audio:boolean,burn_subtitles:boolean,source_language:string,glossary:map<string,string>>"
+MANIFEST = (
+    f"id string, source string, status string, progress int, stage_message string, options {OPTIONS}, created_at timestamp, updated_at timestamp, "
+    "title string, source_path string, audio_path string, subtitle_path string, english_subtitle_path string, dub_audio_path string, output_path string, "
+    "segments_path string, translations_path string, error string, failed_stage string, overflow_segments array<variant>, metadata map<string,string>"
+)
+#: The states of a job, and what a manifest means that leaves a field out.
+STATUSES = ("queued", "downloading", "extracting", "transcribing", "prepared", "translating", "synthesizing", "aligning", "muxing", "completed", "failed")
+STAGE_MESSAGE, TARGET_LANGUAGE = "等待处理", "简体中文"
+#: Bytes of a file that are hashed at once.
+HASH_CHUNK = 1 << 20
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -108,11 +124,41 @@ def read_probe_documents(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
 
 
 def parse_manifests(documents: DataFrame, content: str = "content") -> tuple[DataFrame, DataFrame]:
-    """Job manifests, and (path, reason) of those that are invalid or whose id is not 32 hex digits."""
-    parsed = documents.withColumn("m", F.from_json(content, MANIFEST)).withColumn("reason", F.when(F.try_parse_json(content).isNull(), "invalid JSON").when(~F.coalesce(F.col("m.id").rlike("^[a-f0-9]{32}$"), F.lit(False)), "bad id"))
+    """Job manifests with all their fields, and (path, reason) of those that are invalid, have no proper id, or a field
+    out of its domain. Fields that are left out have their defaults; overflow rows stay as they are written.
+    """
+    m = lambda name: F.col(f"m.{name}")
+    known = m("status").isin(*STATUSES) & F.coalesce(m("failed_stage").isin(*STATUSES), F.lit(True)) & m("progress").between(0, 100)
+    options = F.struct(
+        F.coalesce(m("options.target_language"), F.lit(TARGET_LANGUAGE)).alias("target_language"),
+        *[m(f"options.{k}").alias(k) for k in ("keep_original_audio", "duck_original_audio", "burn_subtitles", "source_language")],
+        F.coalesce(m("options.glossary"), F.create_map().cast("map<string,string>")).alias("glossary"),
+    )
+    defaults = {"status": F.lit("queued"), "progress": F.lit(0), "stage_message": F.lit(STAGE_MESSAGE), "overflow_segments": F.array().cast("array<variant>"), "metadata": F.create_map().cast("map<string,string>")}
+    parsed = documents.withColumn("m", F.from_json(content, MANIFEST))
+    filled = F.struct(*[(options if f == "options" else F.coalesce(m(f), defaults[f]) if f in defaults else m(f)).alias(f) for f in parsed.schema["m"].dataType.names])
+    parsed = parsed.withColumn("invalid", F.try_parse_json(content).isNull()).withColumn("m", filled)
+    reason = (
+        F.when(F.col("invalid"), "invalid JSON")
+        .when(~F.coalesce(m("id").rlike(r"\A[a-f0-9]{32}\z"), F.lit(False)), "bad id")
+        .when(m("source").isNull(), "no source")
+        .when(~known, "invalid value")
+    )
+    parsed = parsed.withColumn("reason", reason)
     return parsed.where("reason is null").select("m.*"), parsed.where("reason is not null").select("path", "reason")
 
 
+def manifest_options(manifests: DataFrame) -> DataFrame:
+    """(job_id and the three switches of a job's options): what ``effective_options`` takes."""
+    return manifests.select(F.col("id").alias("job_id"), *[F.col(f"options.{k}").alias(k) for k in ("keep_original_audio", "duck_original_audio", "burn_subtitles")])
+
+
+def manifest_jobs(manifests: DataFrame) -> DataFrame:
+    """The columns that ``job_report`` takes; the detected language is a part of the metadata."""
+    names = ("status", "failed_stage", "error", "segments_path", "translations_path", "output_path", "subtitle_path", "english_subtitle_path")
+    return manifests.select(F.col("id").alias("job_id"), *names, F.col("metadata")["detected_language"].alias("detected_language"))
+
+
 def read_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_manifests(whole_files(spark, path))
 
@@ -183,3 +229,36 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 def local_sources(files: DataFrame) -> DataFrame:
     """Local inputs with ``accepted`` (by suffix) and a title, the name without its suffix."""
     return files.withColumn("accepted", suffix(F.col("name")).isin(*LOCAL_SUFFIXES)).withColumn("title", F.regexp_replace("name", r"(?<=.)\.[^.]*$", ""))
+
+
+def _open(path: str):
+    """A stream of the bytes of a file, in the file system that its scheme names."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_stream(re.sub("^file:/*", "/", path))
+    system, place = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", path))
+    return system.open_input_stream(place)
+
+
+def hash_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, length, sha256) of files of any size.
+
+    Spark lists the files and deals them to tasks by their lengths; a task opens each of its files and reads it a chunk
+    at a time, so that no file is ever a value. File systems are those that pyarrow opens (file, hdfs, s3, gs, abfs).
+    Spark's reader does not list empty files: an audit reports them as missing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for place in b.column("path").to_pylist():
+                digest = hashlib.sha256()
+                with _open(place) as stream:
+                    while chunk := stream.read(HASH_CHUNK):
+                        digest.update(chunk)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], [*b.schema.names, "sha256"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+    return files.mapInArrow(run, "path string, name string, length long, sha256 string")
