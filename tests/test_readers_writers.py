@@ -226,7 +226,7 @@ def test_large_files_are_hashed_by_chunks(spark, tmp_path, monkeypatch):
         (tmp_path / name).write_bytes(content)
     found = rd.hash_files(spark, str(tmp_path))
     assert {r.name: (r.length, r.sha256) for r in found.collect()} == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in contents.items()}
-    assert "content" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in found._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("packed", [False, True])

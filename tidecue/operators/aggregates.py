@@ -66,6 +66,26 @@ def frame_array_rms(frames: DataFrame, samples: str = "samples") -> DataFrame:
     return frames.withColumn("rms", F.sqrt(total / F.nullif(F.size(samples), F.lit(0))))
 
 
+def exact_percentiles(values: DataFrame, shares: dict[str, float], value: str = "value", key: str = "job_id") -> DataFrame:
+    """(key, one column per share): percentiles of each key's values, interpolated between neighbours; nulls do not count.
+
+    Values are counted before the shuffle, and a key's distinct values pass once in order with a running count: no
+    buffer holds the values of a key.
+    """
+    c = F.col
+    counts = values.where(c(value).isNotNull()).groupBy(c(key).alias("_key"), c(value).alias("_value")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_key").orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    totals = counts.groupBy(c("_key").alias("_of")).agg(F.sum("_n").alias("_total"))
+    ranked = counts.withColumn("_upto", upto).join(totals, c("_key").eqNullSafe(c("_of")))
+    place = {out: (c("_total") - 1) * share for out, share in shares.items()}
+    # the values at the places below and above: the first whose running count passes them
+    at = lambda end: F.min(F.when(c("_upto") > end, c("_value")))
+    found = ranked.groupBy(c("_key").alias(key), "_total").agg(*[at(end(p)).alias(f"_{name}_{out}") for out, p in place.items() for name, end in (("low", F.floor), ("high", F.ceil))])
+    low, high = (lambda out: c(f"_low_{out}")), (lambda out: c(f"_high_{out}"))
+    mixed = lambda out, p: F.when(low(out) == high(out), low(out)).otherwise((F.ceil(p) - p) * low(out) + (p - F.floor(p)) * high(out))
+    return found.select(key, *[mixed(out, p).alias(out) for out, p in place.items()])
+
+
 def soundtrack_measures(frames: DataFrame) -> DataFrame:
     """Seconds of speech, overlap and narration per job, and median and 95th percentile of the added level.
 
@@ -74,13 +94,15 @@ def soundtrack_measures(frames: DataFrame) -> DataFrame:
     c = F.col
     seconds = lambda what: rounded(F.count_if(what) * FRAME_SECONDS, 2)
     level = F.when(c("narration") & (c("fade") < 0.01), c("added_rms"))
-    return frames.groupBy("job_id").agg(
+    shares = {"median_narration_bed_rms": 0.5, "p95_narration_bed_rms": 0.95}
+    levels = exact_percentiles(frames.select(c("job_id").alias("_job"), level.alias("_level")), shares, "_level", "_job")
+    measured = frames.groupBy("job_id").agg(
         seconds(c("source_speech")).alias("source_speech_seconds"),
         seconds(c("source_speech") & c("bed_speech")).alias("bed_speech_overlap_seconds"),
         seconds(c("narration")).alias("narration_seconds"),
-        F.coalesce(F.median(level), F.lit(0.0)).alias("median_narration_bed_rms"),
-        F.coalesce(F.percentile(level, 0.95), F.lit(0.0)).alias("p95_narration_bed_rms"),
     )
+    joined = measured.join(levels, c("job_id").eqNullSafe(c("_job")), "left")
+    return joined.select(*measured.columns, *[F.coalesce(x, F.lit(0.0)).alias(x) for x in shares])
 
 
 def _ascii_word(character: Column) -> Column:
