@@ -9,6 +9,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from concurrent.futures import ThreadPoolExecutor
 
@@ -138,6 +139,44 @@ def test_ann_copies_norms_and_bad_vectors(spark):
     assert ann.nearest(few, few).count() == 12
 
 
+def test_ann_many_ties_take_one_scan():
+    """8,000 vectors of which all, or large groups, have the same score with each query."""
+    rng = np.random.default_rng(4)
+    for vectors in (np.stack([np.ones(8000), np.arange(8000) / 8000, np.zeros(8000)], axis=1), np.sign(rng.standard_normal((8000, 9)))):
+        vectors = vectors.astype(np.float32)
+        ids = rng.permutation(8000)
+        shard = ann.Shard.of(ids, vectors, 21)
+        queries = np.array([[1.0, 0, 0]] * 20) if vectors.shape[1] == 3 else vectors[:20].astype(float)
+        own = np.arange(-20, 0)
+        began = time.perf_counter()
+        found = shard.search(own, queries, 20, ann.SEARCH_BEAM)
+        assert time.perf_counter() - began < 1
+        for one, q in zip(own.tolist(), queries, strict=True):
+            score = vectors.astype(float) @ q
+            best = np.lexsort((ids, -score))[:20]
+            assert [(c, v) for o, c, v in found if o == one] == list(zip(ids[best].tolist(), score[best].tolist(), strict=True))
+
+
+def test_ann_scores_doubles_as_they_are(spark):
+    """Differences below single precision decide; an id that repeats has a row for each score; other columns may clash."""
+    rows = [(i, [1 + i * 1e-9, 0.0], 1, "x", [2.0]) for i in range(30)] + [(7, [1 + 40e-9, 0.0], 1, "x", [2.0]), (7, [1 + 40e-9, 0.0], 1, "x", [2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int, shard string, v array<double>")
+    found = ann.nearest(df, df.where("vec_id = 0"), k=5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in found] == [(7, 1 + 40e-9), (29, 1 + 29e-9), (28, 1 + 28e-9), (27, 1 + 27e-9), (26, 1 + 26e-9)]
+    many = spark.createDataFrame([(i, [1 + i * 1e-9, 0.0]) for i in range(500)], "vec_id long, embedding array<double>")
+    found = ann.nearest(many, many.where("vec_id = 3"), k=20).orderBy("rank")
+    assert [r.vec_id for r in found.collect()] == list(range(499, 479, -1))
+
+
+def test_ann_ranks_before_its_only_shuffle(spark, sf_dir, monkeypatch):
+    vectors = table(spark, sf_dir, "embeddings")
+    monkeypatch.setattr(ann, "nearest", ann.nearest.__wrapped__)
+    with common.scope(spark):
+        plan = ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), shard_rows=50)._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("MapInArrow")]
+    assert after.count("Exchange") == 1 and after.count("WindowGroupLimit") == 2
+
+
 def test_ann_ties_go_to_the_smaller_id(spark):
     """Vectors of one inner product, more of them than a beam holds; vectors of other lengths take no part."""
     rng = np.random.default_rng(4)

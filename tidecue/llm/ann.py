@@ -6,7 +6,8 @@ node that holds the smallest ids only, as many as a query can ask for; the nodes
 greedy search from a fixed entry proposes neighbours, and relaxed distance pruning keeps those that no kept
 neighbour is clearly closer to. The index is written once. Each shard's index then goes to one task, and all
 queries stream past it in batches of bounded size: a beam search gives candidates, scored in double precision
-on the original vectors, and the best over all shards stay. Neither vectors nor queries are collected or
+on the original vectors, and the best over all shards stay. Queries whose beam ends among nodes that it cannot tell
+from the k-th best, as those of quantised vectors, are answered by an exact scan of the shard instead. Neither vectors nor queries are collected or
 broadcast; what is shuffled is the index once, and the queries once for each shard.
 
 Inner products become distances by one more coordinate: with M the largest norm of a shard, x gets
@@ -22,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from tidecue.llm.common import settle, tidy
 
@@ -35,6 +37,8 @@ SEARCH_BEAM = 96
 ALPHA = 1.2
 #: Searches that advance together in numpy.
 TOGETHER = 512
+#: Numbers in an array of an exact scan.
+SCAN = 1 << 22
 
 
 def _first_of_each(ids: np.ndarray) -> np.ndarray:
@@ -160,11 +164,12 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alp
 class Shard:
     """A graph over the distinct vectors of a shard, and for each of them its smallest ids."""
 
-    def __init__(self, vectors: np.ndarray, copies: list[np.ndarray], graph: np.ndarray | None = None, entry: int = 0):
-        self.vectors, self.copies = vectors, copies
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, starts: np.ndarray, graph: np.ndarray | None = None, entry: int = 0):
+        self.vectors, self.ids, self.starts = vectors, ids, starts
         norm = np.sqrt((vectors.astype(float) ** 2).sum(axis=1))
-        rest = np.sqrt(np.maximum(0, 1 - (norm / norm.max()) ** 2))
-        self.x = np.concatenate([vectors / norm.max(), rest[:, None]], axis=1).astype(np.float32)
+        self.longest = norm.max()
+        rest = np.sqrt(np.maximum(0, 1 - (norm / self.longest) ** 2))
+        self.x = np.concatenate([vectors / self.longest, rest[:, None]], axis=1).astype(np.float32)
         self.graph, self.entry = build_graph(self.x) if graph is None else (graph, entry)
 
     @staticmethod
@@ -175,47 +180,66 @@ class Shard:
         distinct, inverse = np.unique(np.ascontiguousarray(vectors[order]), axis=0, return_inverse=True)
         by = np.argsort(inverse.ravel(), kind="stable")
         starts = np.searchsorted(inverse.ravel()[by], np.arange(len(distinct) + 1))
-        return Shard(distinct, [ids[by[a : min(b, a + keep)]] for a, b in zip(starts[:-1], starts[1:], strict=True)])
+        kept = np.minimum(np.diff(starts), keep)
+        place = np.arange(kept.sum()) + np.repeat(starts[:-1] - np.cumsum(kept) + kept, kept)
+        return Shard(distinct, ids[by[place]], np.append(0, kept.cumsum()))
 
     def packed(self) -> list:
-        parts = (self.vectors, self.graph.astype(np.int32), np.concatenate(self.copies), np.cumsum([0, *map(len, self.copies)]))
+        parts = (self.vectors, self.graph.astype(np.int32), self.ids, self.starts)
         return [self.vectors.shape[1], self.entry, *(np.ascontiguousarray(p).tobytes() for p in parts)]
 
     @staticmethod
-    def unpacked(row: dict) -> Shard:
-        vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, row["width"])
+    def unpacked(row: dict, kind: type) -> Shard:
+        vectors = np.frombuffer(row["vectors"], kind).reshape(-1, row["width"])
         graph = np.frombuffer(row["graph"], np.int32).reshape(len(vectors), -1).astype(np.int64)
-        copies = np.split(np.frombuffer(row["ids"], np.int64), np.frombuffer(row["starts"], np.int64)[1:-1])
-        return Shard(vectors, copies, graph, int(row["entry"]))
+        return Shard(vectors, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["starts"], np.int64), graph, int(row["entry"]))
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int, beam: int) -> list[tuple[int, int, float]]:
         """The k best of the shard for each query but the query itself: (query, id, score), ties to the smaller id."""
         out = []
         for i in range(0, len(ids), TOGETHER):
-            out += self._search(ids[i : i + TOGETHER], queries[i : i + TOGETHER].astype(float), k, max(beam, k + 1))
+            own, q = ids[i : i + TOGETHER], queries[i : i + TOGETHER].astype(float)
+            unit = np.concatenate([q / np.sqrt((q**2).sum(axis=1, keepdims=True)), np.zeros((len(q), 1))], axis=1).astype(np.float32)
+            found, _ = beam_search(self.x, self.graph, self.entry, unit, min(max(beam, k + 1), len(self.x)))
+            score = np.where(found >= 0, np.einsum("bd,bkd->bk", q, self.vectors[np.maximum(found, 0)].astype(float)), -np.inf)
+            # where the k-th best of a full beam is as near as its last node, by what the beam can tell apart, others may be as near
+            blur = 1e-6 * self.longest * np.sqrt((q**2).sum(axis=1))
+            kth = -np.sort(-score, axis=1)[:, min(k, score.shape[1] - 1)]
+            tied = (found >= 0).all(axis=1) & (found.shape[1] < len(self.x)) & (kth - score.min(axis=1) <= blur)
+            for at in np.flatnonzero(~tied).tolist():
+                out += self._best(own[at], found[at][found[at] >= 0], score[at][found[at] >= 0], k)
+            out += self._scan(own[tied], q[tied], k)
         return out
 
-    def _search(self, ids: np.ndarray, q: np.ndarray, k: int, beam: int) -> list[tuple[int, int, float]]:
-        unit = np.concatenate([q / np.sqrt((q**2).sum(axis=1, keepdims=True)), np.zeros((len(q), 1))], axis=1).astype(np.float32)
-        found, _ = beam_search(self.x, self.graph, self.entry, unit, beam)
-        score = np.einsum("bd,bkd->bk", q, self.vectors[np.maximum(found, 0)].astype(float))
-        score = np.where(found >= 0, score, -np.inf)
-        out, again = [], []
-        for at, (one, near, s) in enumerate(zip(ids.tolist(), found, score, strict=True)):
-            rows: list[tuple[float, int]] = []
-            last = -np.inf
-            for v, n in sorted(zip(s.tolist(), near.tolist(), strict=True), reverse=True):
-                # nodes that tie with the place that fills k ids count too: theirs may be smaller
-                if n < 0 or len(rows) >= k and v < last:
-                    break
-                rows += [(-v, c) for c in self.copies[n].tolist() if c != one]
-                last = v
-            else:
-                if beam < len(self.x) and len(near) == beam and (s == s.min()).sum() > 1 and (len(rows) < k or sorted(rows)[k - 1][0] == -s.min()):
-                    again.append(at)  # the tie fills the beam to its end: more nodes may tie
-                    continue
-            out += [(one, c, -v) for v, c in sorted(rows)[:k]]
-        return out + (self._search(ids[again], q[again], k, min(2 * beam, len(self.x))) if again else [])
+    def _best(self, one: int, nodes: np.ndarray, score: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        """The k best ids of nodes with their scores, a repeated id once for each different score."""
+        size = self.starts[nodes + 1] - self.starts[nodes]
+        ids = self.ids[np.arange(size.sum()) + np.repeat(self.starts[nodes] - np.cumsum(size) + size, size)]
+        score = np.repeat(score, size)
+        order = np.lexsort((ids, -score))
+        ids, score = ids[order], score[order]
+        keep = ids != one
+        keep[1:] &= (ids[1:] != ids[:-1]) | (score[1:] != score[:-1])
+        return [(int(one), c, v) for c, v in zip(ids[keep][:k].tolist(), score[keep][:k].tolist(), strict=True)]
+
+    def _scan(self, own: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, float]]:
+        """The exact answer by all nodes, for queries that the beam leaves open; in slices of bounded size."""
+        out: list[tuple[int, int, float]] = []
+        wide = max(1, SCAN // len(self.x))
+        tall = max(1, SCAN // self.vectors.shape[1])
+        for i in range(0, len(own), wide):
+            part = q[i : i + wide]
+            rough = np.concatenate([part @ self.vectors[j : j + tall].astype(float).T for j in range(0, len(self.x), tall)], axis=1)
+            last = -np.partition(-rough, min(k, rough.shape[1] - 1), axis=1)[:, min(k, rough.shape[1] - 1)]
+            for at in range(len(part)):
+                # rounding of a matrix product may differ from that of the measure itself, which decides
+                nodes = np.flatnonzero(rough[at] >= last[at] - 1e-9 * max(1.0, abs(last[at])))
+                out += self._best(own[i + at], nodes, self._scores(part[at], nodes), k)
+        return out
+
+    def _scores(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        tall = max(1, SCAN // self.vectors.shape[1])
+        return np.concatenate([np.einsum("bd,bkd->bk", q[None], self.vectors[nodes[j : j + tall]].astype(float)[None])[0] for j in range(0, len(nodes), tall)])
 
 
 def usable(vector: str) -> Column:
@@ -234,7 +258,13 @@ def dealt(vectors: DataFrame, shard_rows: int = SHARD_ROWS, least_rows: int = LE
     return counts["width"], max(ceil(counts["count"] / shard_rows), min(cores, counts["count"] // least_rows), 1)
 
 
-def build_index(rows: DataFrame, shards: int, keep: int) -> DataFrame:
+def stored_type(df: DataFrame, vector: str) -> tuple[str, type]:
+    """How vectors are kept and scored: single precision as it is, all else as doubles."""
+    single = df.schema[vector].dataType.elementType == FloatType()
+    return ("array<float>", np.float32) if single else ("array<double>", np.float64)
+
+
+def build_index(rows: DataFrame, shards: int, keep: int, kind: type) -> DataFrame:
     """One row per shard: its graph over the vectors (id, v), and the smallest ``keep`` ids of each."""
     schema = "shard int, width int, entry int, vectors binary, graph binary, ids binary, starts binary"
 
@@ -244,7 +274,7 @@ def build_index(rows: DataFrame, shards: int, keep: int) -> DataFrame:
             if b.num_rows:
                 shard = b.column("shard")[0].as_py()
                 ids.append(b.column("id").to_numpy())
-                vectors.append(b.column("v").flatten().to_numpy().astype(np.float32).reshape(b.num_rows, -1))
+                vectors.append(b.column("v").flatten().to_numpy().astype(kind).reshape(b.num_rows, -1))
         if ids:
             made = Shard.of(np.concatenate(ids), np.concatenate(vectors), keep).packed()
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([shard, *made], [pa.int32()] * 3 + [pa.binary()] * 4, strict=True)], [x.split()[0] for x in schema.split(", ")])
@@ -262,14 +292,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     for each different score. With no more than k candidates, all are returned.
     """
     c = F.col
-    pick = lambda df: df.where(c(key).isNotNull() & usable(vector)).select(c(key).alias("id"), c(vector).cast("array<float>").alias("v"))
+    (sql_type, kind), (other, _) = stored_type(vectors, vector), stored_type(queries, vector)
+    if other != sql_type:
+        sql_type, kind = "array<double>", np.float64
+    pick = lambda df: df.where(c(key).isNotNull() & usable(vector)).select(c(key).alias("id"), c(vector).cast(sql_type).alias("v"))
     width, shards = dealt(pick(vectors), shard_rows, least_rows)
     rows, asked = (pick(df).where(F.size("v") == width) for df in (vectors, queries))
-    index = build_index(rows, shards, k + 1)
+    index = build_index(rows, shards, k + 1, kind)
     parts = ("width", "entry", "vectors", "graph", "ids", "starts")
     none = [F.lit(None).cast(index.schema[x].dataType).alias(x) for x in parts]
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    both = index.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<float>").alias("v"), *parts)
+    both = index.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast(sql_type).alias("v"), *parts)
     both = both.union(asked.select(every, F.lit(1).alias("kind"), "id", "v", *none)).repartitionById(shards, c("shard")).sortWithinPartitions("kind")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +311,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
             own = b.column("kind").to_numpy()
             first = int((own == 0).sum())  # the index comes before all queries
             if first:
-                shard = Shard.unpacked({x: b.column(x)[0].as_py() for x in parts})
+                shard = Shard.unpacked({x: b.column(x)[0].as_py() for x in parts}, kind)
             asked = b.slice(first)
             if shard is None or not asked.num_rows:
                 continue
@@ -286,5 +319,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
     found = both.mapInArrow(search, "query_id long, vec_id long, score double")
-    nearest_first = Window.partitionBy("query_id").orderBy(c("score").desc(), "vec_id")  # ranked in part before the shuffle
-    return found.distinct().withColumn("rank", F.row_number().over(nearest_first)).where(c("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # rows of an id lie in one shard, which gives each of its scores once; a query id that repeats may still ask twice for one.
+    # The limit by rank is applied in part before the only shuffle, and equal ranks of a query are equal rows.
+    nearest_first = Window.partitionBy("query_id").orderBy(c("score").desc(), "vec_id")
+    ranked = found.withColumn("rank", F.dense_rank().over(nearest_first)).where(c("rank") <= k)
+    return ranked.dropDuplicates(["query_id", "rank"]).select("query_id", "rank", "vec_id", "score")
