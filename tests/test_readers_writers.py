@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import json
+import os
 import random
 
 import pytest
@@ -199,6 +200,32 @@ def test_readers_on_files(spark, tmp_path):
     assert [tuple(r) for r in rd.interval_faults(found).collect()] == [("j2", "window", 3)]
 
 
+@pytest.mark.parametrize(
+    ("reader", "good", "bad"),
+    [
+        ("read_segments", '[{"index":0,"start":0,"end":1,"source_text":"a"}]', "[]"),
+        ("read_translations", '{"segments":[{"id":0,"text":"a","en":"b"},{"id":1.5,"text":2}]}', "{}"),
+        ("read_probe_documents", '{"format":{"duration":"1.5"},"streams":[]}', "{"),
+        ("read_manifests", '{"id":"00000000000000000000000000000000","source":"s","overflow_segments":[{"a":[1,2]}]}', '{"id":"x"}'),
+        ("read_glossary", '{"a":"b","c":"d"}', '{"a":1}'),
+    ],
+)
+def test_documents_are_parsed_once(spark, tmp_path, reader, good, bad):
+    """With a store both results are as without one, and read nothing but the store."""
+    put(tmp_path, "in/j1/x.json", good)
+    put(tmp_path, "in/j2/x.json", bad)
+    read = getattr(rd, reader)
+    shown = lambda frames: [sorted(r.j for r in f.select(F.to_json(F.struct(*f.columns)).alias("j")).collect()) for f in frames]
+    plain = shown(read(spark, f"{tmp_path}/in/*/x.json"))
+    frames = read(spark, f"{tmp_path}/in/*/x.json", f"{tmp_path}/store")
+    for name in ("j1", "j2"):
+        os.remove(tmp_path / f"in/{name}/x.json")
+    assert shown(frames) == plain and all(plain)
+    for f in frames:
+        plan = f._jdf.queryExecution().executedPlan().toString()
+        assert "parquet" in plan and "FileScan text" not in plan and "Scan text" not in plan
+
+
 def test_files_and_hashes(spark, tmp_path):
     import hashlib
 

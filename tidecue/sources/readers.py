@@ -3,6 +3,9 @@
 Documents are read as whole texts, one row per file, and parsed by expressions; the job is the name of the
 folder that holds the file. Each reader has a ``parse_`` part that works on a column of texts, for documents
 that already are in a table. What cannot be read is reported in a second DataFrame, never dropped silently.
+
+Both DataFrames come from the same parsed documents. With a ``store``, a new folder, these are written there once and both
+read them back; without one, each of the two reads and parses the documents when it is used.
 """
 
 from __future__ import annotations
@@ -40,7 +43,15 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("job_id"), F.col("value").alias("content"))
 
 
-def parse_segments(documents: DataFrame, content: str = "content") -> tuple[DataFrame, DataFrame]:
+def _once(parsed: DataFrame, store: str | None) -> tuple[DataFrame, DataFrame]:
+    """Parsed documents without and with a ``reason``, written to a folder and read back if one is named."""
+    if store is not None:
+        parsed.write.parquet(store)
+        parsed = parsed.sparkSession.read.schema(parsed.schema).parquet(store)
+    return parsed.where("reason is null").drop("reason"), parsed.where("reason is not null")
+
+
+def parse_segments(documents: DataFrame, content: str = "content", store: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Segments of transcript arrays, and (job_id, reason) of transcripts that are unreadable, empty or hold
     a row without text or with times out of their domain. A bad row rejects its whole transcript.
     """
@@ -52,16 +63,16 @@ def parse_segments(documents: DataFrame, content: str = "content") -> tuple[Data
         .when(F.size("rows") == 0, "empty")
         .when(~F.forall("rows", lambda r: F.coalesce(good(r), F.lit(False))), "invalid row")
     )
-    parsed = parsed.withColumn("reason", reason)
-    rows = parsed.where("reason is null").select("job_id", F.posexplode("rows").alias("pos", "r")).select("job_id", "pos", "r.*")
-    return rows, parsed.where("reason is not null").select("job_id", "reason")
+    good_ones, bad = _once(parsed.select("job_id", "rows", reason.alias("reason")), store)
+    rows = good_ones.select("job_id", F.posexplode("rows").alias("pos", "r")).select("job_id", "pos", "r.*")
+    return rows, bad.select("job_id", "reason")
 
 
-def read_segments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_segments(whole_files(spark, path))
+def read_segments(spark: SparkSession, path: str, store: str | None = None) -> tuple[DataFrame, DataFrame]:
+    return parse_segments(whole_files(spark, path), store=store)
 
 
-def parse_translations(documents: DataFrame, content: str = "content") -> tuple[DataFrame, DataFrame]:
+def parse_translations(documents: DataFrame, content: str = "content", store: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Items (job_id, pos, id, text, en) of drafts, and (job_id, reason) of drafts without an object or a
     ``segments`` array. ``id`` is null unless it is an integer in the JSON; texts are null unless strings.
     """
@@ -70,15 +81,16 @@ def parse_translations(documents: DataFrame, content: str = "content") -> tuple[
     held = documents.select("job_id", json_object(c(content)).alias("v"))
     held = held.withColumn("items", F.try_variant_get("v", "$.segments", "array<variant>"))
     held = held.withColumn("reason", F.when(c("v").isNull(), "no object").when(c("items").isNull(), "no segments"))
-    items = held.where("reason is null").select("job_id", F.posexplode("items").alias("pos", "item"))
+    good, bad = _once(held.select("job_id", "items", "reason"), store)
+    items = good.select("job_id", F.posexplode("items").alias("pos", "item"))
     kind = lambda field: F.schema_of_variant(F.try_variant_get("item", f"$.{field}", "variant"))
     text = lambda field: F.when(kind(field) == "STRING", F.try_variant_get("item", f"$.{field}", "string"))
     rows = items.select("job_id", "pos", F.when(kind("id") == "BIGINT", F.try_variant_get("item", "$.id", "bigint")).alias("id"), text("text").alias("text"), text("en").alias("en"))
-    return rows, held.where("reason is not null").select("job_id", "reason")
+    return rows, bad.select("job_id", "reason")
 
 
-def read_translations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_translations(whole_files(spark, path))
+def read_translations(spark: SparkSession, path: str, store: str | None = None) -> tuple[DataFrame, DataFrame]:
+    return parse_translations(whole_files(spark, path), store=store)
 
 
 def parse_word_timings(sidecars: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
@@ -112,18 +124,18 @@ def read_word_timings(spark: SparkSession, path: str) -> DataFrame:
 PROBE = "struct<format:struct<duration:string>,streams:array<struct<codec_type:string,duration:string,tags:struct<language:string,handler_name:string>,disposition:struct<default:int>>>>"
 
 
-def parse_probes(documents: DataFrame, content: str = "content") -> tuple[DataFrame, DataFrame]:
+def parse_probes(documents: DataFrame, content: str = "content", store: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Probe documents as structs (column ``probe``), and (job_id, reason) of invalid ones."""
-    valid = F.try_parse_json(content).isNotNull()
-    parsed = documents.where(valid).withColumn("probe", F.from_json(content, PROBE)).drop(content)
-    return parsed, documents.where(~valid).select("job_id", F.lit("invalid JSON").alias("reason"))
+    reason = F.when(F.try_parse_json(content).isNull(), "invalid JSON")
+    good, bad = _once(documents.withColumns({"probe": F.from_json(content, PROBE), "reason": reason}).drop(content), store)
+    return good, bad.select("job_id", "reason")
 
 
-def read_probe_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_probes(whole_files(spark, path))
+def read_probe_documents(spark: SparkSession, path: str, store: str | None = None) -> tuple[DataFrame, DataFrame]:
+    return parse_probes(whole_files(spark, path), store=store)
 
 
-def parse_manifests(documents: DataFrame, content: str = "content") -> tuple[DataFrame, DataFrame]:
+def parse_manifests(documents: DataFrame, content: str = "content", store: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Job manifests with all their fields, and (path, reason) of those that are invalid, have no proper id, or a field
     out of its domain. Fields that are left out have their defaults; overflow rows stay as they are written.
     """
@@ -144,8 +156,8 @@ def parse_manifests(documents: DataFrame, content: str = "content") -> tuple[Dat
         .when(m("source").isNull(), "no source")
         .when(~known, "invalid value")
     )
-    parsed = parsed.withColumn("reason", reason)
-    return parsed.where("reason is null").select("m.*"), parsed.where("reason is not null").select("path", "reason")
+    good, bad = _once(parsed.select("path", "m", reason.alias("reason")), store)
+    return good.select("m.*"), bad.select("path", "reason")
 
 
 def manifest_options(manifests: DataFrame) -> DataFrame:
@@ -159,25 +171,25 @@ def manifest_jobs(manifests: DataFrame) -> DataFrame:
     return manifests.select(F.col("id").alias("job_id"), *names, F.col("metadata")["detected_language"].alias("detected_language"))
 
 
-def read_manifests(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_manifests(whole_files(spark, path))
+def read_manifests(spark: SparkSession, path: str, store: str | None = None) -> tuple[DataFrame, DataFrame]:
+    return parse_manifests(whole_files(spark, path), store=store)
 
 
-def parse_glossaries(documents: DataFrame, content: str = "content") -> tuple[DataFrame, DataFrame]:
+def parse_glossaries(documents: DataFrame, content: str = "content", store: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Terms (job_id, term, translation), and (job_id, reason) of documents that are not objects of strings."""
     held = documents.select("job_id", F.try_parse_json(content).alias("v"))
-    whole = F.when(F.schema_of_variant("v").startswith("OBJECT"), F.lit(True)).otherwise(False)
-    held = held.withColumn("reason", F.when(F.col("v").isNull(), "invalid JSON").when(~whole, "no object"))
-    terms = F.from_json(F.to_json("v"), "map<string,variant>")
-    entries = held.where("reason is null").select("job_id", F.map_entries(terms).alias("e"))
+    whole = F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    entries = F.map_entries(F.from_json(F.to_json(F.when(whole, F.col("v"))), "map<string,variant>"))
+    held = held.select("job_id", "v", whole.alias("whole"), entries.alias("e"))
     strings = F.forall("e", lambda x: F.schema_of_variant(x["value"]) == "STRING")
-    good = entries.where(strings).select("job_id", F.explode("e").alias("e")).select("job_id", F.col("e.key").alias("term"), F.try_variant_get("e.value", "$", "string").alias("translation"))
-    bad = held.where("reason is not null").select("job_id", "reason").union(entries.where(~strings).select("job_id", F.lit("not a string")))
-    return good, bad
+    reason = F.when(F.col("v").isNull(), "invalid JSON").when(~F.col("whole"), "no object").when(~strings, "not a string")
+    terms = F.when(reason.isNull(), F.transform("e", lambda x: F.struct(x["key"].alias("term"), F.try_variant_get(x["value"], "$", "string").alias("translation"))))
+    good, bad = _once(held.select("job_id", terms.alias("terms"), reason.alias("reason")), store)
+    return good.select("job_id", F.explode("terms").alias("e")).select("job_id", "e.*"), bad.select("job_id", "reason")
 
 
-def read_glossary(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_glossaries(whole_files(spark, path))
+def read_glossary(spark: SparkSession, path: str, store: str | None = None) -> tuple[DataFrame, DataFrame]:
+    return parse_glossaries(whole_files(spark, path), store=store)
 
 
 def parse_interval_drafts(documents: DataFrame, content: str = "content") -> DataFrame:
