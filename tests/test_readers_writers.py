@@ -6,6 +6,9 @@ import ipaddress
 import json
 import os
 import random
+import unicodedata
+import sys
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -121,6 +124,25 @@ def test_spoken_characters(spark):
     assert {r.w for r in rows if not r.s} == {1}
 
 
+def test_folding_against_python(spark):
+    """Every character alone, and random strings of simple and other ones, capitals and marks that compose included."""
+    rng = random.Random(9)
+    every = [chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000]
+    simple = [x for x in every if re.match(f"[{tx.SIMPLE}]", x)]
+    assert len(simple) > 25_000
+    # a character between two letters meets neighbours that it may compose with
+    texts = [x for x in every if ord(x) < 0x3400 or x in "一龠豈ｱﾞ！Ａ" or 0xF900 <= ord(x) < 0x10800] + [f"e{x}\u0301" for x in every[:0x400]]
+    texts += simple + ["".join(rng.choice(simple[:420]) for _ in range(12)) for _ in range(2000)] + ["".join(rng.choice([rng.choice(simple), rng.choice("e\u0301\u0308ßẞΣςİ한ᄀ가ﬁ①Å")]) for _ in range(8)) for _ in range(2000)]
+    texts = sorted(set(texts))
+    kept = lambda t: "".join(x for x in unicodedata.normalize("NFKC", t).casefold() if x.isalnum())
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.spoken_characters(F.col("t")).alias("s"), tx.casefolded(F.col("t")).alias("c"), tx.simply_spoken(F.col("t")).alias("p"))
+    for r in df.toPandas().itertuples():
+        assert r.c == r.t.casefold(), ascii(r.t)
+        assert r.p is None or r.p == kept(r.t), ascii(r.t)
+        assert (r.p is not None) == bool(re.fullmatch(f"[{tx.SIMPLE}]*", r.t)), ascii(r.t)
+        assert r.s == kept(r.t), ascii(r.t)
+
+
 def test_names(spark):
     title = "标题" * 60
     rows = spark.createDataFrame([("a b/c?.mp4 ",), ("...",), (title,)], "t string").select(tx.safe_output_name(F.col("t"), F.lit("0123456789")).alias("n")).collect()

@@ -50,18 +50,34 @@ def safe_output_name(title: Column, job_id: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def _folded(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+def _spoken(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else "".join(x for x in unicodedata.normalize("NFKC", t).casefold() if x.isalnum()))
 
 
-def folded(text: Column) -> Column:
-    """Compatibility-normalized and case-folded; only texts beyond ASCII go through Python."""
-    return F.when(text.rlike("^[\\x00-\\x7f]*$"), F.lower(text)).otherwise(_folded(F.when(~text.rlike("^[\\x00-\\x7f]*$"), text)))
+#: Characters that lower-casing folds, once ß is written as ss, and that neither compose nor come apart, but for punctuation
+#: that comes apart into punctuation: Latin, ideographs, kana, and usual marks. Few ranges, since each character is tried on them in turn.
+SIMPLE = (
+    "\\x00-\\x7f\\xa1\\xa7\\xa9\\xab\\xae\\xb0\\xb6\\xb7\\xbb\\xbf-\\xff\\u0100-\\u012f\\u0131\\u0134-\\u013e\\u0141-\\u0148\\u014a-\\u017e"
+    "\\u2010-\\u2016\\u2018-\\u201f\\u2026\\u4e00-\\u9fef\\u3001-\\u3003\\u3008-\\u3011\\u3041-\\u3096\\u30a1-\\u30fe\\u3400-\\u4db5\\uff01\\uff08\\uff09\\uff0c\\uff0e\\uff1a\\uff1b\\uff1f"
+)
+
+
+def _simple(text: Column) -> Column:
+    return text.rlike(rf"\A[{SIMPLE}]*\z")
+
+
+def _lowered(text: Column) -> Column:
+    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+
+
+def simply_spoken(text: Column) -> Column:
+    """The spoken characters of simple texts; null for others."""
+    return F.when(_simple(text), F.regexp_replace(_lowered(text), r"[^\p{L}\p{N}]", ""))
 
 
 def spoken_characters(text: Column) -> Column:
-    """Letters and numbers of the folded text."""
-    return F.regexp_replace(folded(text), r"[^\p{L}\p{N}]", "")
+    """Letters and numbers of the compatibility-normalized and case-folded text; only texts that are not simple go through Python."""
+    return F.coalesce(simply_spoken(text), _spoken(F.when(~_simple(text), text)))
 
 
 def is_spoken(character: str) -> bool:
@@ -90,9 +106,8 @@ def spoken_weight(text: Column) -> Column:
 
 
 def casefolded(text: Column) -> Column:
-    """Case-folded; only texts beyond ASCII go through Python."""
-    plain = text.rlike("^[\\x00-\\x7f]*$")
-    return F.when(plain, F.lower(text)).otherwise(_casefolded(F.when(~plain, text)))
+    """Case-folded; only texts beyond simple ones go through Python."""
+    return F.when(_simple(text), _lowered(text)).otherwise(_casefolded(F.when(~_simple(text), text)))
 
 
 def word_characters(text: Column) -> Column:
