@@ -274,3 +274,8 @@ def hash_files(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
     return files.mapInArrow(run, "path string, name string, length long, sha256 string")
+
+
+def hash_contents(files: DataFrame) -> DataFrame:
+    """(path, name, length, sha256) of files whose ``content`` already is in a table, beside its ``path``."""
+    return files.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"))
