@@ -111,8 +111,8 @@ def casefolded(text: Column) -> Column:
 
 
 def word_characters(text: Column) -> Column:
-    """Case-folded word characters, to compare the end of a text with a heard word."""
-    return casefolded(F.regexp_replace(text, r"(?U)\W", ""))
+    """Case-folded word characters (letters, numbers, underscores), to compare the end of a text with a heard word."""
+    return casefolded(F.regexp_replace(text, r"[^\p{L}\p{N}_]", ""))
 
 
 @F.pandas_udf(StringType())
