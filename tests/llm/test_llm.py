@@ -257,6 +257,35 @@ def test_components_on_chains(spark):
     assert found == {**{i: 0 for i in range(101)}, 500: 500, 501: 500, **{i: 1000 for i in range(1000, 1050)}}
 
 
+def test_small_tables_of_rounds_are_few_files(spark, monkeypatch):
+    """A round over few links costs no task and file for every shuffle partition where Spark does not merge these."""
+    written = []
+    settle = components.settle
+    monkeypatch.setattr(components, "settle", lambda *a: written.append(settle(*a)) or written[-1])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = [(7 * i, 7 * i + k) for i in range(200) for k in (1, 2, 3)] + [(7 * i + 3, 7 * i + 7) for i in range(20)]
+        found = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert found == {7 * i + k: 0 if i <= 20 else 7 * i for i in range(200) for k in range(4)}
+    most = 2 * spark.sparkContext.defaultParallelism
+    assert len(written) > 2 and all(len(x.inputFiles()) <= most for x in written)
+
+
+def test_overlaps_against_plain_sets():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 9):
+        sets = [np.unique(rng.integers(0, 3000, rng.integers(0, 1500)).astype(np.uint64)) for _ in range(n)]
+        rows = np.repeat(np.arange(n), [len(x) for x in sets])
+        left, right = np.flatnonzero(rng.random(n) < 0.5), np.flatnonzero(rng.random(n) < 0.7)
+        found = minhash._overlaps(np.concatenate([*sets, np.zeros(0, np.uint64)]), rows, left, right, n)
+        assert all(found[i, j] == len(np.intersect1d(sets[a], sets[b])) for i, a in enumerate(left) for j, b in enumerate(right) if a != b)
+
+
 # --- 3
 
 

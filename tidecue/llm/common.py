@@ -131,6 +131,15 @@ def counted(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def few(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """The frame in as many partitions as so many rows need, and two for each core at least.
+
+    For tables of distinct or aggregated keys, whose partitions are alike: small ones do not become a task and a file
+    for every shuffle partition. No rows are moved.
+    """
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def in_sample(key: str, n: int, most: int, seed: int = 17) -> Column:
     """Whether a row is among about ``most`` of ``n`` rows, chosen by a hash of the key: the same rows in every run.
 

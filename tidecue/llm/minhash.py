@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidecue.llm.common import counted, settle, slices, tidy
+from tidecue.llm.common import counted, few, settle, slices, tidy
 from tidecue.llm.components import connected_components
 from tidecue.llm.words import shingles, word_hashes
 
@@ -145,14 +145,19 @@ def _padded(column: list | pd.Series, k: int = K) -> np.ndarray:
     return out
 
 
-def _overlaps(rows: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
-    """Common values of every row of the left and every row of the right; rows: the rows of each value, by value."""
+def _overlaps(values: np.ndarray, at_row: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """Common values of every row of the left and every row of the right, of n rows; values with the row of each, no value twice in a row."""
+    order = np.argsort(values, kind="stable")
+    v, rows = values[order], at_row[order]
+    first = np.diff(v, prepend=~v[:1]) != 0
+    code = np.cumsum(first) - 1
+    kept = np.bincount(code, minlength=1)[code] > 1  # values of one row are in no overlap
+    rows, code = rows[kept], np.cumsum(first[kept]) - 1
     total = np.zeros((len(left), len(right)), np.float32)
-    for i in range(0, len(rows), 1024):
-        part = rows[i : i + 1024]
-        m = np.zeros((n, len(part)), np.float32)
-        for k, r in enumerate(part):
-            m[r, k] = 1
+    for i in range(0, code[-1] + 1 if len(code) else 0, 1024):
+        part = slice(*np.searchsorted(code, [i, i + 1024]))
+        m = np.zeros((n, code[part.stop - 1] - i + 1), np.float32)
+        m[rows[part], code[part] - i] = 1
         total += m[left] @ m[right].T
     return total
 
@@ -171,19 +176,14 @@ def block_pairs(g: pd.DataFrame, percent: int = PERCENT) -> pd.DataFrame:
     values = sketch[at_row, at_place]
     listed = (at_place < 64) & ((g["mask"].to_numpy().view(np.uint64)[at_row] >> (at_place % 64).astype(np.uint64)) & np.uint64(1)).astype(bool)
 
-    def by_value(use: np.ndarray) -> list[np.ndarray]:
-        v, r = values[use], at_row[use]
-        order = np.argsort(v, kind="stable")
-        groups = np.split(r[order], np.flatnonzero(np.diff(v[order])) + 1) if len(v) else []
-        return [x for x in groups if len(x) > 1]
-
     low, high = np.maximum(n[left][:, None], n[right][None]), (n[left][:, None] + n[right][None]) * 100 // (100 + percent)
     ok = (low <= high) & (component[left][:, None] != component[right][None])
     ok &= (doc[left][:, None] < doc[right][None]) if diagonal else True
     if ok.any():
-        ok &= _overlaps(by_value(np.ones(len(values), bool)), left, right, len(g)) >= needed(low, high, WIDE, percent)
+        ok &= _overlaps(values, at_row, left, right, len(g)) >= needed(low, high, WIDE, percent)
     if ok.any():
-        ok &= _overlaps(by_value(listed & (values < value)), left, right, len(g)) == 0
+        before = listed & (values < value)
+        ok &= _overlaps(values[before], at_row[before], left, right, len(g)) == 0
     x, y = np.nonzero(ok)
     x, y = left[x], right[y]
     judged = [judge(sketch[x[i : i + 1024]], sketch[y[i : i + 1024]], n[x[i : i + 1024]], n[y[i : i + 1024]], percent, WIDE) for i in range(0, len(x), 1024)]
@@ -213,7 +213,8 @@ def block_rows(mixed: DataFrame, percent: int = PERCENT) -> DataFrame:
     step = log(100 / percent) + 1e-9
     rows = mixed.join(main, "value").select("value", "doc", "n", "mask", "component", (c("component") == c("main")).alias("core"), F.floor(F.ln("n") / step).cast("int").alias("size"))
     cell = ["value", "size", "core"]
-    cells = settle(rows.groupBy(*cell).count().withColumn("chunks", F.ceil(c("count") / BLOCK).cast("int")).drop("count"), "cells")
+    cells = rows.groupBy(*cell).count().withColumn("chunks", F.ceil(c("count") / BLOCK).cast("int")).drop("count")
+    cells = settle(few(cells, mixed.count()), "cells")
     rows = rows.join(cells, cell).withColumn("chunk", F.pmod(F.xxhash64("doc"), "chunks").cast("int")).drop("chunks")
     chunks = cells.select(*cell, F.explode(F.sequence(F.lit(0), c("chunks") - 1)).alias("chunk"))
     x, y = (chunks.select("value", F.struct("size", "core", "chunk").alias(name)) for name in ("x", "y"))
@@ -258,7 +259,8 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
 def _gathered(pairs: DataFrame) -> DataFrame:
     """(hub, partner, chunk) of pairs (a, b): the hub is the end that has more pairs."""
     c = F.col
-    degree = settle(pairs.select(c("a").alias("doc")).union(pairs.select("b")).groupBy("doc").count(), "degrees")
+    degree = pairs.select(c("a").alias("doc")).union(pairs.select("b")).groupBy("doc").count()
+    degree = settle(few(degree, 2 * pairs.count()), "degrees")
     for end in ("a", "b"):
         pairs = pairs.join(counted(degree, BROADCAST_IDS).select(c("doc").alias(end), c("count").alias(f"n_{end}")), end)
     turned = c("n_a") >= c("n_b")
@@ -317,7 +319,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     pair = [F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")]
 
     hubs = lists.groupBy("value").agg(F.count("*").alias("size"), F.min(F.struct("noise", "doc", "n")).alias("h")).where("size > 1")
-    hubs = settle(hubs.select("value", "size", c("h.doc").alias("other"), c("h.n").alias("m")), "hubs")
+    hubs = settle(few(hubs.select("value", "size", c("h.doc").alias("other"), c("h.n").alias("m")), lists.count() // 2), "hubs")
     star = lists.join(hubs, "value").where((c("doc") != c("other")) & similar_size).select(pair).distinct()
     links = confirmed(passing(star, sketched, percent), docs, key, text, percent)
     components = settle(connected_components(links), "components")
@@ -332,7 +334,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     long = mixed.where(c("size") > SHORT_LIST).drop("size")
     long = settle(long.join(own_lists(long), "value", "left_semi"), "long-lists")
     # of near copies many pairs lie just below the threshold: wider sketches settle most of them, within the blocks
-    asked = settle(long.select(c("doc").alias(key)).distinct(), "asked")
+    asked = settle(few(long.select(c("doc").alias(key)).distinct(), long.count()), "asked")
     wide = settle(sketch_documents(docs.join(counted(asked, BROADCAST_IDS), key, "left_semi"), key, text, percent, WIDE).dropDuplicates(["doc", "d1", "d2"]), "wide-sketches")
     long = block_rows(long, percent).join(wide.select("doc", "n", "sketch"), ["doc", "n"])
     kind = docs.schema[key].dataType.simpleString()
