@@ -23,7 +23,7 @@ from compare import connect, rows_in, rows_of
 from tidecue.llm import ann, bpe, chat, components, decontam, langid, linedup, minhash, quality, toxicity, warc, words
 from tidecue.llm import queries as q
 from tidecue.llm import common
-from tidecue.llm.common import held_out, table
+from tidecue.llm.common import held_out, scope, settle, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, doc string, no string"  # the last two clash with inner names
 
@@ -735,3 +735,17 @@ def test_items_without_a_window(spark):
 def test_held_out_fold(spark):
     rows = spark.createDataFrame([(i,) for i in range(50)] + [(None,)], "doc_id long").select("doc_id", held_out().alias("h")).collect()
     assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+
+
+def test_workers_get_texts_in_small_batches(spark):
+    df = spark.range(6000, numPartitions=1).select("id", F.repeat(F.lit("0123456789abcdef"), 500).alias("t"))  # 48 MB
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    with scope(spark):
+        found = settle(df.mapInArrow(sizes, "n long, size long"), "sizes").collect()
+    assert sum(r.n for r in found) == 6000
+    assert max(r.n for r in found) <= 2048
+    assert max(r["size"] for r in found) < 5 << 20

@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 #: that it sends to a worker; what a function makes of a text can be 50 times its size, hence the finer slices.
 SLICE_ROWS = 256
 SLICE_BYTES = 1 << 18
+#: Rows and bytes of a batch that Spark sends to a worker, unless the session sets its own: an executor holds a batch
+#: outside its heap, up to twice while it grows, for each of its tasks, and the worker holds it again.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2048", "spark.sql.execution.arrow.maxBytesPerBatch": str(1 << 22)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +46,19 @@ def slices(batches: Iterator[pa.RecordBatch], *texts: str, rows: int = SLICE_ROW
         pa.default_memory_pool().release_unused()  # workers are kept, and so would be what their largest batch took
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside send small batches to Python; the session's settings are as before after it."""
+    own = [key for key in BATCHES if spark.conf.get(key, None) is None]
+    for key in own:
+        spark.conf.set(key, BATCHES[key])
+    try:
+        yield
+    finally:
+        for key in own:
+            spark.conf.unset(key)
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has."""
     taken = {c.lower() for df in frames for c in df.columns}
@@ -97,12 +113,14 @@ def settle(df: DataFrame, kind: str, owner: list[str] | None = None) -> DataFram
 
     It goes with the innermost scope, or with the given owner's. Outside any scope it stays, like a
     checkpoint, until the cluster's cleaning.
+    Python functions get their rows in small batches meanwhile.
     """
     path = shared_folder(df.sparkSession, kind)
     owner = _written.get() if owner is None else owner
     if owner is not None:
         owner.append(path)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
