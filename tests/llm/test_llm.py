@@ -348,6 +348,28 @@ def test_linedup_long_text_and_keys(spark):
     assert len(keys) == len({k.k1 for k in keys}) == len({k.k2 for k in keys}) == 30_001 and not any(k.k2 in (k.x, k.y) for k in keys)
 
 
+def test_linedup_splits_texts_once(spark):
+    """Each text is read once; prefixes hold the words of the fewest lines, by one code for each word, and what they were made of is deleted."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    rare = {k: f"common words of all lines stand in here and rare{k}" for k in range(40)}
+    docs = spark.createDataFrame(list(rare.items()), "doc long, text string").withColumn("text", read.asNondeterministic()("text"))
+    folder = common.shared_folder(spark, "x").rsplit("/", 1)[0]
+    before = set(os.listdir(folder))
+    with common.scope(spark):
+        lines = linedup.split_lines(docs)
+        assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["lines"]
+        rows = lines.collect()
+    assert seen.value == len(rows) == 40 and set(os.listdir(folder)) == before
+    assert all(r.n == 10 and len(r.prefix) == 2 for r in rows)
+    assert len({r.prefix[0] for r in rows}) == 40 and not {r.prefix[0] for r in rows} & {r.prefix[1] for r in rows}
+
+
 # --- 4, 5, 9
 
 

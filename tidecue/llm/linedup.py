@@ -8,10 +8,11 @@ smaller line number) has a Jaccard similarity of at least ``percent``/100 with i
    A class key is aggregated before the shuffle, so a line that half of the corpus repeats costs nothing. Lines
    of so few words that only equal sets are similar enough are done with.
 2. The words of a line are ordered by rarity, and the first n - ceil(t n) + 1 of n words are its prefix:
-   two lines that are similar enough share a word of their prefixes. Rarity comes from word counts over
-   all documents, gathered in 65,536 hash buckets, so that the order is a constant of bounded size. Any order
-   is right; with more words than buckets, rare words share counts, but a frequent word still outweighs its
-   bucket and comes late. Words are told apart by 64-bit hashes.
+   two lines that are similar enough share a word of their prefixes. Rarity comes from the lines that each word
+   is in, over all documents, gathered in 65,536 hash buckets, so that the order is a constant of bounded size. Any
+   order is right; with more words than buckets, rare words share counts, but a frequent word still outweighs its
+   bucket and comes late. Words are told apart by 64-bit hashes. Texts are split into words once, for steps 1 and 2:
+   the hashes of each line's words are written, and deleted when the prefixes are.
 3. Two lines that share a prefix word must also pass the length filter, the positional filter, and a
    filter by parity sketches: 64 bits, each the parity of the words that hash to it; two sets differ in at
    least as many words as their sketches differ in bits. All three hold for every similar pair, so nothing
@@ -42,26 +43,32 @@ BROADCAST_ROWS = 500_000
 _SPACE = "[\\x20\\x09-\\x0D]+"
 
 
-def _split(text: Column) -> Column:
-    """The words of a text, with empty ones; by a single character where that is all there is."""
-    odd = [F.contains(text, F.lit(x)) for x in "\t\n\x0b\x0c\r"]
-    return F.when(odd[0] | odd[1] | odd[2] | odd[3] | odd[4], F.split(text, _SPACE)).otherwise(F.split(text, " "))
+def _split(line: Column) -> Column:
+    """The words of a line, with empty ones; by a single character where that is all there is."""
+    odd = [F.contains(line, F.lit(x)) for x in "\t\x0b\x0c\r"]
+    return F.when(odd[0] | odd[1] | odd[2] | odd[3], F.split(line, _SPACE)).otherwise(F.split(line, " "))
 
 
-def words(text: Column) -> Column:
-    """The distinct words of a text."""
-    return F.array_remove(F.array_distinct(_split(text)), "")
+def words(line: Column) -> Column:
+    """The distinct words of a line."""
+    return F.array_remove(F.array_distinct(_split(line)), "")
 
 
-def rarity(docs: DataFrame, text: str = "text") -> Column:
-    """A constant array: for each bucket of words a class that grows with the logarithm of their count, shifted by 48 bits."""
-    spaced = docs.select(F.replace(F.lower(F.col(text)), F.lit("\n"), F.lit(" ")).alias("t"))
-    found = spaced.select(F.explode(_split(F.col("t"))).alias("w"))
-    counts = found.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).count()
-    classes = [0] * BUCKETS
-    for b, c in counts.select("b", F.round(4 * F.log2(F.col("count") + 1)).cast("int")).collect():  # at most BUCKETS rows
-        classes[b] = c << 48
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<long>")
+def _bucket(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 48).cast("int")
+
+
+def rarity(hashes: DataFrame, column: str = "h") -> Column:
+    """A constant array: for each bucket of hashes, the change of bits that puts its place in order of count instead of its number."""
+    counts = hashes.select(F.explode(column).alias("h")).groupBy(_bucket(F.col("h")).alias("b")).count()
+    found = [0] * BUCKETS
+    for b, c in counts.collect():  # at most BUCKETS rows
+        found[b] = c
+    changes = [0] * BUCKETS
+    for at, b in enumerate(sorted(range(BUCKETS), key=found.__getitem__)):
+        # as signed numbers of 16 bits: the first place is the smallest one
+        changes[b] = ((b - BUCKETS if b >= BUCKETS // 2 else b) ^ (at - BUCKETS // 2)) << 48
+    return F.split(F.lit(",".join(map(str, changes))), ",").cast("array<long>")
 
 
 def single_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -75,23 +82,23 @@ def single_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.join(counted(several, BROADCAST_ROWS), "doc", "left_anti")
 
 
+@tidy("lines")
 def split_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per line of (doc, text): doc, line number, number of words n, class key k1 and k2, parity sketch and prefix."""
-    ranks = rarity(docs)
+    n = F.size("h")
+    prefix = F.when(n * (100 - percent) >= percent, n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1).otherwise(0)
     lines = docs.select("doc", F.posexplode(F.split(F.lower("text"), "\n")).alias("no", "line"))
     # hashes are a step of their own, so that each is computed once
     hashes = F.array_distinct(F.transform(_split(F.col("line")), lambda x: F.xxhash64(x)))
     hashed = lines.select("doc", "no", F.sort_array(F.array_remove(hashes, F.xxhash64(F.lit("")))).alias("h"))
-    # the word's rarity above 48 bits of its hash: sorting codes orders words by rarity, and the hash breaks ties
-    codes = F.transform("h", lambda h: F.get(ranks, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << 48) - 1))))
-    n = F.size("h")
-    prefix = F.when(n * (100 - percent) >= percent, n - F.ceil(n * F.lit(percent) / 100).cast("int") + 1).otherwise(0)
+    hashed = hashed.select("doc", "no", n.alias("n"), F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(7), "h").alias("k2"), F.when(prefix > 0, F.col("h")).alias("h"))
+    hashed = settle(hashed, "line-hashes")  # texts are split once; it goes when the prefixes are written
+    ranks = rarity(hashed)
+    # codes sort by rarity, and there is one for each hash; never null, and said to be so: such arrays are sorted as plain numbers
+    codes = F.transform("h", lambda h: F.coalesce(F.get(ranks, _bucket(h)).bitwiseXOR(h), F.lit(0).cast("long")))
     bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c.bitwiseAND(F.lit(63)).cast("int"))
     parity = F.aggregate("h", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h)))
-    return hashed.select(
-        "doc", "no", n.alias("n"), F.xxhash64("h").alias("k1"), F.xxhash64(F.lit(7), "h").alias("k2"),
-        F.when(prefix > 0, parity).alias("sketch"), F.when(prefix > 0, F.slice(F.sort_array(codes), F.lit(1), prefix)).alias("prefix"),
-    )
+    return hashed.select("doc", "no", "n", "k1", "k2", parity.alias("sketch"), F.slice(F.sort_array(codes), F.lit(1), prefix).alias("prefix"))
 
 
 def _may_match(a: str, b: str, percent: int) -> Column:
@@ -134,7 +141,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
 def removed_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """All lines of (doc, text): doc, no, and whether the line is removed."""
     c = F.col
-    lines = settle(split_lines(docs, percent), "lines")
+    lines = split_lines(docs, percent)
     classes = lines.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("doc", "no")).alias("f"), F.count("*").alias("c")).where("c > 1")
     classes = settle(classes.select("k1", "k2", c("f.doc").alias("fdoc"), c("f.no").alias("fno")), "line-classes")
     repeats = c("fdoc").isNotNull() & ((c("fdoc") != c("doc")) | (c("fno") != c("no")))
