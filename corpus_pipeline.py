@@ -3,6 +3,9 @@
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of ``documents``: documents
 whose language is not recognised go, repeated lines go, one document of each group of near copies stays,
 documents that hold benchmark items go, and the rest is tokenized.
+
+The first and the last stage return maps in Python that run when their caller reads them. They leave the session with
+bounded batches to Python (``common.BATCHES``), unless it has sizes of its own.
 """
 
 from __future__ import annotations
@@ -11,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidecue.llm import bpe, decontam, langid, linedup, minhash
-from tidecue.llm.common import delete, scope, settle, table
+from tidecue.llm.common import bound_batches, delete, scope, settle, table
 from tidecue.llm.queries import language_model, tokenizer_path
 
 #: A document whose best language has a lower posterior than this is rejected.
@@ -23,6 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     lang becomes the predicted language.
     """
+    bound_batches(spark)
     found = langid.label(docs, language_model(docs))
     kept = found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE))
     return kept.withColumn("lang", F.col("lang_pred")).select(docs.columns)
@@ -49,6 +53,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode and decode every text: one row of digests per document (operator 6)."""
+    bound_batches(spark)
     return bpe.round_trip(docs, tokenizer_path())
 
 

@@ -10,6 +10,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from concurrent.futures import ThreadPoolExecutor
 
@@ -593,6 +594,20 @@ def test_bpe_equals_the_library(spark, docs):
     assert bpe.round_trip(docs.limit(0), path).count() == 0
 
 
+def test_bpe_vocabulary_is_small_and_merges_long_words_alike(docs):
+    path = q.tokenizer_path()
+    tracemalloc.start()
+    try:
+        v = bpe.Vocabulary(path)
+        held, _ = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert held < 12 << 20  # each worker holds it
+    rng = random.Random(3)
+    found = {w for r in docs.select("text").collect() for w in v.words(r.text)} | {"".join(rng.choices("aeinst é一", k=rng.randint(1, 200))) for _ in range(500)}
+    assert all(v._encode_long(w) == v.encode_word(w) for w in (x.encode() for x in found))
+
+
 # --- 7
 
 

@@ -6,13 +6,14 @@ import hashlib
 import os
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidecue.llm import decontam, linedup
 from tidecue.llm import queries as q
-from tidecue.llm.common import held_out, shared_folder, table
+from tidecue.llm.common import BATCHES, held_out, shared_folder, table
 from test_llm import brute_components, brute_lines
 
 
@@ -113,3 +114,28 @@ def test_run_leaves_only_what_its_result_reads(spark, sf_dir):
     before = set(os.listdir(folder))
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["leaks"]
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.language, corpus_pipeline.tokens])
+@pytest.mark.parametrize("own", [None, "300"])
+def test_stages_that_run_later_get_small_batches(spark, sf_dir, stage, own):
+    docs = table(spark, sf_dir, "documents").limit(3).select(F.explode(F.sequence(F.lit(1), F.lit(2000))).alias("doc_id"), F.repeat(F.lit("0123456789abcdef"), 500).alias("text"), "lang", "source", "n_chars").coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    for key in BATCHES:
+        spark.conf.unset(key)
+    records = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if own:
+        spark.conf.set(records, own)
+    try:
+        stage(spark, docs, sf_dir)
+        found = docs.mapInArrow(sizes, "n long, size long").collect()  # 48 MB, as what the stage returned would get it
+        assert sum(r.n for r in found) == 6000
+        assert max(r.n for r in found) <= int(own or 2048)
+        assert max(r["size"] for r in found) < 5 << 20
+    finally:
+        for key in BATCHES:
+            spark.conf.unset(key)

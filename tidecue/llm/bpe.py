@@ -73,13 +73,14 @@ class Vocabulary:
         symbols = byte_symbols()
         as_bytes = lambda token: bytes(symbols[c] for c in token)
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.ids = {as_bytes(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        ids = {as_bytes(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.ranks = {(as_bytes(a), as_bytes(b)): rank for rank, (a, b) in enumerate(pairs)}
-        self.single = [self.ids[bytes([b])] for b in range(256)]
-        self.pairs = {self.ids[a] << 32 | self.ids[b]: rank for (a, b), rank in self.ranks.items()}
-        self.merged = [self.ids[a + b] for a, b in self.ranks]
-        texts = {i: t for t, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
+        merges = [(ids[x], ids[y], ids[x + y]) for a, b in pairs for x, y in [(as_bytes(a), as_bytes(b))]]
+        self.single = [ids[bytes([b])] for b in range(256)]
+        # merges are kept by ids alone: every worker holds them
+        self.pairs = {a << 32 | b: rank for rank, (a, b, _) in enumerate(merges)}
+        self.merged = [c for _, _, c in merges]
+        texts = {i: t for t, i in ids.items()} | {i: t.encode() for t, i in self.special.items()}
         n = max(texts) + 1
         self.texts = Pieces([texts.get(i, b"") for i in range(n)])
         self.decimals = Pieces([b"%d," % i for i in range(n)])
@@ -110,23 +111,24 @@ class Vocabulary:
     def _encode_long(self, word: bytes) -> list[int]:
         """The same merges for a long word: lowest rank first, then leftmost, from a heap."""
         n = len(word)
+        part = [self.single[b] for b in word]
         end, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))
         heap: list[tuple[int, int, int, int]] = []
 
         def offer(i: int) -> None:
             j = after[i]
             if j < n:
-                rank = self.ranks.get((word[i : end[i]], word[j : end[j]]))
+                rank = self.pairs.get(part[i] << 32 | part[j])
                 if rank is not None:
                     heapq.heappush(heap, (rank, i, end[i], end[j]))
 
         for i in range(n - 1):
             offer(i)
         while heap:
-            _, i, mid, stop = heapq.heappop(heap)
+            rank, i, mid, stop = heapq.heappop(heap)
             if end[i] != mid or mid >= n or end[mid] != stop:
                 continue
-            end[i], after[i], end[mid] = stop, stop, -1
+            part[i], end[i], after[i], end[mid] = self.merged[rank], stop, stop, -1
             if stop < n:
                 before[stop] = i
             offer(i)
@@ -134,7 +136,7 @@ class Vocabulary:
                 offer(before[i])
         ids, i = [], 0
         while i < n:
-            ids.append(self.ids[word[i : end[i]]])
+            ids.append(part[i])
             i = end[i]
         return ids
 

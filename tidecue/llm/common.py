@@ -59,6 +59,16 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(key)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session sends small batches to Python, where it sets no sizes of its own.
+
+    For a result that its caller runs later: the session's settings at that time count, so these stay set.
+    """
+    for key, most in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, most)
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """A column name that none of the frames has."""
     taken = {c.lower() for df in frames for c in df.columns}
